@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.operators.copy_diff import Field, diff_copies
+from tracklane.operators.late_events import classify, period_stats, value_counts
+from tracklane.operators.regular_grid import regular_grid
+from tracklane.operators.units import to_radians
 from tracklane.sources.tables import table
 
 FLOW_FIELDS = [
@@ -76,5 +79,122 @@ P2_SQL = (
     + _diff_sql("twist", "decoded_record", "twist_golden", "msg_seq", TWIST_FIELDS)
 )
 
-QUERIES = {"p2_found": p2_found}
-SQL = {"p2_found": P2_SQL}
+
+def _angles(spark: SparkSession, folder: str) -> DataFrame:
+    return to_radians(table(spark, folder, "euler_raw"), "sample_id", ["flight_id", "origin"])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _angles(spark, folder).filter(F.col("unit") != "rad").select("sample_id", "unit").distinct()
+
+
+def p3_radians(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows that hold angles, in radians."""
+    return _angles(spark, folder)
+
+
+MESSAGE = ["flight_id", "msg_seq"]
+
+
+def _messages(spark: SparkSession, folder: str) -> DataFrame:
+    carry = {"topic": F.col("topic"), "x": F.col("linear.x")}
+    return classify(table(spark, folder, "decoded_record"), MESSAGE, "rec_id", "header_stamp_ns", "bag_timestamp_ns", carry)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _messages(spark, folder).filter(F.col("outcome") != "in_time").select("rec_id", "outcome")
+
+
+def p6_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """linear.x per flight, topic and ten seconds of measurement time, as first reported and as corrected."""
+    keys = ["flight_id", "topic"]
+    stats = period_stats(value_counts(_messages(spark, folder), keys, "x"), keys)
+    return stats.select(
+        *keys,
+        F.col("period").alias("period_ns"),
+        *(f"{c}_{v}" for v in ("first", "corrected") for c in ("n", "distinct", "lo", "hi", "median")),
+    )
+
+
+_P6_MESSAGES = """
+WITH f AS (
+  SELECT *, row_number() OVER (PARTITION BY flight_id, msg_seq ORDER BY bag_timestamp_ns, rec_id) AS rn
+  FROM decoded_record WHERE bag_timestamp_ns IS NOT NULL),
+m AS (
+  SELECT *, CASE WHEN header_stamp_ns IS NULL OR header_stamp_ns = 0 OR header_stamp_ns > bag_timestamp_ns + 1000000000
+    THEN bag_timestamp_ns ELSE header_stamp_ns END AS at_ns FROM f WHERE rn = 1),
+c AS (
+  SELECT *, at_ns - at_ns % 10000000000 AS period_ns,
+    bag_timestamp_ns - (at_ns - at_ns % 10000000000 + 10000000000) AS late FROM m)
+"""
+P6_FOUND_SQL = (
+    _P6_MESSAGES
+    + "SELECT rec_id, CASE WHEN late >= 60000000000 THEN 'dropped' ELSE 'corrects' END AS outcome FROM c WHERE late >= 2000000000"
+)
+_first = "FILTER (late < 2000000000)"
+P6_PERIODS_SQL = (
+    _P6_MESSAGES
+    + f"""SELECT flight_id, topic, period_ns,
+  count(*) {_first} AS n_first, count(DISTINCT linear.x) {_first} AS distinct_first,
+  min(linear.x) {_first} AS lo_first, max(linear.x) {_first} AS hi_first, quantile_disc(linear.x, 0.5) {_first} AS median_first,
+  count(*) AS n_corrected, count(DISTINCT linear.x) AS distinct_corrected,
+  min(linear.x) AS lo_corrected, max(linear.x) AS hi_corrected, quantile_disc(linear.x, 0.5) AS median_corrected
+FROM c WHERE late < 60000000000 AND linear.x IS NOT NULL AND isfinite(linear.x) GROUP BY ALL"""
+)
+
+SERIES = (
+    ("baro_u_corr", "baro_corrected", "u_corr"),
+    ("vision_vx", "vision_velocity_corrected_frd", "vx"),
+    ("fusion_u", "synthetic_gps_5hz_gtsam_fixedlag", "u"),
+)
+
+
+def _grid(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [
+        table(spark, folder, t).select(F.lit(name).alias("series"), "flight_id", "seg", "tr", F.col(v).cast("double").alias("v")) for name, t, v in SERIES
+    ]
+    return regular_grid(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["series", "flight_id", "seg"], "tr", "v")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _grid(spark, folder).filter(F.col("status") != "read").select("series", "flight_id", "seg", "cell")
+
+
+def p7_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """The regular series: a value per second, read, filled (gaps of up to five cells) or marked as a gap."""
+    return _grid(spark, folder).withColumn("value", F.round("value", 6))
+
+
+_P7_CELLS = (
+    "WITH r AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS series, flight_id, seg, tr, {v} AS v FROM {t}" for n, t, v in SERIES)
+    + """),
+c AS (SELECT series, flight_id, seg, CAST(floor(tr) AS BIGINT) AS cell, count(*) AS n, avg(v) AS v FROM r
+  WHERE tr IS NOT NULL AND isfinite(tr) AND v IS NOT NULL AND NOT isnan(v) GROUP BY ALL),
+g AS (SELECT series, flight_id, seg, unnest(generate_series(min(cell), max(cell))) AS cell FROM c GROUP BY series, flight_id, seg),
+j AS (SELECT g.*, c.n, c.v FROM g LEFT JOIN c USING (series, flight_id, seg, cell))
+"""
+)
+P7_FOUND_SQL = _P7_CELLS + "SELECT series, flight_id, seg, cell FROM j WHERE n IS NULL"
+P7_GRID_SQL = (
+    _P7_CELLS
+    + """, w AS (SELECT *, last_value(CASE WHEN n IS NOT NULL THEN {'cell': cell, 'v': v} END IGNORE NULLS) OVER a AS p,
+    first_value(CASE WHEN n IS NOT NULL THEN {'cell': cell, 'v': v} END IGNORE NULLS) OVER b AS q FROM j
+  WINDOW a AS (PARTITION BY series, flight_id, seg ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    b AS (PARTITION BY series, flight_id, seg ORDER BY cell ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+s AS (SELECT *, CASE WHEN n IS NOT NULL THEN 'read' WHEN q.cell - p.cell <= 6 AND isfinite(p.v) AND isfinite(q.v) THEN 'filled' ELSE 'gap' END AS status FROM w)
+SELECT series, flight_id, seg, cell, coalesce(n, 0) AS n, status, p.cell AS last_cell, q.cell AS next_cell,
+  round(CASE WHEN status = 'read' THEN v WHEN status = 'filled' THEN p.v + (q.v - p.v) * ((cell - p.cell) / (q.cell - p.cell)) END, 6) AS value
+FROM s"""
+)
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_radians": p3_radians,
+    "p6_found": p6_found,
+    "p6_periods": p6_periods,
+    "p7_found": p7_found,
+    "p7_grid": p7_grid,
+}
+SQL = {"p2_found": P2_SQL, "p6_found": P6_FOUND_SQL, "p6_periods": P6_PERIODS_SQL, "p7_found": P7_FOUND_SQL, "p7_grid": P7_GRID_SQL}
