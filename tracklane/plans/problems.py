@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracklane.operators.copy_diff import Field, diff_copies
 from tracklane.operators.late_events import classify, period_stats, value_counts
 from tracklane.operators.regular_grid import regular_grid
+from tracklane.operators.spikes import flag_readings
 from tracklane.operators.units import to_radians
 from tracklane.sources.tables import table
 
@@ -188,10 +189,55 @@ SELECT series, flight_id, seg, cell, coalesce(n, 0) AS n, status, p.cell AS last
 FROM s"""
 )
 
+# What no sensor of the kind can have measured.
+BOUNDS = {
+    "alt": (-500.0, 9000.0),
+    "flow_x_px_s_filt": (-20000.0, 20000.0),
+    "outlier_score": (0.0, float("inf")),
+    "linear.x": (-100.0, 100.0),
+}
+CHECKED = (
+    ("baro_corrected", "alt", "sample_id", "t", ("flight_id",)),
+    ("lk_flow_physical_filtered", "flow_x_px_s_filt", "frame_idx", "frame_idx", ("flight_id",)),
+    ("lk_flow_physical_filtered", "outlier_score", "frame_idx", "frame_idx", ("flight_id",)),
+    ("decoded_record", "linear.x", "rec_id", "msg_seq", ("flight_id", "topic")),
+)
+
+
+def _flagged(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of a flagged reading: table_name, flight_id, row_key, field_name, kind."""
+    rows = None
+    for t, field, row_key, order, source in CHECKED:
+        part = table(spark, folder, t).select(
+            F.lit(t).alias("table_name"),
+            "flight_id",
+            F.col(row_key).alias("row_key"),
+            F.lit(field).alias("f"),
+            F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in source)).alias("src"),
+            F.col(order).cast("double").alias("ord"),
+            F.col(field).cast("double").alias("v"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    flags = flag_readings(rows.select("f", "src", "ord", "v"), F.floor(F.col("ord") / 1000), BOUNDS)
+    held = rows.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    return held.join(flags, ["f", "src", "ord"]).select("table_name", "flight_id", "row_key", F.col("f").alias("field_name"), "kind")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _flagged(spark, folder).drop("kind").distinct()
+
+
+def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows of each flight were flagged, by kind."""
+    return _flagged(spark, folder).groupBy("table_name", "field_name", "flight_id", "kind").agg(F.countDistinct("row_key").alias("n"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_radians": p3_radians,
+    "p5_found": p5_found,
+    "p5_kinds": p5_kinds,
     "p6_found": p6_found,
     "p6_periods": p6_periods,
     "p7_found": p7_found,
