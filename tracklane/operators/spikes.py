@@ -3,8 +3,8 @@
 A hidden Markov model per source has the states normal, spike, stuck and
 out-of-range. What it sees of a reading is its distance from the level of its
 neighbours (the nearest of the medians before, after and around it, so that a
-lasting change of level is near the level after it), in units of the source's own
-scatter, whether it repeats a neighbour, and whether it is within hard bounds.
+lasting change of level is near the level after it; with and without the local
+slope), in units of the source's own scatter, whether it repeats a neighbour, and whether it is within hard bounds.
 Forward-backward gives state probabilities; spikes follow from them, out-of-range
 from the bounds, stuck from the length of the run of identical readings.
 
@@ -37,7 +37,7 @@ class SpikeConfig:
     chunk: int = 256
     chunks_per_task: int = 64
     scatter_quantile: float = 0.9
-    tail: float = 0.7  # of the normal state's exponential distances, in scatters
+    tail: float = 0.75  # of the normal state's exponential distances, in scatters
     spike_from: float = 3.0  # spikes spread log-evenly between these, in scatters
     spike_to: float = 1e5
     enter_spike: float = 0.004
@@ -58,12 +58,19 @@ def _median_of(windows: np.ndarray) -> np.ndarray:
 
 
 def distances(x: np.ndarray, side: int) -> np.ndarray:
-    """Distance from the level of the neighbours, of rows of readings (NaN: not usable); NaN where there is none."""
+    """Distance from the level of the neighbours, of rows of readings (NaN: not usable); NaN where there is none.
+
+    Levels are medians of the readings before, after and around, as they are and
+    carried along the neighbourhood's slope (its median step); the nearest counts.
+    """
     pad = np.pad(x, [(0, 0), (side, side)], constant_values=np.nan)
     w = np.lib.stride_tricks.sliding_window_view(pad, 2 * side + 1, axis=1)
-    left, right = w[..., :side], w[..., side + 1 :]
-    levels = np.stack([_median_of(left), _median_of(right), _median_of(np.concatenate([left, right], -1))], -1)
-    gap = np.abs(x[..., None] - levels)
+    slope = np.nan_to_num(_median_of(np.diff(w, axis=-1)))
+    levels = []
+    for v in (w, w - slope[..., None] * np.arange(-side, side + 1)):
+        before, after = v[..., :side], v[..., side + 1 :]
+        levels += [_median_of(before), _median_of(after), _median_of(np.concatenate([before, after], -1))]
+    gap = np.abs(x[..., None] - np.stack(levels, -1))
     gap[np.isnan(gap)] = np.inf
     r = gap.min(-1)
     return np.where(np.isinf(r), np.nan, r)
