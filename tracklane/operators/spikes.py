@@ -8,15 +8,17 @@ slope), in units of the source's own scatter, whether it repeats a neighbour, an
 Forward-backward gives state probabilities; spikes follow from them, out-of-range
 from the bounds, stuck from the length of the run of identical readings.
 
-A source is cut by row position into chunks with a halo on either side, several
-chunks to a task, so that a long source is spread over many tasks and a decision
-never needs more than the halo.
+A source is cut by row position into blocks with a halo on either side, so that a
+long source is spread over many tasks and a decision never needs more than the halo;
+a task runs the model over many chunks of its blocks at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ class SpikeConfig:
     stuck_run: int = 20
     halo: int = 48
     chunk: int = 256
-    chunks_per_task: int = 64
+    block_chunks: int = 64  # chunks to a block; a block lies in one task
     scatter_quantile: float = 0.9
     tail: float = 0.75  # of the normal state's exponential distances, in scatters
     spike_from: float = 3.0  # spikes spread log-evenly between these, in scatters
@@ -76,11 +78,11 @@ def distances(x: np.ndarray, side: int) -> np.ndarray:
     return np.where(np.isinf(r), np.nan, r)
 
 
-def run_lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Length of the run of identical values each reading is in, and whether it is the run's first; over a 1-d array."""
-    first = np.r_[True, x[1:] != x[:-1]]
+def run_lengths(x: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length of the run of identical values each reading is in, and whether it is the run's first; runs end with their block."""
+    first = np.r_[True, (x[1:] != x[:-1]) | (block[1:] != block[:-1])][: len(x)]
     run = np.cumsum(first) - 1
-    return np.bincount(run)[run], first
+    return np.bincount(run)[run] if len(x) else run, first
 
 
 def posterior(z: np.ndarray, same: np.ndarray, out: np.ndarray, absent: np.ndarray, repeats: np.ndarray, cfg: SpikeConfig) -> np.ndarray:
@@ -119,56 +121,71 @@ def posterior(z: np.ndarray, same: np.ndarray, out: np.ndarray, absent: np.ndarr
     return f / f.sum(-1, keepdims=True)
 
 
-def _lanes(v: np.ndarray, cfg: SpikeConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Index of each lane's readings in ``v`` (clipped) and whether it lies outside."""
-    n = -(-len(v) // cfg.chunk)
-    i = np.arange(n)[:, None] * cfg.chunk + np.arange(-cfg.halo, cfg.chunk + cfg.halo)
-    return np.clip(i, 0, len(v) - 1), (i < 0) | (i >= len(v))
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of whole blocks, with their number in ``blk``, from sorted batches that cut through blocks."""
+    rest = None
+    for b in chain(batches, [None]):
+        t = rest if b is None else b if rest is None else pd.concat([rest, b], ignore_index=True)
+        if t is None or not len(t):
+            continue
+        key = t[["f", "src", "block"]]
+        blk = np.r_[0, np.cumsum((key.to_numpy()[1:] != key.to_numpy()[:-1]).any(1))]
+        whole = len(t) if b is None else int(np.searchsorted(blk, blk[-1]))
+        rest = None if b is None else t.iloc[whole:]
+        if whole:
+            yield t.iloc[:whole].assign(blk=blk[:whole])
 
 
-_SCATTER = "f string, src string, bin int, n long, same long"
-_FLAGGED = "f string, src string, ord double, kind string, p_spike double, p_stuck double"
+def _block_distances(t: pd.DataFrame, cfg: SpikeConfig) -> np.ndarray:
+    """Distances within each block: blocks are set apart by unusable readings."""
+    x = np.where(t["ok"].to_numpy(bool), t["v"].to_numpy(float), np.nan)
+    at = np.arange(len(t)) + cfg.side * t["blk"].to_numpy()
+    apart = np.full(at[-1] + 1, np.nan)
+    apart[at] = x
+    return distances(apart[None], cfg.side)[0][at]
 
 
-def _scatter_of(pdf: pd.DataFrame, cfg: SpikeConfig) -> pd.DataFrame:
-    """Histogram of distances (log bins; bin -2**30 holds zeros, n -1 marks a bin of steps) of a block's own readings."""
-    pdf = pdf.sort_values("pos")
-    v, ok, own = pdf["v"].to_numpy(float), pdf["ok"].to_numpy(bool), pdf["own"].to_numpy(bool)
-    x = np.where(ok, v, np.nan)
-    r = distances(x[None], cfg.side)[0]
-    length, _ = run_lengths(v)
-    use = own & ok & ~np.isnan(r) & (length < cfg.stuck_run)
-    zero = -(2**30)
-    step = np.abs(np.diff(x))
-    step = step[np.isfinite(step) & (step > 0)]
-    r = r[use]
-    bins = np.full(len(r), zero, np.int64)
-    bins[r > 0] = np.floor(np.log(r[r > 0]) / np.log(cfg.bin_ratio)).astype(np.int64)
-    b, n = np.unique(bins, return_counts=True)
-    same = int(((length > 1) & use).sum())
-    out = pd.DataFrame({"bin": b, "n": n, "same": 0})
-    if len(out):
-        out.loc[out.index[0], "same"] = same
-    if len(step):
-        out.loc[len(out)] = [int(np.floor(np.log(step.min()) / np.log(cfg.bin_ratio))), -1, 0]
-    return out.assign(f=pdf["f"].iloc[0], src=pdf["src"].iloc[0])[["f", "src", "bin", "n", "same"]]
-
-
-def _flags_of(pdf: pd.DataFrame, cfg: SpikeConfig) -> pd.DataFrame:
-    pdf = pdf.sort_values("pos")
-    v, ok, own = pdf["v"].to_numpy(float), pdf["ok"].to_numpy(bool), pdf["own"].to_numpy(bool)
-    r = distances(np.where(ok, v, np.nan)[None], cfg.side)[0]
-    z = r / pdf["scatter"].to_numpy(float)
-    length, first = run_lengths(v)
-    i, beyond = _lanes(v, cfg)
-    p = posterior(z[i], (length > 1)[i], ~ok[i], beyond, np.full(len(i), pdf["repeats"].iloc[0]), cfg)
-    mid = slice(cfg.halo, cfg.halo + cfg.chunk)
-    p = p[:, mid].reshape(-1, 4)[: len(v)]
-    stuck = (length >= cfg.stuck_run) & ~first
-    kind = np.select([~ok, stuck, p[:, 1] > 0.5], ["out", "stuck", "spike"], "")
-    hit = own & (kind != "")
-    ord_ = pdf["ord"].to_numpy(float)[hit]
-    return pd.DataFrame({"f": pdf["f"].iloc[0], "src": pdf["src"].iloc[0], "ord": ord_, "kind": kind[hit], "p_spike": p[hit, 1], "p_stuck": p[hit, 2]})
+_SCATTER = "f string, src string, bin long, n long, same long, mark long"
+_FLAGGED = "f string, src string, ord double, kind string, p_spike double, p_stuck double"
+_ZERO = -(2**30)  # the bin of distance 0
+
+
+def _scatters(batches: Iterator[pd.DataFrame], cfg: SpikeConfig) -> Iterator[pd.DataFrame]:
+    """Per source a histogram of the distances of its own readings in log bins, repeats among them, and the bins of its least steps (mark 1)."""
+    bin_of = lambda d: np.floor(np.log(d) / np.log(cfg.bin_ratio)).astype(np.int64)
+    for t in _whole_blocks(batches):
+        r, blk, v = _block_distances(t, cfg), t["blk"].to_numpy(), t["v"].to_numpy(float)
+        length, _ = run_lengths(v, blk)
+        use = t["own"].to_numpy(bool) & ~np.isnan(r) & (length < cfg.stuck_run)
+        bins = np.full(len(r), _ZERO, np.int64)
+        bins[use & (r > 0)] = bin_of(r[use & (r > 0)])
+        seen = pd.DataFrame({"f": t["f"], "src": t["src"], "bin": bins, "n": 1, "same": (length > 1).astype(np.int64)})[use]
+        yield seen.groupby(["f", "src", "bin"], as_index=False).sum().assign(mark=0)
+        with np.errstate(invalid="ignore"):
+            step = np.abs(np.diff(np.where(t["ok"].to_numpy(bool), v, np.nan)))
+        fine = np.isfinite(step) & (step > 0) & (blk[1:] == blk[:-1])
+        least = pd.DataFrame({"f": t["f"].iloc[1:][fine], "src": t["src"].iloc[1:][fine], "bin": bin_of(step[fine])})
+        yield least.groupby(["f", "src"], as_index=False).min().assign(n=0, same=0, mark=1)
+
+
+def _flags(batches: Iterator[pd.DataFrame], cfg: SpikeConfig) -> Iterator[pd.DataFrame]:
+    for t in _whole_blocks(batches):
+        z = _block_distances(t, cfg) / t["scatter"].to_numpy(float)
+        ok, blk, n = t["ok"].to_numpy(bool), t["blk"].to_numpy(), len(t)
+        length, first = run_lengths(t["v"].to_numpy(float), blk)
+        begin = np.searchsorted(blk, blk)  # where each row's block begins
+        inside = np.arange(n) - begin
+        start = np.flatnonzero(inside % cfg.chunk == 0)  # each lane decides the chunk that begins here
+        i = start[:, None] + np.arange(-cfg.halo, cfg.chunk + cfg.halo)
+        at = np.clip(i, 0, n - 1)
+        beyond = (i < 0) | (i >= n) | (blk[at] != blk[start][:, None])
+        p = posterior(z[at], (length > 1)[at], ~ok[at], beyond, t["repeats"].to_numpy(float)[start], cfg)
+        lane = np.searchsorted(start, np.arange(n), side="right") - 1
+        p = p[lane, cfg.halo + np.arange(n) - start[lane]]
+        stuck = (length >= cfg.stuck_run) & ~first
+        kind = np.select([~ok, stuck, p[:, 1] > 0.5], ["out", "stuck", "spike"], "")
+        hit = t["own"].to_numpy(bool) & (kind != "")
+        yield t.loc[hit, ["f", "src", "ord"]].assign(kind=kind[hit], p_spike=p[hit, 1], p_stuck=p[hit, 2])
 
 
 def flag_readings(readings: DataFrame, bucket: Column, bounds: dict[str, tuple[float, float]], cfg: SpikeConfig = SpikeConfig()) -> DataFrame:
@@ -190,27 +207,27 @@ def flag_readings(readings: DataFrame, bucket: Column, bounds: dict[str, tuple[f
     for f, (lo, hi) in bounds.items():
         ok = ok | ((F.col("f") == f) & F.col("v").between(lo, hi) & (F.abs("v") < float("inf")))
     placed = with_positions(one, ["f", "src"], ["ord"], bucket)
-    size = cfg.chunk * cfg.chunks_per_task
+    size = cfg.chunk * cfg.block_chunks
     block = F.floor(F.col("pos") / size).cast("bigint")
     inside = F.col("pos") - block * size
     blocks = F.array_compact(
         F.array(block, F.when((inside < cfg.halo) & (block > 0), block - 1), F.when(inside >= size - cfg.halo, block + 1))
     )
     spread = placed.select("f", "src", "ord", "pos", "v", ok.alias("ok"), block.alias("home"), F.explode(blocks).alias("block"))
-    spread = cut(spread.select("*", (F.col("home") == F.col("block")).alias("own")).drop("home").repartition("f", "src", "block"))
-    hist = spread.groupBy("f", "src", "block").applyInPandas(partial(_scatter_of, cfg=cfg), _SCATTER)
-    hist = hist.groupBy("f", "src", "bin").agg(F.sum(F.greatest("n", F.lit(0))).alias("n"), F.sum("same").alias("same"), F.min("n").alias("mark"))
-    w = Window.partitionBy("f", "src").orderBy("bin")
-    all_ = Window.partitionBy("f", "src")
-    hist = hist.withColumn("cum", F.sum("n").over(w)).withColumn("total", F.sum("n").over(all_))
-    low = -(2**30)
-    upper = F.when(F.col("bin") == low, 0.0).otherwise(F.pow(F.lit(cfg.bin_ratio), F.col("bin") + 1))
+    spread = spread.select("*", (F.col("home") == F.col("block")).alias("own")).drop("home")
+    by_block = lambda df: df.repartition("f", "src", "block").sortWithinPartitions("f", "src", "block", "pos")
+    spread = cut(by_block(spread))
+    hist = spread.mapInPandas(partial(_scatters, cfg=cfg), _SCATTER)
+    hist = hist.groupBy("f", "src", "mark", "bin").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    all_ = Window.partitionBy("f", "src", "mark")
+    hist = hist.withColumn("cum", F.sum("n").over(all_.orderBy("bin"))).withColumn("total", F.sum("n").over(all_))
+    upper = F.when(F.col("bin") == _ZERO, 0.0).otherwise(F.pow(F.lit(cfg.bin_ratio), F.col("bin") + 1))
     scale = hist.groupBy("f", "src").agg(
-        F.min(F.when(F.col("cum") >= F.col("total") * cfg.scatter_quantile, upper)).alias("q"),
-        F.min(F.when(F.col("mark") == -1, upper)).alias("step"),
+        F.min(F.when((F.col("mark") == 0) & (F.col("cum") >= F.col("total") * cfg.scatter_quantile), upper)).alias("q"),
+        F.min(F.when(F.col("mark") == 1, upper)).alias("step"),
         (F.sum("same") / F.greatest(F.sum("n"), F.lit(1))).alias("repeats"),
     )
-    scale = cut(scale.select("f", "src", F.greatest(F.coalesce("q", F.lit(0.0)), F.coalesce("step", F.lit(0.0)), F.lit(1e-12)).alias("scatter"), "repeats"))
-    judged = join_checked(spread, scale, ["f", "src"], "left")
-    judged = judged.fillna({"scatter": 1.0, "repeats": 0.0})
-    return judged.groupBy("f", "src", "block").applyInPandas(partial(_flags_of, cfg=cfg), _FLAGGED)
+    scatter = F.greatest(F.coalesce("q", F.lit(0.0)), F.coalesce("step", F.lit(0.0)), F.lit(1e-12))
+    scale = cut(scale.select("f", "src", scatter.alias("scatter"), "repeats"))
+    judged = join_checked(spread, scale, ["f", "src"], "left").fillna({"scatter": 1.0, "repeats": 0.0})
+    return by_block(judged).mapInPandas(partial(_flags, cfg=cfg), _FLAGGED)
