@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.llm.nearest_time import nearest_in_time
+from tracklane.llm.packing import PackConfig, pack
 from tracklane.llm.quantiles import quantiles, summarise
 from tracklane.operators.joins import join_checked
 from tracklane.session import cut
@@ -88,5 +89,20 @@ def _p4_check_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-QUERIES = {"p1_found": p1_found, "p4_percentiles": p4_percentiles, "p4_rank_check": p4_rank_check}
+PACKING = PackConfig()
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every notebook text goes, in containers of 2,048 tokens."""
+    return pack(table(spark, folder, "documents"), "doc_id", "text", PACKING)
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are, per tenth of their capacity."""
+    used = p8_containers(spark, folder).filter("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
+    tenth = F.least(F.floor(F.col("used") * 10 / PACKING.capacity), F.lit(9)).cast("int")
+    return used.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("pieces").alias("pieces"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_percentiles": p4_percentiles, "p4_rank_check": p4_rank_check, "p8_containers": p8_containers, "p8_fill": p8_fill}
 SQL = {"p1_found": P1_SQL, "p4_rank_check": _p4_check_sql()}
