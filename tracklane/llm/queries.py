@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklane.llm.leakage import find_leaks
 from tracklane.llm.nearest_time import nearest_in_time
 from tracklane.llm.packing import PackConfig, pack
 from tracklane.llm.quantiles import quantiles, summarise
@@ -104,5 +105,18 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return used.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("pieces").alias("pieces"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_percentiles": p4_percentiles, "p4_rank_check": p4_rank_check, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Where in each notebook an item stands, and how much of it."""
+    return _leaks(spark, folder)
+
+
+QUERIES = {"p1_found": p1_found, "p4_percentiles": p4_percentiles, "p4_rank_check": p4_rank_check, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_passages": p9_passages}
 SQL = {"p1_found": P1_SQL, "p4_rank_check": _p4_check_sql()}
