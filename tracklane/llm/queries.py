@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.llm.leakage import find_leaks
+from tracklane.llm.mojibake import find_garbled
 from tracklane.llm.nearest_time import nearest_in_time
 from tracklane.llm.packing import PackConfig, pack
 from tracklane.llm.quantiles import quantiles, summarise
@@ -118,5 +119,18 @@ def p9_passages(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder)
 
 
-QUERIES = {"p1_found": p1_found, "p4_percentiles": p4_percentiles, "p4_rank_check": p4_rank_check, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_passages": p9_passages}
+def _garbled(spark: SparkSession, folder: str) -> DataFrame:
+    return find_garbled(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _garbled(spark, folder).select(F.col("doc").alias("doc_id")).distinct()
+
+
+def p10_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every garbled run, with the text it stood for where that can be told."""
+    return _garbled(spark, folder)
+
+
+QUERIES = {"p1_found": p1_found, "p4_percentiles": p4_percentiles, "p4_rank_check": p4_rank_check, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_runs": p10_runs}
 SQL = {"p1_found": P1_SQL, "p4_rank_check": _p4_check_sql()}
