@@ -27,10 +27,11 @@ def owned(df: DataFrame) -> DataFrame:
     return df.filter("_own").drop("_own", "_block")
 
 
-def rolling_mad(x: Column, w) -> Column:
-    """Median absolute deviation within a frame."""
-    values = F.array_sort(F.collect_list(x).over(w))
-    return _mid(F.array_sort(F.transform(values, lambda v: F.abs(v - _mid(values)))))
+def with_rolling_mad(df: DataFrame, x: str, w, out: str) -> DataFrame:
+    """Median absolute deviation of ``x`` within a frame, as column ``out``."""
+    d = df.withColumn("_vs", F.collect_list(x).over(w)).withColumn("_vs", F.array_sort("_vs")).withColumn("_mid", _mid(F.col("_vs")))
+    d = d.withColumn("_vs", F.transform("_vs", lambda v: F.abs(v - F.col("_mid"))))
+    return d.withColumn(out, _mid(F.array_sort("_vs"))).drop("_vs", "_mid")
 
 
 def _mid(a: Column) -> Column:
