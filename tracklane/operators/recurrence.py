@@ -95,7 +95,7 @@ def exponential_gain(tau: float) -> Callable[[Column], Column]:
 
 
 def rational_gain(tau: float, least_dt: float = 1e-4) -> Callable[[Column], Column]:
-    return lambda dt: F.greatest(F.lit(least_dt), dt) / (tau + F.greatest(F.lit(least_dt), dt))
+    return lambda dt: F.when(dt.isNotNull(), F.greatest(F.lit(least_dt), dt) / (tau + F.greatest(F.lit(least_dt), dt)))
 
 
 Kernel = Callable[[], Callable[[tuple], tuple]]
@@ -162,23 +162,23 @@ def bias_ewma(gate: float = 6.0, clip: float = 3.0, tau: float = 30.0, first_dt:
     return step
 
 
-def bias_kalman(gate=10.0, clip=3.0, noise=1.5, walk=(0.1, 0.02), start=4.0, low=(-8.0, 0.0), high=(8.0, 12.0), revert: tuple[float, float] | None = None) -> Callable[[tuple], tuple]:
+def bias_kalman(gate=10.0, clip=3.0, noise=1.5, walk=(0.1, 0.02), start=4.0, first_dt=10.0, low=(-8.0, 0.0), high=(8.0, 12.0), revert: tuple[float, float] | None = None) -> Callable[[tuple], tuple]:
     """Rows (.tr, .source, .u, .speed): bias and gain on (speed / 10)**2; with ``revert`` (time constants) both decay to 0.
 
-    A row without speed is skipped: it leaves the state as it was (with ``revert``,
+    With ``revert``, rows without a source are samples that only ask for the state. A row without speed is skipped: it leaves the state as it was (with ``revert``,
     as predicted to its time).
     """
     s = {"x": np.zeros(2), "p": np.diag([start**2, start**2]), "t": None}
 
     def predict(t: float) -> None:
-        dt = 0.0 if s["t"] is None else t - s["t"]
+        dt = (0.0 if revert else first_dt) if s["t"] is None else max(0.0, t - s["t"])
         d = np.exp(-dt / np.asarray(revert)) if revert else np.ones(2)
         s["x"] = d * s["x"]
         s["p"] = s["p"] * np.outer(d, d) + np.diag(np.square(walk)) * dt
         s["t"] = t
 
     def step(r) -> tuple:
-        none = _gone(r.speed)
+        none = _gone(r.speed) or _gone(r.source)
         if revert or not none:
             predict(r.tr)
         if none:
