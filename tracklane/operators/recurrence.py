@@ -98,7 +98,8 @@ def rational_gain(tau: float, least_dt: float = 1e-4) -> Callable[[Column], Colu
     return lambda dt: F.when(dt.isNotNull(), F.greatest(F.lit(least_dt), dt) / (tau + F.greatest(F.lit(least_dt), dt)))
 
 
-Kernel = Callable[[], Callable[[tuple], tuple]]
+# Makes the step function of a series; steps keep their state in a dict that is also their attribute ``state``.
+Kernel = Callable[..., Callable[[tuple], tuple]]
 
 
 def _stream(batches: Iterator[pd.DataFrame], keys: list[str], kernel: Kernel, names: list[str], out: list[str]) -> Iterator[pd.DataFrame]:
@@ -129,9 +130,9 @@ def _gone(x: float | None) -> bool:
     return x is None or x != x
 
 
-def hold_decay(hold: float = 0.5, tau: float = 0.5, least: float = 0.0) -> Callable[[tuple], tuple]:
+def hold_decay(hold: float = 0.5, tau: float = 0.5, least: float = 0.0, state: dict | None = None) -> Callable[[tuple], tuple]:
     """Rows (.t, .x, .bad): the last good value is held for ``hold`` seconds, then decays."""
-    s = {"good": 0.0, "held": 0.0, "t": None}
+    s = state or {"good": 0.0, "held": 0.0, "t": None}
 
     def step(r) -> tuple:
         dt = 0.0 if s["t"] is None else max(r.t - s["t"], least)
@@ -142,12 +143,13 @@ def hold_decay(hold: float = 0.5, tau: float = 0.5, least: float = 0.0) -> Calla
         s["held"] += dt
         return (s["good"] if s["held"] <= hold else s["good"] * math.exp(-(s["held"] - hold) / tau),)
 
+    step.state = s
     return step
 
 
-def bias_ewma(gate: float = 6.0, clip: float = 3.0, tau: float = 30.0, first_dt: float = 10.0) -> Callable[[tuple], tuple]:
+def bias_ewma(gate: float = 6.0, clip: float = 3.0, tau: float = 30.0, first_dt: float = 10.0, state: dict | None = None) -> Callable[[tuple], tuple]:
     """Rows (.tr, .source, .u): running bias of source against u, with an innovation gate and a clipped update."""
-    s = {"b": 0.0, "t": None}
+    s = state or {"b": 0.0, "t": None}
 
     def step(r) -> tuple:
         m = r.source - r.u
@@ -159,16 +161,17 @@ def bias_ewma(gate: float = 6.0, clip: float = 3.0, tau: float = 30.0, first_dt:
             s["b"] += g * min(max(inn, -clip), clip)
         return m, inn, ok, s["b"]
 
+    step.state = s
     return step
 
 
-def bias_kalman(gate=10.0, clip=3.0, noise=1.5, walk=(0.1, 0.02), start=4.0, first_dt=10.0, low=(-8.0, 0.0), high=(8.0, 12.0), revert: tuple[float, float] | None = None) -> Callable[[tuple], tuple]:
+def bias_kalman(gate=10.0, clip=3.0, noise=1.5, walk=(0.1, 0.02), start=4.0, first_dt=10.0, low=(-8.0, 0.0), high=(8.0, 12.0), revert: tuple[float, float] | None = None, state: dict | None = None) -> Callable[[tuple], tuple]:
     """Rows (.tr, .source, .u, .speed): bias and gain on (speed / 10)**2; with ``revert`` (time constants) both decay to 0.
 
     With ``revert``, rows without a source are samples that only ask for the state. A row without speed is skipped: it leaves the state as it was (with ``revert``,
     as predicted to its time).
     """
-    s = {"x": np.zeros(2), "p": np.diag([start**2, start**2]), "t": None}
+    s = state or {"x": np.zeros(2), "p": np.diag([start**2, start**2]), "t": None}
 
     def predict(t: float) -> None:
         dt = (0.0 if revert else first_dt) if s["t"] is None else max(0.0, t - s["t"])
@@ -194,12 +197,13 @@ def bias_kalman(gate=10.0, clip=3.0, noise=1.5, walk=(0.1, 0.02), start=4.0, fir
             s["p"] = (p + p.T) / 2
         return float(m), float(inn), ok, *map(float, s["x"])
 
+    step.state = s
     return step
 
 
-def confidence(least: int, keep: int, most: float, spread: float, rise: float, fall: float = 3.0, age: float = 20.0) -> Callable[[tuple], tuple]:
+def confidence(least: int, keep: int, most: float, spread: float, rise: float, fall: float = 3.0, age: float = 20.0, state: dict | None = None) -> Callable[[tuple], tuple]:
     """Rows (.tr, .is_event, .accepted, .inn, .bias), events before samples at a time: trust in a correction, 0 to 1."""
-    s = {"c": 0.0, "target": 0.0, "t": None, "trusted": None, "seen": []}
+    s = state or {"c": 0.0, "target": 0.0, "t": None, "trusted": None, "seen": []}
 
     def approach(t: float) -> None:
         dt = 0.0 if s["t"] is None else t - s["t"]
@@ -225,4 +229,20 @@ def confidence(least: int, keep: int, most: float, spread: float, rise: float, f
             approach(r.tr)
         return (min(max(s["c"], 0.0), 1.0),)
 
+    step.state = s
+    return step
+
+
+def exponential(tau: float, state: dict | None = None) -> Callable[[tuple], tuple]:
+    """Rows (.t, .x): the low-pass with gain 1 - exp(-dt / tau), as in ``low_pass`` without a seed."""
+    s = state or {"y": None, "t": None}
+
+    def step(r) -> tuple:
+        dt = 0.0 if s["t"] is None else r.t - s["t"]
+        s["t"] = r.t
+        if not _gone(r.x):
+            s["y"] = r.x if s["y"] is None else s["y"] + (1 - math.exp(-dt / tau)) * (r.x - s["y"])
+        return (s["y"],)
+
+    step.state = s
     return step
