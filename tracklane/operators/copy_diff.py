@@ -66,7 +66,7 @@ def _differs(f: Field, a: Column, b: Column, cfg: DiffConfig) -> Column:
     if f.kind == "text":
         return ~a.eqNullSafe(b)
     if f.kind == "stamp":
-        far = F.abs(a - b) > cfg.stamp_tolerance_ns
+        far = F.coalesce(F.abs(F.try_subtract(a, b)) > cfg.stamp_tolerance_ns, F.lit(True))
     else:
         far = F.when(a == b, False).otherwise(F.abs(a - b) > cfg.tolerance)
     return F.when(a.isNull() | b.isNull(), ~(a.isNull() & b.isNull())).otherwise(far)

@@ -25,8 +25,13 @@ class LateConfig:
     clock_slack_ns: int = 1_000_000_000  # a stamp further ahead of its arrival is wrong
 
 
+def stamp(ns: Column) -> Column:
+    """A time that sums and differences of nanoseconds can hold: within 126 years of 1970."""
+    return F.coalesce(ns.between(-4 * 10**18, 4 * 10**18), F.lit(False))
+
+
 def measured_ns(header: Column, arrival: Column, cfg: LateConfig = LateConfig()) -> Column:
-    wrong = header.isNull() | (header == 0) | (header > arrival + F.lit(cfg.clock_slack_ns))
+    wrong = header.isNull() | (header == 0) | ~stamp(header) | (header > arrival + F.lit(cfg.clock_slack_ns))
     return F.when(wrong, arrival).otherwise(header)
 
 
@@ -37,15 +42,15 @@ def classify(
 
     Columns: message..., row_id, arrival, at_ns, period (start, ns), outcome
     ('in_time', 'corrects', 'dropped') and ``carry``. Of a message's rows the one of
-    the least arrival counts (of equals, the least row_id); rows without an arrival
-    never arrived and are left out; a null message key is a message like any other.
+    the least arrival counts (of equals, the least row_id); rows without an
+    arrival (null, or no time within 126 years of 1970) never arrived and are left out; a null message key is a message like any other.
     """
     carry = carry or {}
     row = F.struct(
         F.col(arrival).alias("arrival"), F.col(row_id).alias("rid"), F.col(header).alias("header"), *(c.alias(f"c{i}") for i, c in enumerate(carry.values()))
     )
     order = F.struct(F.col(arrival), F.col(row_id))
-    first = df.filter(F.col(arrival).isNotNull()).groupBy(*message).agg(F.min_by(row, order).alias("r"))
+    first = df.filter(stamp(F.col(arrival))).groupBy(*message).agg(F.min_by(row, order).alias("r"))
     at = measured_ns(F.col("r.header"), F.col("r.arrival"), cfg)
     period = at - F.pmod(at, F.lit(cfg.period_ns))
     late = F.col("arrival") - (F.col("period") + F.lit(cfg.period_ns))

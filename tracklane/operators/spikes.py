@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklane.functions.missing import present
+from tracklane.functions.missing import finite, present
 from tracklane.operators.joins import join_checked
 from tracklane.operators.positions import with_positions
 from tracklane.session import cut
@@ -193,13 +193,13 @@ def flag_readings(readings: DataFrame, bucket: Column, bounds: dict[str, tuple[f
 
     ``readings``: f (field; key of ``bounds``), src (source), ord (order of
     measurement, double), v. ``bucket`` coarsens ord (see with_positions). Null and
-    NaN values, and rows without ord, are no readings. Readings of one source and ord
+    NaN values, and rows without a finite ord, are no readings. Readings of one source and ord
     are copies, judged once (by the least value, should they differ). A null source
     is the source ''. Sources too short to have neighbours are judged by the bounds
     alone. No rows give no flags.
     """
     one = (
-        readings.filter(present(F.col("v")) & present(F.col("ord")))
+        readings.filter(present(F.col("v")) & finite(F.col("ord")))
         .groupBy("f", F.coalesce("src", F.lit("")).alias("src"), "ord")
         .agg(F.min("v").alias("v"))
     )

@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.operators.late_events import LateConfig, measured_ns
+from tracklane.operators.late_events import LateConfig, measured_ns, stamp
 
 
 def with_outcome(df: DataFrame, header: str, arrival: str, cfg: LateConfig = LateConfig()) -> DataFrame:
     """Each record with at_ns, period and outcome, as in ``classify``; no state is needed for it."""
     at = measured_ns(F.col(header), F.col(arrival), cfg)
     late = F.col(arrival) - (F.col("period") + F.lit(cfg.period_ns))
-    out = df.filter(F.col(arrival).isNotNull()).withColumn("at_ns", at).withColumn("period", F.col("at_ns") - F.pmod("at_ns", F.lit(cfg.period_ns)))
+    out = df.filter(stamp(F.col(arrival))).withColumn("at_ns", at).withColumn("period", F.col("at_ns") - F.pmod("at_ns", F.lit(cfg.period_ns)))
     return out.withColumn("outcome", F.when(late >= cfg.cutoff_ns, "dropped").when(late >= cfg.report_after_ns, "corrects").otherwise("in_time"))
 
 
