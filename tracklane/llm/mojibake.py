@@ -133,7 +133,7 @@ def corpus_model(docs: DataFrame, text: str, cfg: GarbleConfig = GarbleConfig())
 def segments(at: list[int], cost: float) -> list[tuple[int, int]]:
     """Maximum-scoring segments (first, last position) of pairs scored 1 at ``at`` and -cost elsewhere, in one pass."""
     out: list[list[float]] = []  # left sum, right sum, first, last
-    total, last = 0.0, None
+    total, last, base = 0.0, None, 0  # segments before ``base`` are final
     for p in at:
         if last is not None:
             total -= cost * (p - last - 1)
@@ -141,9 +141,11 @@ def segments(at: list[int], cost: float) -> list[tuple[int, int]]:
         total, last = total + 1.0, p
         while True:
             j = len(out) - 1
-            while j >= 0 and out[j][0] >= seg[0]:
+            while j >= base and out[j][0] >= seg[0]:
                 j -= 1
-            if j < 0 or out[j][1] >= seg[1]:
+            if j < base:  # the sum has never been lower: nothing before can be joined any more
+                base = len(out)
+            if j < base or out[j][1] >= seg[1]:
                 out.append(seg)
                 break
             seg = [out[j][0], seg[1], out[j][2], seg[3]]

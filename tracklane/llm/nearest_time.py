@@ -100,8 +100,8 @@ def nearest_in_time(
     """(left_id, right_id, gap): of each left record the nearest right one of its entity, where it is at most ``tolerance`` away.
 
     Ids are BIGINT, times numbers. Of right records at one time the smallest id
-    counts; of two equally far ones too. Records whose entity or time is missing
-    (null; NaN or infinite time) pair with nothing; a left record without a partner
+    counts; of two equally far ones too. Records whose id, entity or time is
+    missing (null; NaN or infinite time) pair with nothing; a left record without a partner
     has no row; repeated left records each have theirs; an empty side gives an empty
     result. Other columns of either table are ignored. ``shard`` is at least twice
     the tolerance.
@@ -113,7 +113,7 @@ def nearest_in_time(
 
     def rows(df: DataFrame, id_: str) -> DataFrame:
         t = F.col(time).cast("double")
-        return df.filter(F.col(entity).isNotNull() & finite(t)).select(F.col(entity).alias("e"), t.alias("t"), F.col(id_).cast("bigint").alias("id"))
+        return df.filter(F.col(entity).isNotNull() & F.col(id_).isNotNull() & finite(t)).select(F.col(entity).alias("e"), t.alias("t"), F.col(id_).cast("bigint").alias("id"))
 
     t = F.col("t")
     r = rows(right, right_id).groupBy("e", "t").agg(F.min("id").alias("id"))
