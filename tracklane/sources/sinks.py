@@ -46,6 +46,6 @@ def write_bundle(variants: dict[str, DataFrame], path: str) -> None:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, length, sha256) of every file below a folder, hashed where the files are read."""
+    """(file, length, sha256) of every file below a folder, hashed where the files are read; empty files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
