@@ -72,55 +72,52 @@ def _differs(f: Field, a: Column, b: Column, cfg: DiffConfig) -> Column:
     return F.when(a.isNull() | b.isNull(), ~(a.isNull() & b.isNull())).otherwise(far)
 
 
-def leaf_checksums(df: DataFrame, entity: str, key: str, fields: list[Field], cfg: DiffConfig) -> DataFrame:
-    """One row per leaf range: (entity, leaf, digest, total, n). Repeated rows of a key count once."""
+SIDES = (0, 1)  # generated, golden
+SUMS = ("digest", "total", "n")
+
+
+def leaf_checksums(generated: DataFrame, golden: DataFrame, entity: str, key: str, fields: list[Field], cfg: DiffConfig) -> DataFrame:
+    """One row per leaf range: (entity, leaf) and the checksum (digest, total, n) of either side. Repeated rows of a key count once."""
     cells = [(_cell(f, _value(f), cfg)) for f in fields]
     gaps = sum((F.when(_value(f).isNull(), F.lit(1 << i)).otherwise(0) for i, f in enumerate(fields)), F.lit(0))
-    rows = df.select(
-        F.col(entity).alias("entity"),
-        F.shiftright(F.col(key).cast("bigint"), cfg.leaf_bits).alias("leaf"),
-        F.col(key).cast("bigint").alias("k"),
-        F.xxhash64(*cells, gaps).alias("h"),
-    )
-    once = rows.groupBy("entity", "leaf", "k").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+
+    def rows(df: DataFrame, side: int) -> DataFrame:
+        k = F.col(key).cast("bigint")
+        return df.select(F.col(entity).alias("entity"), F.shiftright(k, cfg.leaf_bits).alias("leaf"), k.alias("k"), F.lit(side).alias("side"), F.xxhash64(*cells, gaps).alias("h"))
+
+    both = rows(generated, 0).unionByName(rows(golden, 1))
+    once = both.groupBy("entity", "leaf", "k", "side").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     row = F.xxhash64(F.coalesce("k", F.lit(0)), F.col("k").isNull(), "lo", "hi")
-    return once.groupBy("entity", "leaf").agg(
-        F.bit_xor(row).alias("digest"),
-        F.sum(F.pmod(row, F.lit(1 << 31))).alias("total"),
-        F.count("*").alias("n"),
+    return once.withColumn("row", row).groupBy("entity", "leaf").agg(
+        *(F.bit_xor(F.when(F.col("side") == s, F.col("row"))).alias(f"digest{s}") for s in SIDES),
+        *(F.sum(F.when(F.col("side") == s, F.pmod("row", F.lit(1 << 31)))).alias(f"total{s}") for s in SIDES),
+        *(F.count_if(F.col("side") == s).alias(f"n{s}") for s in SIDES),
     )
 
 
 def _parent(level: DataFrame, cfg: DiffConfig) -> DataFrame:
     return level.groupBy("entity", F.shiftright("leaf", cfg.fan_bits).alias("leaf")).agg(
-        F.bit_xor("digest").alias("digest"), F.sum("total").alias("total"), F.sum("n").alias("n")
+        *(F.bit_xor(f"digest{s}").alias(f"digest{s}") for s in SIDES), *(F.sum(f"{c}{s}").alias(f"{c}{s}") for c in ("total", "n") for s in SIDES)
     )
 
 
-def _mismatched(left: DataFrame, right: DataFrame) -> DataFrame:
+def _mismatched(level: DataFrame) -> DataFrame:
     """Ranges of one level whose checksums disagree or that one side lacks."""
-    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    pick = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
-    agg = both.groupBy("entity", "leaf").agg(*(pick(c, s).alias(f"{c}{s}") for c in ("digest", "total", "n") for s in (0, 1)))
-    same = [F.col(f"{c}0").eqNullSafe(F.col(f"{c}1")) for c in ("digest", "total", "n")]
-    return agg.filter(~(same[0] & same[1] & same[2])).select("entity", "leaf")
+    same = [F.col(f"{c}0").eqNullSafe(F.col(f"{c}1")) for c in SUMS]
+    return level.filter(~(same[0] & same[1] & same[2])).select("entity", "leaf")
 
 
-def mismatched_leaves(left: DataFrame, right: DataFrame, cfg: DiffConfig) -> DataFrame:
+def mismatched_leaves(leaves: DataFrame, cfg: DiffConfig) -> DataFrame:
     """Bisect from the top: (entity, leaf) of the leaf ranges in which the copies disagree."""
-    sides = [[left], [right]]
-    for side in sides:
-        for _ in range(cfg.levels - 1):
-            side.append(_parent(side[-1], cfg))
-    bad = _mismatched(sides[0][-1], sides[1][-1])
-    for level in range(cfg.levels - 2, -1, -1):
-        below = []
-        for side in sides:
-            part = side[level].alias("x")
-            up = bad.select(F.col("entity").alias("e"), F.col("leaf").alias("up")).alias("b")
-            on = F.col("x.entity").eqNullSafe(F.col("b.e")) & F.shiftright("x.leaf", cfg.fan_bits).eqNullSafe(F.col("b.up"))
-            below.append(part.join(up, on, "left_semi"))
-        bad = _mismatched(*below)
+    tree = [leaves]
+    for _ in range(cfg.levels - 1):
+        tree.append(_parent(tree[-1], cfg))
+    bad = _mismatched(tree.pop())
+    while tree:
+        up = bad.select(F.col("entity").alias("e"), F.col("leaf").alias("up")).alias("b")
+        below = _mismatched(tree.pop()).alias("x")
+        on = F.col("x.entity").eqNullSafe(F.col("b.e")) & F.shiftright("x.leaf", cfg.fan_bits).eqNullSafe(F.col("b.up"))
+        bad = below.join(up, on, "left_semi")
     return bad
 
 
@@ -140,8 +137,8 @@ def diff_copies(
     key is a key like any other. Columns beyond ``fields`` are never looked at;
     an empty copy makes every row of the other one missing.
     """
-    leaves = [cut(leaf_checksums(d, entity, key, fields, cfg)) for d in (generated, golden)]
-    bad = cut(mismatched_leaves(*leaves, cfg))
+    leaves = cut(leaf_checksums(generated, golden, entity, key, fields, cfg))
+    bad = cut(mismatched_leaves(leaves, cfg))
     names = [f"f{i}" for i in range(len(fields))]
 
     def suspects(df: DataFrame, side: int) -> DataFrame:
