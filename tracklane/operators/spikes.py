@@ -38,7 +38,7 @@ class SpikeConfig:
     halo: int = 48
     chunk: int = 256
     block_chunks: int = 64  # chunks to a block; a block lies in one task
-    scatter_quantile: float = 0.9
+    scatter_quantile: float = 0.8  # of the distances; what an exponential 0.9 quantile would be from it is one scatter
     tail: float = 0.75  # of the normal state's exponential distances, in scatters
     spike_from: float = 3.0  # spikes spread log-evenly between these, in scatters
     spike_to: float = 1e5
@@ -227,7 +227,8 @@ def flag_readings(readings: DataFrame, bucket: Column, bounds: dict[str, tuple[f
         F.min(F.when(F.col("mark") == 1, upper)).alias("step"),
         (F.sum("same") / F.greatest(F.sum("n"), F.lit(1))).alias("repeats"),
     )
-    scatter = F.greatest(F.coalesce("q", F.lit(0.0)), F.coalesce("step", F.lit(0.0)), F.lit(1e-12))
+    to_90 = float(np.log(10) / -np.log(1 - cfg.scatter_quantile))
+    scatter = F.greatest(F.coalesce("q", F.lit(0.0)) * to_90, F.coalesce("step", F.lit(0.0)), F.lit(1e-12))
     scale = cut(scale.select("f", "src", scatter.alias("scatter"), "repeats"))
     judged = join_checked(spread, scale, ["f", "src"], "left").fillna({"scatter": 1.0, "repeats": 0.0})
     return by_block(judged).mapInPandas(partial(_flags, cfg=cfg), _FLAGGED)
