@@ -69,7 +69,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         .select(*(F.col(k).alias(a) for k, a in zip(keys, ks, strict=True)), (F.col(value).cast("double") + 0.0).alias("v"))
         .groupBy(*ks, "v")
         .agg(F.count("*").alias("c"))
-        .withColumn("b", F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000) * 20))
+        .withColumn("b", F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000) * 200))
     )
     inside = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*ks, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     sums = counts.groupBy(*ks, "b").agg(F.sum("c").alias("s"))

@@ -29,6 +29,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracklane-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the checkpoint folder of the session."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
