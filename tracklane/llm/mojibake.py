@@ -25,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklane.session import cut
+
 
 @dataclass(frozen=True)
 class GarbleConfig:
-    contamination: float = 0.03  # share of texts in which a garbled pair may occur
+    contamination: float = 0.05  # share of texts in which a garbled pair may occur
     known_share: float = 0.001  # of texts: characters and pairs in at least so many belong to the corpus' languages
     least_information: float = -3.0  # of a probable pair
     gap_cost: float = 0.25  # per probable pair inside a run
+    unknown_gap_cost: float = 0.15  # per known pair inside a run of unknown ones, where single-byte inverses are tried
     rescue: float = 0.25  # share of a run's improbable pairs that may stay improbable after a single-byte inverse
     least_pairs: int = 4  # improbable pairs that a single-byte inverse needs
     block_chars: int = 2_000_000  # characters held as arrays at a time
@@ -90,10 +93,14 @@ def _starts(texts: list[str], at: list[int]) -> np.ndarray:
     return np.cumsum([0] + [len(texts[i]) + 1 for i in at])
 
 
+_TEXTS = -1  # the key under which texts themselves are counted
+
+
 def _count(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     fold = _fold_table()
     for b in batches:
         texts = b.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([_TEXTS]), pa.array([b.num_rows])], ["k", "n"])
         for at, joined in _blocks(texts, limit):
             codes = _codes(joined)
             pos, key = _pairs(codes, fold)
@@ -113,10 +120,11 @@ def corpus_model(docs: DataFrame, text: str, cfg: GarbleConfig = GarbleConfig())
     so there are at most (mean m) / known_share rows, however many texts.
     """
     rows = docs.filter(F.col(text) != "").select(F.col(text).alias("t"))
-    total = rows.count()
-    if not total:
+    counts = cut(rows.mapInArrow(partial(_count, limit=cfg.block_chars), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")))
+    texts = counts.filter(F.col("k") == _TEXTS).first()
+    if texts is None:
         return Model(np.empty(0, np.int64), np.empty(0, np.int64))
-    counts = rows.mapInArrow(partial(_count, limit=cfg.block_chars), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    total, counts = texts["n"], counts.filter(F.col("k") != _TEXTS)
     got = counts.filter(F.col("n") >= max(2, cfg.known_share * total)).toPandas().sort_values("k")
     k, n = got["k"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
     single = k >> 32 == 1
@@ -216,31 +224,45 @@ class Restorer:
                 best = left, text
         return best and best[1]
 
+    def words(self, text: str, first: int, last: int) -> tuple[int, int]:
+        """The pairs from first to last with the rest of the words they are in (at most 40 characters of it)."""
+        a, b = first, min(last + 2, len(text))
+        while a > 0 and not text[a - 1].isspace() and first - a < 40:
+            a -= 1
+        while b < len(text) and not text[b].isspace() and b - last < 40:
+            b += 1
+        return a, b
+
+    def in_bytes(self, text: str, a: int, b: int) -> list[tuple[int, int, str, str | None]]:
+        """Runs of text[a:b] that another single-byte encoding explains, around the pairs the corpus does not know."""
+        pos, key = _pairs(_codes(text[a:b]), self.fold)
+        out = []
+        for first, last in segments(pos[~self.has(self.model.known, key)].tolist(), self.cfg.unknown_gap_cost):
+            i, j = self.words(text, a + first, a + last)
+            if (not out or i >= out[-1][1]) and (good := self.from_bytes(text[i:j])) is not None:
+                out.append((i, j, "bytes", good))
+        return out
+
     def repair(self, text: str, at: list[int]) -> list[tuple[int, int, str, str | None]]:
         """(first, last + 1, kind, restored) of each garbled run among the improbable pairs at ``at``."""
         out = []
         for first, last in segments(at, self.cfg.gap_cost):
-            a, b = first, min(last + 2, len(text))
-            while a > 0 and not text[a - 1].isspace() and first - a < 40:
-                a -= 1
-            while b < len(text) and not text[b].isspace() and b - last < 40:
-                b += 1
-            word, found, i = text[a:b], [], 0
-            while i < len(word):  # runs beyond ASCII
-                if word[i].isascii():
+            a, b = self.words(text, first, last)
+            found, i = [], a
+            while i < b:  # runs beyond ASCII
+                if text[i].isascii():
                     i += 1
                     continue
                 j = i
-                while j < len(word) and not word[j].isascii():
+                while j < b and not text[j].isascii():
                     j += 1
-                run = word[i:j]
+                run = text[i:j]
                 if "�" in run:
-                    found.append((a + i, a + j, "lost", None))
+                    found.append((i, j, "lost", None))
                 elif j - i > 1 and (good := self.from_utf8(run)) is not None:
-                    found.append((a + i, a + j, "utf8", good))
+                    found.append((i, j, "utf8", good))
                 i = j
-            if not found and (good := self.from_bytes(word)) is not None:
-                found.append((a, b, "bytes", good))
+            found = found or self.in_bytes(text, a, b)
             out += [f for f in found if not out or f[0] >= out[-1][1]]
         return out
 

@@ -42,7 +42,7 @@ def _nearest_sql(name: str, other_id: str, tolerance: float, good: str) -> str:
 P1_SQL = _nearest_sql("gps_ref_enu", "fix_id", 0.5, "AND status >= 0") + " UNION ALL " + _nearest_sql("baro_corrected", "sample_id", 0.2, "")
 
 PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-HEIGHT = {"series,matching_mode": ["series", "matching_mode"], "flight_id": ["flight_id"], "log_day": ["log_day"]}
+HEIGHT = {"series": ["series"], "matching_mode": ["matching_mode"], "series,matching_mode": ["series", "matching_mode"], "flight_id": ["flight_id"], "log_day": ["log_day"]}
 BINS = {"bin_start_sec": ["bin_start_sec"], "run_name": ["run_name"], "matching_mode": ["matching_mode"]}
 _P4 = (("fusion_height_aligned_samples", "err_u", HEIGHT), ("error_by_time_bin", "rmse_xy_m", BINS))
 
