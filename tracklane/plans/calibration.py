@@ -41,8 +41,8 @@ def q_course_delay(spark: SparkSession, folder: str) -> DataFrame:
     taus = spark.range(-4, 5).select((F.col("id") * 0.25).alias("tau"))  # the grid, 9 rows
     d = d.crossJoin(F.broadcast(taus)).select("flight_id", "fix_id", "tau", (F.col("tr") - F.col("tau")).alias("tr"), F.atan2("ve", "vn").alias("course"))
     d = interpolate(d, _yaw(spark, folder), KEY, "tr", ["s", "c"]).filter("s_at IS NOT NULL")
-    d = d.withColumn("off", _wrap(F.col("course") - F.atan2("s_at", "c_at")))
     keys = ["flight_id", "tau"]
+    d = cut(d.select(*keys, _wrap(F.col("course") - F.atan2("s_at", "c_at")).alias("off")))  # needed for the bias and for what it leaves
     bias = cut(d.groupBy(*keys).agg(F.atan2(F.avg(F.sin("off")), F.avg(F.cos("off"))).alias("bias")))
     d = join_checked(d, bias, keys).withColumn("res", F.abs(_wrap(F.col("off") - F.col("bias"))))
     score = exact_percentiles(d, keys, "res", {"score": 0.5}).filter("n >= 5")
