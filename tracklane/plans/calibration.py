@@ -15,7 +15,7 @@ from tracklane.operators.joins import join_checked
 from tracklane.plans.alignment import KEY
 from tracklane.plans.windows import _slope, _slope_sql
 from tracklane.session import cut
-from tracklane.sources.sensors import baro, flow, gps, messages, starlink, with_sql
+from tracklane.sources.sensors import attitude, baro, flow, gps, messages, starlink, with_sql
 from tracklane.sources.tables import table
 
 TWO_PI = 2 * math.pi
@@ -33,14 +33,13 @@ def _yaw(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("flight_id", "tr", F.sin("yaw").alias("s"), F.cos("yaw").alias("c"))
 
 
-def q_course_delay(spark: SparkSession, folder: str) -> DataFrame:
-    """Delay of the dense fixes against the attitude: the course over ground beside the yaw at t - delay, on a grid, without their constant difference; the delay of the least median."""
+def _course_delay(spark: SparkSession, folder: str, yaw: DataFrame) -> DataFrame:
     d = in_blocks(gps(spark, folder).select("flight_id", "fix_id", "tr", "e", "n"), KEY, ["tr"], F.floor(F.col("tr") / 600), 1, 1)
     w = block_window(KEY)
     d = owned(d.withColumn("ve", _slope("e", "tr", w)).withColumn("vn", _slope("n", "tr", w))).filter(F.hypot("ve", "vn") > 2)
     taus = spark.range(-4, 5).select((F.col("id") * 0.25).alias("tau"))  # the grid, 9 rows
     d = d.crossJoin(F.broadcast(taus)).select("flight_id", "fix_id", "tau", (F.col("tr") - F.col("tau")).alias("tr"), F.atan2("ve", "vn").alias("course"))
-    d = interpolate(d, _yaw(spark, folder), KEY, "tr", ["s", "c"]).filter("s_at IS NOT NULL")
+    d = interpolate(d, yaw, KEY, "tr", ["s", "c"]).filter("s_at IS NOT NULL")
     keys = ["flight_id", "tau"]
     d = cut(d.select(*keys, _wrap(F.col("course") - F.atan2("s_at", "c_at")).alias("off")))  # needed for the bias and for what it leaves
     bias = cut(d.groupBy(*keys).agg(F.atan2(F.avg(F.sin("off")), F.avg(F.cos("off"))).alias("bias")))
@@ -50,6 +49,17 @@ def q_course_delay(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("flight_id", "b.score", "b.tau", "b.n")
 
 
+def q_course_delay(spark: SparkSession, folder: str) -> DataFrame:
+    """Delay of the dense fixes against the attitude: the course over ground beside the yaw at t - delay, on a grid, without their constant difference; the delay of the least median. Of the yaws that state 'rad' alone; all units: q_course_delay_all."""
+    return _course_delay(spark, folder, _yaw(spark, folder))
+
+
+def q_course_delay_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As q_course_delay, of the yaws in whatever unit they were recorded."""
+    yaw = attitude(spark, folder, "yaw")
+    return _course_delay(spark, folder, yaw.select("flight_id", "tr", F.sin("yaw").alias("s"), F.cos("yaw").alias("c")))
+
+
 COURSE_SQL = with_sql("gps", more=f"""v AS (SELECT flight_id, fix_id, tr, {_slope_sql('e')} AS ve, {_slope_sql('n')} AS vn FROM gps WINDOW w AS (PARTITION BY flight_id ORDER BY tr)),
 y AS (SELECT flight_id, tr, sin(yaw) AS s, cos(yaw) AS c FROM (SELECT *, row_number() OVER (PARTITION BY flight_id, tr ORDER BY sample_id) AS rn FROM euler_raw WHERE lower(trim(angle_unit, ' ')) = 'rad' AND isfinite(yaw) AND isfinite(tr)) WHERE rn = 1),
 g AS (SELECT flight_id, fix_id, CAST(i * 0.25 AS DOUBLE) AS tau, tr - i * 0.25 AS tr, atan2(ve, vn) AS course FROM v, range(-4, 5) r(i) WHERE sqrt(ve ** 2 + vn ** 2) > 2),

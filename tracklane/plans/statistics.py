@@ -15,7 +15,7 @@ from tracklane.operators.joins import join_checked
 from tracklane.operators.robust import robust_sigma, robust_vector_mean
 from tracklane.plans.alignment import ERRORS, KEY, errors, r6
 from tracklane.session import cut
-from tracklane.sources.sensors import baro, flow, gps, messages, starlink, vision, with_sql
+from tracklane.sources.sensors import attitude, baro, flow, gps, messages, starlink, vision, with_sql
 from tracklane.sources.tables import table
 
 
@@ -115,14 +115,24 @@ def q_geo_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 ROUND_TRIP_SQL = with_sql("gps") + "SELECT flight_id, count(*) AS n, TRUE AS lat_ok, TRUE AS lon_ok, TRUE AS alt_ok FROM gps GROUP BY 1"
 
 
+def _body_to_enu(spark: SparkSession, folder: str, a: DataFrame, *more: str) -> DataFrame:
+    """Vision velocities within the speed bound, turned by the attitude of ``a`` before them; ``more`` are further columns to keep."""
+    d = asof(vision(spark, folder).select("flight_id", "sample_id", "tr", "vx", "vy", "vz"), a, KEY, "tr", ["roll", "pitch", "yaw", *(c for c in more if c != "age")]).filter("yaw IS NOT NULL")
+    east, north, up = geo.body_to_enu(*map(F.col, ("vx", "vy", "vz", "roll", "pitch", "yaw")))
+    fine = F.hypot("vx", "vy") <= 60
+    return d.filter(fine).select("flight_id", "sample_id", F.round(east, 5).alias("ve"), F.round(north, 5).alias("vn"), F.round(up, 5).alias("vu"), *more)
+
+
 def q_body_to_enu(spark: SparkSession, folder: str) -> DataFrame:
-    """Body velocity turned into east, north, up by the attitude before it (radians; yaw clockwise from north)."""
+    """Body velocity turned into east, north, up by the attitude before it, of the rows that state 'rad' alone (yaw clockwise from north); all units: q_body_to_enu_all."""
     a = table(spark, folder, "euler_raw").filter((F.lower(F.trim("angle_unit")) == "rad") & finite(F.col("roll")) & finite(F.col("pitch")) & finite(F.col("yaw")) & finite(F.col("tr")))
     a = a.groupBy("flight_id", "tr").agg(F.min_by(F.struct("roll", "pitch", "yaw"), "sample_id").alias("r")).select("flight_id", "tr", "r.*")
-    d = asof(vision(spark, folder).select("flight_id", "sample_id", "tr", "vx", "vy", "vz"), a, KEY, "tr", ["roll", "pitch", "yaw"]).filter("yaw IS NOT NULL")
-    east, north, up = geo.body_to_enu(*map(F.col, ("vx", "vy", "vz", "roll", "pitch", "yaw")))
-    fine = F.hypot("vx", "vy") <= 60
-    return d.filter(fine).select("flight_id", "sample_id", F.round(east, 5).alias("ve"), F.round(north, 5).alias("vn"), F.round(up, 5).alias("vu"))
+    return _body_to_enu(spark, folder, a)
+
+
+def q_body_to_enu_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Body velocity turned into east, north, up by the attitude before it, in whatever unit that was recorded; its age, and whether its unit is in doubt."""
+    return _body_to_enu(spark, folder, attitude(spark, folder, "roll", "pitch", "yaw"), "age", "unsure").withColumn("age", F.round("age", 5))
 
 
 BODY_SQL = with_sql("vision", more="""a AS (SELECT flight_id, tr, roll, pitch, yaw FROM (SELECT *, row_number() OVER (PARTITION BY flight_id, tr ORDER BY sample_id) AS rn FROM euler_raw

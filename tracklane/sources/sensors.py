@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.functions.missing import finite
+from tracklane.operators.units import to_radians
 from tracklane.sources.tables import table
 
 
@@ -48,6 +49,14 @@ def vision(spark: SparkSession, folder: str) -> DataFrame:
     return one_per_key(df.select("flight_id", "tr", "sample_id", "seg", "t", "tr_arrival", "vx", "vy", "vz"), ["flight_id", "tr"], "sample_id")
 
 
+def attitude(spark: SparkSession, folder: str, *angles: str) -> DataFrame:
+    """Attitudes that hold all of ``angles``, in radians whatever unit they were recorded in (problem 3); ``unsure``: the unit is a guess from the size of the stream's values, and a doubtful one."""
+    df = table(spark, folder, "euler_raw").withColumn("at", F.struct("sample_id", "tr"))
+    df = to_radians(df, "at", ["flight_id", "origin"]).filter(finite(F.col("at.tr")) & all_finite(*(f"{a}_rad" for a in angles)))
+    df = df.select("flight_id", "at.tr", "at.sample_id", *(F.col(f"{a}_rad").alias(a) for a in angles), F.col("uncertain").alias("unsure"))
+    return one_per_key(df, ["flight_id", "tr"], "sample_id")
+
+
 def flow(spark: SparkSession, folder: str) -> DataFrame:
     """Optical-flow frames, exact repeats dropped, infinite and NaN numbers as null."""
     df = table(spark, folder, "lk_flow_physical_filtered")
