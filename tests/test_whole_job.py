@@ -52,3 +52,36 @@ def test_course_delay_of_every_unit(spark, tmp_path):
     rows = run(spark, tmp_path, "q_course_delay_all")
     assert sorted(r["flight_id"] for r in rows) == [1, 2, 3, 4, 5]
     assert [r["flight_id"] for r in run(spark, tmp_path, "q_course_delay")] == [1]
+
+
+ALIGNED = "flight_id bigint, tr double, series string, matching_mode string, err_u double"
+SERIES = {"prepared_baro_u": 2.0, "fused_raw_u": 1.0, "fused_exported_u": 1.5}
+
+
+def test_comparisons_take_all_times_and_errors(spark, tmp_path):
+    rows = [(1, float(t), s, "causal_backward", e) for t in range(0, 1081, 10) for s, e in SERIES.items()]
+    rows[-1] = (*rows[-1][:4], 2000.0)  # the exported series, at 1080 s
+    write(spark, tmp_path, fusion_height_aligned_samples=(rows, ALIGNED))
+    got = {r["series"]: r for r in run(spark, tmp_path, "q_variant_compare_all")}
+    assert [got[s]["n"] for s in SERIES] == [109] * 3 and got["fused_exported_u"]["most"] == 2000.0 and got["fused_raw_u"]["rmse"] == 1.0
+    (g,) = run(spark, tmp_path, "q_guardrails_all")
+    assert (g["times"], g["shared"], g["only_exported"], g["most"]) == (109, 109, 0, 1999.0)
+
+
+def test_decisions_over_the_windows_of_the_survey(spark, tmp_path):
+    # the candidate is worse in the last window only, after 900 s
+    err = lambda s, t: 2.1 if s == "fused_raw_u" and t >= 900 else SERIES[s]
+    rows = [(1, t + 0.5, s, "causal_backward", err(s, t)) for t in range(0, 1080, 10) for s in SERIES]
+    write(spark, tmp_path, fusion_height_aligned_samples=(rows, ALIGNED))
+    by = {r["role"]: r for r in run(spark, tmp_path, "q_window_decision_blocks")}
+    p, s = by["primary"], by["startup_stress"]
+    assert (p["windows"], p["wins"], p["mid"], p["unequal_windows"], p["accepted"]) == (6, 5, 50.0, 0, True) and -10 < p["worst"] < 0
+    assert (s["windows"], s["wins"], s["accepted"]) == (4, 3, None)
+    held = {r["held"]: r for r in run(spark, tmp_path, "q_lobo_select_blocks")}
+    assert sorted(held) == [f"long_o{o:03d}_d180" for o in range(0, 901, 180)] and held["long_o900_d180"]["policy"] == "fused_raw_u/causal_backward"
+    (t,) = run(spark, tmp_path, "q_sign_permutation_blocks")
+    assert t["windows"] == 6 and t["mean_gain"] > 0 and t["p_value"] == 2 / 64
+    # a sample less of the candidate in a stress window
+    write(spark, tmp_path, fusion_height_aligned_samples=([r for r in rows if r[1] != 40.5 or r[2] != "fused_raw_u"], ALIGNED))
+    r = next(r for r in run(spark, tmp_path, "q_window_decision_blocks") if r["role"] == "primary")
+    assert r["unequal_windows"] == 2 and r["accepted"] is False
