@@ -85,3 +85,26 @@ def test_decisions_over_the_windows_of_the_survey(spark, tmp_path):
     write(spark, tmp_path, fusion_height_aligned_samples=([r for r in rows if r[1] != 40.5 or r[2] != "fused_raw_u"], ALIGNED))
     r = next(r for r in run(spark, tmp_path, "q_window_decision_blocks") if r["role"] == "primary")
     assert r["unequal_windows"] == 2 and r["accepted"] is False
+
+
+def path(times, lag=0.0, step=0.01):
+    """Where one is at times - lag, at 10 m/s on a course of 2 sin(0.3 t)."""
+    e, n, at = 0.0, 0.0, {}
+    for k in range(-500, 6500):
+        at[k] = (e, n)
+        e, n = e + 10 * step * math.sin(2 * math.sin(0.3 * (k + 0.5) * step)), n + 10 * step * math.cos(2 * math.sin(0.3 * (k + 0.5) * step))
+    return [at[round((t - lag) / step)] for t in times]
+
+
+def fixes(times, lag=0.0, off=(0.0, 0.0)):
+    return [(i, 1, 0, 0.0, t, 1, 50.0, 8.0, 100.0, e + off[0], n + off[1], 100.0) for i, (t, (e, n)) in enumerate(zip(times, path(times, lag), strict=True))]
+
+
+def test_delays_between_the_quarters_of_a_second(spark, tmp_path):
+    dense, sparse = [k / 4 for k in range(240)], [k * 1.5 + 0.5 for k in range(38)]
+    write(spark, tmp_path, gps_ref_enu=(fixes(dense), GPS), starlink_corrected_enu=(fixes(sparse, 0.34, (30.0, -20.0)), GPS))
+    (r,) = run(spark, tmp_path, "q_delay_scan_fine")
+    assert abs(r["tau"] - 0.34) < 0.03 and r["score"] < 0.3 and r["rmse"] < 0.3 and r["doubt"] == ""
+    write(spark, tmp_path, gps_ref_enu=(fixes(dense, 0.34), GPS), euler_raw=(told(1, "deg", math.pi / 180, "deg", [k / 10 for k in range(-20, 620)], lambda t: 2 * math.sin(0.3 * t)), EULER))
+    (r,) = run(spark, tmp_path, "q_course_delay_all")
+    assert abs(r["tau"] - 0.34) < 0.03 and r["score"] <= r["p90"] < 0.05 and r["doubt"] == ""

@@ -147,6 +147,13 @@ SUPPORT_SQL = with_sql("gps", "baro", "vision", more="s AS (SELECT flight_id, mi
 )
 
 
+def judged_delay(score: DataFrame, more: str, edge: float, flat: float, few: int) -> DataFrame:
+    """The delay of the least score per flight, first of equals, from a grid of -edge to edge by 0.02 s; in doubt at the grid's edge, of few rows, or where the scores hardly differ."""
+    best = score.groupBy("flight_id").agg(F.min(F.struct(F.round("score", 6).alias("score"), "tau", "n", F.round(more, 6).alias(more))).alias("b"), (F.percentile("score", 0.9) - F.min("score")).alias("span"))
+    doubt = F.concat_ws("+", F.when(F.abs("b.tau") > edge - 0.03, "edge"), F.when(F.col("b.n") < few, "few"), F.when(F.col("span") < flat, "flat"))
+    return best.select("flight_id", "b.score", "b.tau", "b.n", f"b.{more}", r6("span"), doubt.alias("doubt"))
+
+
 def q_delay_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Delay of the sparse fixes against the dense ones: of a grid of delays the one with the least median distance, first of equals."""
     taus = spark.range(-12, 13).select((F.col("id") * 0.25).alias("tau"))  # the grid, 25 rows
