@@ -101,16 +101,45 @@ def test_leaks_in_every_dress(spark):
     items = spark.createDataFrame([(1, OPENING + ITEM, "x"), (2, OPENING + OTHER, "x"), (3, None, "x"), (4, "", "x"), (5, "too short", "x")] + [(10 + i, OPENING, "x") for i in range(6)], "item_id bigint, text string, doc string")
     got = {}
     for r in find_leaks(docs(spark, texts), "doc_id", "text", items, "item_id", "text").collect():
-        if r["item"] < 10:
+        if r["item"] >= 10:
+            assert r["doc"] == 8  # the opening as an item of its own, six times over
+        else:
             got.setdefault(r["doc"], set()).add(r["item"])
             assert texts[r["doc"]][r["start_char"] : r["end_char"]].split()[-1].lower().rstrip('."]}</p>') in ("noon", "again", words[len(words) * 3 // 4 - 1].lower().rstrip("."))
     assert got == {i: {1} for i in (0, 1, 2, 3, 4, 5, 6, 13, 14)} | {12: {1, 2}}
     assert find_leaks(docs(spark, []), "doc_id", "text", items, "item_id", "text").count() == 0
     assert find_leaks(docs(spark, texts), "doc_id", "text", items.filter("false"), "item_id", "text").count() == 0
+    every = find_leaks(docs(spark, texts), "doc_id", "text", items, "item_id", "text").filter("item >= 10").groupBy("item").count().collect()
+    assert {r["item"]: r["count"] for r in every} == {10 + i: 3 for i in range(6)}  # each copy in the text is a passage
     blocks = find_leaks(docs(spark, texts), "doc_id", "text", items, "item_id", "text", LeakConfig(block_chars=100))
     assert {(r["doc"], r["item"]) for r in blocks.collect() if r["item"] < 10} == {(d, i) for d, s in got.items() for i in s}
 
 
+@pytest.mark.parametrize("many", [6, 600])
+def test_items_that_are_alike_are_all_found(many):
+    same = Scanner([(i, ITEM) for i in range(many)], LeakConfig())
+    assert {r[0] for r in same.find("before " + ITEM + " after")} == set(range(many))
+    near = Scanner([(i, f"{ITEM} variant number {i}") for i in range(many)], LeakConfig())
+    assert {r[0] for r in near.find("before " + ITEM + " after")} == set(range(many))
+
+
+def test_short_and_changed_items():
+    short = "seven brittle lanterns gather beneath"
+    s = Scanner([(1, short), (2, short + " that narrow"), (3, "four words no more"), (4, ITEM)], LeakConfig())
+    assert {r[0] for r in s.find("So " + short + " that wide bridge")} == {1}
+    assert {r[0] for r in s.find("So " + short + " that narrow bridge")} == {1, 2}
+    assert s.find("four words no more") == []
+    words = ITEM.split()
+    each = lambda n: " ".join("changed" if i % n == n - 1 else w for i, w in enumerate(words))
+    assert {r[0] for r in s.find(each(7))} == {4}
+    assert s.find(each(5)) == []  # no run of five is left: the docstring says so
+
+
+def test_the_opening_alone_is_none_of_the_items_it_opens():
+    s = Scanner([(i, OPENING + " ".join(ITEM.split()[i:] + ITEM.split()[:i])) for i in range(0, 30, 3)], LeakConfig())
+    assert s.find(OPENING * 4) == []
+
+
 def test_words_and_flat_agree():
     for t in ("Ünï cödé <b>bold</b> x\\ny", 'a_b-c "d\\u00e9f"', "\x1b[0;31mred\x1b[0m É", ""):
         assert flat(t).split() == words_at(t)[0]

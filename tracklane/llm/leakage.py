@@ -1,11 +1,19 @@
 """Evaluation passages inside training texts (problem 9).
 
-Every run of five words of every test item is a pattern of one Aho-Corasick
-automaton over normalised words; runs that many items share (opening instructions)
-are not. Each text is normalised and scanned once. Where patterns of one item come
-close together, their words are aligned with the text around them, which allows for
-changed, added and lost words, and the item is found if the aligned words are half of
-its own. Positions are mapped back to the original text.
+Every run of five words of every test item, shared with other items or not, is a
+pattern of one Aho-Corasick automaton over normalised words (of items under eight
+words the whole item is). Each text is normalised and scanned once. Where patterns
+of one item come close together and the words around them could make up half of the
+item, item and text are aligned there, which allows for changed, added and lost words;
+the item is found if the aligned words are at least half of its own. Opening
+instructions that many items share point to all of them; of items that consist for the
+greater part of other words, a run of these must be there too. Positions are mapped
+back to the original text.
+
+Not found: a passage in which no ``least_runs`` runs of five words are left as they
+were (every fifth word changed, say), or of an item with a shared opening none outside
+the opening; an item of under eight words that is not there whole; and items of under
+``least_words`` words, which are short phrases.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +34,17 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class LeakConfig:
     run: int = 5  # words of a pattern
-    shared_by: int = 5  # items; a run in more of them tells nothing
-    least_runs: int = 4  # different runs of an item that must lie close together
+    whole_under: int = 8  # items of fewer words are one pattern
+    least_words: int = 5  # items of fewer words are never looked for
+    shared_by: int = 5  # items; of a run in more of them not every item counts as the owner
+    least_runs: int = 4  # different runs of an item that must lie close together; of short items a quarter of their runs
     least_share: float = 0.5  # of the item's words that the passage must hold
     mismatch: float = 0.5
     text_gap: float = 0.3
     item_gap: float = 0.5
-    block_chars: int = 16_000_000  # of items to one automaton; more items are scanned for in several passes
+    slack: int = 40  # words beyond an item's length that its passage may take up
+    at_once: int = 64  # alignments
+    block_chars: int = 2_000_000  # of items to one automaton (about 0.2 KB a character); more items are scanned for in several passes
 
 
 # Escapes, terminal codes and tags become blanks of the same length, so offsets stay.
@@ -71,31 +84,69 @@ def flat(text: str) -> str:
     return " " + " ".join(_SPLIT.sub(" ", text.lower()).split()) + " "
 
 
-def align(item: np.ndarray, text: np.ndarray, cfg: LeakConfig = LeakConfig()) -> tuple[int, int, int]:
-    """Best local alignment of two word lists: (words matched, first and last position in text)."""
-    n = len(text)
-    score, hits, begin = np.zeros(n + 1), np.zeros(n + 1, np.int32), np.arange(n + 1, dtype=np.int32)
-    best, where = (0.0, 0, 0, 0), np.arange(n + 1)
+def align(items: list[np.ndarray], texts: list[np.ndarray], cfg: LeakConfig = LeakConfig()) -> list[tuple[int, int, int]]:
+    """Best local alignment of each item with its text, as word lists: (words matched, first and last position in the text).
+
+    All pairs advance together, an item's word a step; pairs are taken from the longest item on, so those still at work come first.
+    """
+    order = sorted(range(len(items)), key=lambda i: -len(items[i]))
+    k, n = len(items), max(map(len, texts))
+    text = np.full((k, n), -1)
+    for row, i in enumerate(order):
+        text[row, : len(texts[i])] = texts[i]
+    lengths = np.array([len(items[i]) for i in order])
+    where = np.arange(n + 1, dtype=np.int32)
     ramp = cfg.text_gap * where
-    for w in item:
-        same = text == w
-        diag = score[:-1] + np.where(same, 1.0, -cfg.mismatch)
-        up = score[1:] - cfg.item_gap
-        s, h, b = np.zeros(n + 1), np.zeros(n + 1, np.int32), where.astype(np.int32)
+    score, hits, begin = np.zeros((k, n + 1)), np.zeros((k, n + 1), np.int32), np.tile(where, (k, 1))
+    best, found, starts = np.zeros(k), np.zeros((k, 3), np.int64), (np.arange(k) * (n + 1))[:, None]
+    for step in range(lengths[0]):
+        live = int((lengths > step).sum())
+        word = np.array([items[i][step] for i in order[:live]])
+        same = text[:live] == word[:, None]
+        diag = score[:live, :-1] + np.where(same, 1.0, -cfg.mismatch)
+        up = score[:live, 1:] - cfg.item_gap
         use = diag >= up
         top = np.where(use, diag, up)
-        live = top > 0
-        s[1:] = np.where(live, top, 0.0)
-        h[1:] = np.where(live, np.where(use, hits[:-1] + same, hits[1:]), 0)
-        b[1:] = np.where(live, np.where(use, begin[:-1], begin[1:]), where[1:])
-        lifted = s + ramp
-        run = np.maximum.accumulate(lifted)
-        src = np.maximum.accumulate(np.where(lifted >= run, where, 0))
-        score, hits, begin = run - ramp, h[src], b[src]
-        j = int(np.argmax(score))
-        if score[j] > best[0]:
-            best = (float(score[j]), int(hits[j]), int(begin[j]), j - 1)
-    return best[1], best[2], best[3]
+        some = top > 0
+        lifted, h, b = np.zeros((live, n + 1)), np.zeros((live, n + 1), np.int32), np.zeros((live, n + 1), np.int32)
+        np.maximum(top, 0.0, out=lifted[:, 1:])
+        lifted += ramp
+        h[:, 1:] = np.where(use, hits[:live, :-1] + same, hits[:live, 1:]) * some
+        b[:, 1:] = np.where(some, np.where(use, begin[:live, :-1], begin[:live, 1:]), where[1:])
+        run = np.maximum.accumulate(lifted, axis=1)
+        src = np.maximum.accumulate(where * (lifted >= run), axis=1) + starts[:live]
+        score, hits, begin = run - ramp, h.ravel()[src], b.ravel()[src]
+        j, row = score.argmax(1), np.arange(live)
+        better = score[row, j] > best[:live]
+        row, j = row[better], j[better]
+        best[row] = score[row, j]
+        found[row] = np.stack([hits[row, j], begin[row, j], j - 1], 1)
+    out = [(0, 0, 0)] * k
+    for row, i in enumerate(order):
+        out[i] = tuple(found[row].tolist())
+    return out
+
+
+@dataclass
+class _Item:
+    """Items of the same words: their ids, their words as codes, and those sorted with how often each occurs."""
+
+    ids: list[int]
+    words: np.ndarray
+    kinds: np.ndarray
+    counts: np.ndarray
+    least: int  # runs
+    need: float  # words
+    own: np.ndarray  # of each run, whether it alone tells the item: always so unless runs that many items share make up less than the words needed
+
+    def shown_by(self, runs: np.ndarray) -> bool:
+        return len(runs) >= self.least and self.own[runs].any() and len(set(runs.tolist())) >= self.least
+
+    def could_hold(self, text: np.ndarray) -> bool:
+        """Whether the words of a text, in whatever order, could make up the needed ones."""
+        at = np.minimum(np.searchsorted(self.kinds, text), len(self.kinds) - 1)
+        seen = np.bincount(at[self.kinds[at] == text], minlength=len(self.kinds))
+        return np.minimum(seen, self.counts).sum() >= self.need
 
 
 class Scanner:
@@ -104,67 +155,113 @@ class Scanner:
     def __init__(self, items: list[tuple[int, str]], cfg: LeakConfig) -> None:
         import ahocorasick
 
-        self.cfg, self.items, owners = cfg, {}, {}
+        self.cfg, self.codes, self.items, owners, same = cfg, {}, [], {}, {}
         for k, text in items:
-            words = flat(text or "").split()
-            if len(words) >= cfg.run:
-                self.items[k] = words
-                for i in range(len(words) - cfg.run + 1):
-                    owners.setdefault(" " + " ".join(words[i : i + cfg.run]) + " ", []).append((k, i))
-        self.codes = {w: c for c, w in enumerate({w for ws in self.items.values() for w in ws})}
-        self.coded = {k: np.array([self.codes[w] for w in ws]) for k, ws in self.items.items()}
-        self.auto = ahocorasick.Automaton()
-        for run, at in owners.items():
-            if len({k for k, _ in at}) <= cfg.shared_by:
-                self.auto.add_word(run, at)
+            words = tuple(flat(text or "").split())
+            if len(words) >= cfg.least_words:
+                same.setdefault(words, []).append(k)
+        for words, ids in same.items():
+            coded = [self.codes.setdefault(w, len(self.codes) + 1) for w in words]  # 0 stands for words of no item
+            short = len(words) < cfg.whole_under
+            size, need = (len(words), len(words)) if short else (cfg.run, cfg.least_share * len(words))
+            runs = len(words) - size + 1
+            for i in range(runs):
+                owners.setdefault(tuple(coded[i : i + size]), []).append((len(self.items), i))
+            kinds, counts = np.unique(coded, return_counts=True)
+            self.items.append(_Item(ids, np.array(coded), kinds, counts, min(cfg.least_runs, -(-runs // 4)), need, np.ones(runs, bool)))
+        shared: dict[int, list[tuple[int, int]]] = {}
+        for run, own in owners.items():
+            if len({k for k, _ in own}) > cfg.shared_by:
+                for k, i in own:
+                    shared.setdefault(k, []).append((i, i + len(run)))
+        for k, spans in shared.items():
+            if len({w for a, b in spans for w in range(a, b)}) < self.items[k].need:
+                self.items[k].own[[a for a, _ in spans]] = False
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for n, run in enumerate(owners):
+            self.auto.add_word(run, n)
+        self.first = np.cumsum([0, *map(len, owners.values())])  # of the owners of each run, in one array
+        self.owner = np.array([o for own in owners.values() for o in own], np.int32).reshape(-1, 2)
         self.empty = not len(self.auto)
         if not self.empty:
             self.auto.make_automaton()
 
+    def _coded(self, words: list[str]) -> list[int]:
+        get = self.codes.get
+        return [get(w, 0) for w in words]
+
+    def _seeds(self, coded: list[int]) -> np.ndarray:
+        """(item, position of the run's last word in the text, number of the run in the item) in that order."""
+        hits = np.array([(end, n) for end, n in self.auto.iter(tuple(coded))], np.int64).reshape(-1, 2)
+        many = self.first[hits[:, 1] + 1] - self.first[hits[:, 1]]
+        at = np.repeat(self.first[hits[:, 1]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        own = self.owner[at]
+        seeds = np.stack([own[:, 0], np.repeat(hits[:, 0], many), own[:, 1]], 1)
+        return seeds[np.lexsort((seeds[:, 2], seeds[:, 1], seeds[:, 0]))]
+
+    def _groups(self, seeds: np.ndarray) -> Iterator[tuple[_Item, np.ndarray]]:
+        """Items with the seeds of each place where enough of their runs lie close together."""
+        if not len(seeds):
+            return
+        reach = np.array([2 * len(x.words) + self.cfg.slack for x in self.items])
+        new = (np.diff(seeds[:, 0]) != 0) | (np.diff(seeds[:, 1]) > reach[seeds[1:, 0]])
+        begin = np.flatnonzero(np.r_[True, new])
+        for a, b in zip(begin, np.r_[begin[1:], len(seeds)], strict=True):
+            item = self.items[seeds[a, 0]]
+            if item.shown_by(seeds[a:b, 2]):
+                yield item, seeds[a:b, 1:]
+
+    def _passages(self, coded: np.ndarray, seeds: np.ndarray) -> list[tuple[_Item, int, int, int]]:
+        """(item, words matched, first and last word) of each passage around the seeds, none of one item overlapping."""
+        cfg, found, todo = self.cfg, [], []
+        for item, own in self._groups(seeds):
+            reach = len(item.words) + cfg.slack
+            todo.append((item, own, max(0, int(own[0, 0]) - reach - cfg.run), int(own[-1, 0]) + reach))
+        while todo:
+            fit = []
+            for item, own, lo, hi in todo:
+                here = own[np.searchsorted(own[:, 0], lo) : np.searchsorted(own[:, 0], hi), 1]
+                if item.shown_by(here) and item.could_hold(coded[lo:hi]):
+                    fit.append((item, own, lo, hi))
+            todo = []
+            for i in range(0, len(fit), cfg.at_once):
+                part = fit[i : i + cfg.at_once]
+                aligned = align([x.words for x, *_ in part], [coded[lo:hi] for _, _, lo, hi in part], cfg)
+                for (item, own, lo, hi), (hits, a, b) in zip(part, aligned, strict=True):
+                    if hits >= item.need:
+                        found.append((item, hits, lo + a, lo + b))
+                        todo += [(item, own, lo, lo + a), (item, own, lo + b + 1, hi)]
+        return found
+
     def find(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(item, share of its words, first and last character + 1) of each item in a text."""
+        """(item, share of its words, first and last character + 1) of every passage of an item in a text."""
         if self.empty or not text:
             return []
-        line, cfg, seeds = flat(text), self.cfg, {}
-        for end, at in self.auto.iter(line):
-            for k, i in at:
-                seeds.setdefault(k, []).append((end, i))
-        seeds = {k: v for k, v in seeds.items() if len({i for _, i in v}) >= cfg.least_runs}
-        if not seeds:
+        coded = self._coded(flat(text).split())
+        found = self._passages(np.array(coded), self._seeds(coded))
+        if not found:
             return []
-        close, spans = {}, None
-        for k, v in seeds.items():
-            reach = 8 * (2 * len(self.items[k]) + 40)  # characters
-            group = []
-            for s in v:
-                if group and s[0] - group[-1][0] > reach:
-                    close.setdefault(k, []).append(group)
-                    group = []
-                group.append(s)
-            close.setdefault(k, []).append(group)
-        out = []
-        for k, groups in close.items():
-            best, need = None, cfg.least_share * len(self.items[k])
-            for g in groups:
-                if len({i for _, i in g}) < cfg.least_runs:
-                    continue
-                if spans is None:
-                    words, begin, end = words_at(text)
-                    spans = np.array([self.codes.get(w, -1) for w in words]), begin, end, np.cumsum([len(w) + 1 for w in words])
-                coded, begin, end, upto = spans
-                n = len(self.coded[k]) + 40
-                lo = max(0, int(np.searchsorted(upto, g[0][0])) - n - cfg.run)
-                hi = int(np.searchsorted(upto, g[-1][0])) + n
-                hits, a, b = align(self.coded[k], coded[lo:hi], cfg)
-                if hits >= need and (best is None or hits > best[0]):
-                    best = hits, begin[lo + a], end[lo + b]
-            if best:
-                out.append((k, best[0] / len(self.items[k]), best[1], best[2]))
-        return out
-
-
-def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], cfg: LeakConfig) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner(items, cfg)
+        words, begin, end = words_at(text)
+        if len(words) != len(coded):  # folding changed the borders of words: count them as placed
+            coded = self._coded(words)
+            found = self._passages(np.array(coded), self._seeds(coded))
+        return [(k, hits / len(item.words), begin[a], end[b]) for item, hits, a, b in found for k in item.ids]
+
+
+class Items:
+    """Items as sent to the executors; the automaton is built once by each worker process that reads the broadcast."""
+
+    def __init__(self, items: list[tuple[int, str]], cfg: LeakConfig) -> None:
+        self.items, self.cfg, self.built = items, cfg, None
+
+    def scanner(self) -> Scanner:
+        if self.built is None:
+            self.built = Scanner(self.items, self.cfg)
+        return self.built
+
+
+def _scan(batches: Iterator[pa.RecordBatch], items: Broadcast[Items]) -> Iterator[pa.RecordBatch]:
+    scanner = items.value.scanner()
     for b in batches:
         ids, rows = b.column(0).to_pylist(), []
         for i, text in zip(ids, b.column(1), strict=True):
@@ -175,16 +272,19 @@ def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], cfg:
 
 
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, cfg: LeakConfig = LeakConfig()) -> DataFrame:
-    """(doc, item, share, start_char, end_char) of each item in each text, its best passage.
+    """(doc, item, share, start_char, end_char) of every passage of an item in each text.
 
     Items are a test set, not a corpus: they are gathered in blocks of
-    ``block_chars``, each block one pass over the texts. Null and empty texts hold
-    nothing; items of fewer words than a run are never found; repeated texts have
-    their rows each; no items or no texts give no rows. Other columns are ignored.
+    ``block_chars``, each block one pass over the texts, and broadcast: a size bound
+    that holds however many items there are. Items of the same words are found
+    together, each under its own id. Null and empty texts hold nothing; repeated
+    texts have their rows each; no items or no texts give no rows. Other columns are ignored.
     """
     out, block, size = None, [], 0
     rows = docs.filter(F.col(text) != "").select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    scan = lambda b: rows.mapInArrow(partial(_scan, items=b, cfg=cfg), "doc bigint, item bigint, share double, start_char bigint, end_char bigint")
+    schema = "doc bigint, item bigint, share double, start_char bigint, end_char bigint"
+    sent = docs.sparkSession.sparkContext.broadcast
+    scan = lambda b: rows.mapInArrow(partial(_scan, items=sent(Items(b, cfg))), schema)
     test_set = items.filter(F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("k"), F.col(item_text).alias("t")).orderBy("k")
     for r in test_set.toLocalIterator():
         if block and size + len(r["t"]) > cfg.block_chars:
