@@ -193,6 +193,50 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert {r["kind"] for r in found[len(texts) - 1]} == {"lost"} and all(r["restored"] is None for r in found[len(texts) - 1])
 
 
+def restored(texts, rows):
+    out = dict(enumerate(texts))
+    for r in sorted(rows, key=lambda r: -r["start_char"]):
+        out[r["doc"]] = out[r["doc"]][: r["start_char"]] + (r["restored"] or "?") + out[r["doc"]][r["end_char"] :]
+    return out
+
+
+GEORGIAN = "ჩვენ ვზომავთ სიმაღლეს"
+
+
+def test_what_the_corpus_does_not_know_is_restored_by_its_bytes(spark):
+    """Emoji, and a script that is in no other text."""
+    good = ["done \U0001f600 and \U0001f680", GEORGIAN, "sum ≈ ∑x"]
+    bad = [lenient(t.encode(), n) for t in good for n in ("cp1252", "latin-1")]
+    clean = corpus() + ["qualité\u00a0» et «\u00a0été\u00a0»…", "┌──┐ │x│ └──┘ ├┤", "Рік ії її сії", "naïve Ã alone", GEORGIAN]
+    found = find_garbled(docs(spark, clean + bad), "doc_id", "text", GarbleConfig(known_share=0.01, contamination=0.02)).collect()
+    assert {r["doc"] for r in found} == set(range(len(clean), len(clean) + len(bad)))
+    fixed = restored(clean + bad, found)
+    assert [fixed[len(clean) + i] for i in range(len(bad))] == [t for t in good for _ in range(2)]
+
+
+@pytest.mark.parametrize("kind", ["utf8", "bytes"])
+def test_garble_in_more_texts_than_are_allowed_for(spark, kind):
+    """A share of garbled texts above the contamination, all alike in kind, and saved twice."""
+    good = [t for t in corpus() if any(c in t for c in ("і" if kind == "bytes" else "é"))]
+    bad = [(t.encode("cp1251").decode("latin-1") if kind == "bytes" else lenient(t.encode(), "cp1252")) for t in good[:8]] * 2
+    clean = corpus()
+    texts = clean + bad
+    assert len(bad) / len(texts) > 0.06
+    found = find_garbled(docs(spark, texts), "doc_id", "text", GarbleConfig(known_share=0.01, contamination=0.02)).collect()
+    assert {r["doc"] for r in found} == set(range(len(clean), len(texts)))
+    fixed = restored(texts, found)
+    assert [fixed[len(clean) + i] for i in range(16)] == good[:8] * 2
+
+
+def test_single_byte_garble_beside_a_utf8_one(spark):
+    uk, fr = CLEAN["uk"], "Déjà"
+    text = lenient(fr.encode(), "cp1252") + " " + uk.encode("cp1251").decode("latin-1")
+    clean = corpus()
+    found = find_garbled(docs(spark, [*clean, text]), "doc_id", "text", GarbleConfig(known_share=0.01, contamination=0.02)).collect()
+    assert {r["kind"] for r in found} == {"utf8", "bytes"}
+    assert restored([*clean, text], found)[len(clean)] == fr + " " + uk
+
+
 def test_no_texts(spark):
     assert find_garbled(docs(spark, []), "doc_id", "text").count() == 0 == find_garbled(docs(spark, [None, ""]), "doc_id", "text").count()
 
