@@ -6,13 +6,13 @@ words the whole item is). Each text is normalised and scanned once. Where patter
 of one item come close together and the words around them could make up half of the
 item, item and text are aligned there, which allows for changed, added and lost words;
 the item is found if the aligned words are at least half of its own. Opening
-instructions that many items share point to all of them; of items that consist for the
-greater part of other words, a run of these must be there too. Positions are mapped
-back to the original text.
+instructions that many items share point to all of them, but count only for items in
+which such runs make up the words needed; others must show runs of their own. Positions
+are mapped back to the original text.
 
 Not found: a passage in which no ``least_runs`` runs of five words are left as they
-were (every fifth word changed, say), or of an item with a shared opening none outside
-the opening; an item of under eight words that is not there whole; and items of under
+were (every fifth word changed, say; a shared opening does not count); an item of under
+eight words that is not there whole; and items of under
 ``least_words`` words, which are short phrases.
 """
 
@@ -140,7 +140,7 @@ class _Item:
     own: np.ndarray  # of each run, whether it alone tells the item: always so unless runs that many items share make up less than the words needed
 
     def shown_by(self, runs: np.ndarray) -> bool:
-        return len(runs) >= self.least and self.own[runs].any() and len(set(runs.tolist())) >= self.least
+        return len(runs) >= self.least and len(set(runs[self.own[runs]].tolist())) >= self.least
 
     def could_hold(self, text: np.ndarray) -> bool:
         """Whether the words of a text, in whatever order, could make up the needed ones."""
@@ -215,8 +215,8 @@ class Scanner:
         """(item, words matched, first and last word) of each passage around the seeds, none of one item overlapping."""
         cfg, found, todo = self.cfg, [], []
         for item, own in self._groups(seeds):
-            reach = len(item.words) + cfg.slack
-            todo.append((item, own, max(0, int(own[0, 0]) - reach - cfg.run), int(own[-1, 0]) + reach))
+            begin = own[:, 0] - own[:, 1]  # where the item's first run would end
+            todo.append((item, own, max(0, int(begin.min()) - cfg.run - cfg.slack), int(begin.max()) + len(item.words) + cfg.slack))
         while todo:
             fit = []
             for item, own, lo, hi in todo:
