@@ -13,8 +13,9 @@ from tracklane.operators import recurrence as R
 from tracklane.operators.late_events import classify, period_stats, value_counts
 from tracklane.sources.contracts import read_csv, violations
 from tracklane.sources.sinks import manifest, write_bundle, write_json, write_log, write_table
-from tracklane.streaming.kernels import stream_sequential
-from tracklane.streaming.late import corrected_periods, with_outcome
+from tracklane.session import ensure_checkpoint_dir
+from tracklane.streaming.kernels import stream_sequential, time_slices
+from tracklane.streaming.late import latest_periods, period_counts
 
 S = 1_000_000_000
 
@@ -58,25 +59,80 @@ def test_stream_of_a_kernel_equals_the_batch(spark, tmp_path):
     assert {(r["f"], r["t"]): r["y"] for r in same.collect()} == pytest.approx(mine, nan_ok=True)
 
 
+def state_of(rows):
+    return {(r["f"], r["period"]): tuple(r[c] for c in ("n", "distinct", "lo", "hi", "median")) for r in rows}
+
+
+LATE = "f int, m bigint, rec bigint, h bigint, a bigint, x double"
+
+
+def streamed(spark, tmp_path, batches, **more):
+    got, at = [], str(tmp_path / "sent")
+    df = period_counts(drip(spark, tmp_path, batches, LATE), "f", "m", "rec", "h", "a", "x", **more)
+    q = df.writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("append").parquet(at))
+    q = q.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(300) is not False
+    got = latest_periods(spark.read.parquet(at), "f").collect()
+    return state_of(got)
+
+
+def batch_answer(spark, rows):
+    events = classify(spark.createDataFrame(rows, LATE), ["f", "m"], "rec", "h", "a", {"x": F.col("x")})
+    want = period_stats(value_counts(events, ["f"], "x"), ["f"]).collect()
+    return {(r["f"], r["period"]): tuple(r[f"{c}_corrected"] for c in ("n", "distinct", "lo", "hi", "median")) for r in want if r["n_corrected"]}
+
+
+def test_stream_of_late_events_takes_batches_in_any_order(spark, tmp_path):
+    """A record of an early arrival comes after batches of later ones; nothing within the cut-off is lost."""
+    rows = lambda *at: [(1, m, m, h * S, a * S, float(m)) for m, h, a in at]
+    a, f, g, b = rows((1, 3, 31)), rows((2, 95, 96)), rows((3, 120, 121)), rows((4, 4, 5), (5, 5, 6))
+    got = streamed(spark, tmp_path, [a, f, g, b])
+    assert got == batch_answer(spark, [*a, *f, *g, *b])
+    assert got[1, 0][0] == 3
+
+
 def test_stream_of_late_events_ends_where_the_batch_does(spark, tmp_path):
     rng = random.Random(2)
     data = []
     for i in range(120):
-        h = rng.randint(1, 40) * S
-        data.append((1, i, i, h, h + rng.choice([0, 1, 15, 30, 90]) * S, float(rng.randint(0, 5))))
-    data.sort(key=lambda r: r[4])
-    schema = "f int, m bigint, rec bigint, h bigint, a bigint, x double"
-    stream = with_outcome(drip(spark, tmp_path, [data[i : i + 30] for i in range(0, 120, 30)], schema), "h", "a")
-    got = drain(corrected_periods(stream, ["f"], "x", "a"), tmp_path, "update").collect()
-    final = {}
-    for r in got:  # later rows correct earlier ones: the one that counts most records is the last
-        if r["period"] not in final or r["n"] > final[r["period"]]["n"]:
-            final[r["period"]] = r
-    batch = classify(spark.createDataFrame(data, schema), ["f", "m"], "rec", "h", "a", {"x": F.col("x")})
-    want = {r["period"]: r for r in period_stats(value_counts(batch, ["f"], "x"), ["f"]).collect()}
-    assert set(final) == set(want)
-    for p, r in want.items():
-        assert [final[p][c] for c in ("n", "distinct", "lo", "hi", "median")] == [r[f"{c}_corrected"] for c in ("n", "distinct", "lo", "hi", "median")]
+        h = rng.choice([None, 0, rng.randint(1, 40) * S, rng.randint(1, 40) * S])
+        a = (h or rng.randint(1, 40) * S) + rng.choice([0, 1, 15, 30, 90]) * S
+        x = rng.choice([None, float("nan"), float(rng.randint(0, 5))])
+        data.append((1 + i % 2, i, i, h, a, x))
+        if i % 3 == 0:  # redelivered, perhaps in another period and of another value
+            data.append((1 + i % 2, i, 1000 + i, h, a + rng.choice([-9, 0, 25]) * S, 7.0))
+    rng.shuffle(data)
+    got = streamed(spark, tmp_path, [data[i : i + 40] for i in range(0, 160, 40)], shard=16)
+    assert got == batch_answer(spark, data)
+
+
+def test_stream_forgets_after_the_allowance(spark, tmp_path):
+    old, new, late = [(1, 1, 1, 3 * S, 4 * S, 1.0)], [(1, 5000 * 16, 2, 9000 * S, 9001 * S, 2.0)], [(1, 2, 3, 5 * S, 6 * S, 3.0)]
+    got = streamed(spark, tmp_path, [old, new, new, late], allowance_s=600)
+    assert got[1, 0][0] == 1  # what is late beyond the allowance is lost, as stated
+
+
+def test_slices_bound_what_a_batch_holds_of_a_series(spark):
+    df = spark.createDataFrame([(f, float(t)) for f in (1, 2) for t in range(25 if f == 1 else 7)], "f int, t double")
+    parts = [p.collect() for p in time_slices(df, ["f"], ["t"], F.floor(F.col("t") / 10), rows=10)]
+    assert [max((sum(r["f"] == f for r in p) for f in (1, 2))) for p in parts] == [10, 10, 5]
+    assert sorted(r["t"] for p in parts[:1] for r in p if r["f"] == 1) == list(map(float, range(10)))
+    assert list(time_slices(df.filter("false"), ["f"], ["t"], F.floor(F.col("t") / 10))) == []
+
+
+def test_checkpoint_folder_is_the_session_s(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
 
 
 def test_files(spark, tmp_path):

@@ -23,10 +23,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; fall back to a local one only where it is unset."""
+    """Use the shared folder named in spark.checkpoint.dir. Only a local session, as in tests, gets a folder of its own; a cluster must name one."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracklane-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tracklane-")
+    sc.setCheckpointDir(folder)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def forget(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate data."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
