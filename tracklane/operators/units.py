@@ -41,10 +41,11 @@ SPELLINGS = {
     "turn": ["turn", "turns", "rev", "revs", "revolution", "revolutions"],
 }
 UNITS = list(RADIANS)
+NAMES = ("roll", "pitch", "yaw")
 
 _words = sorted((w for ws in SPELLINGS.values() for w in ws), key=len, reverse=True)
 _UNIT_RE = r"(?<![\p{L}])(" + "|".join(w.replace("*", r"\s*\*\s*") for w in _words) + r")(?![\p{L}]|\s*\*)"
-_NOTE_RE = r"^\s*(units?\s*:|all angles|log header)"
+_SCOPE_RE = r"\b(all|any|every|each|below|following|follows?|above|throughout|header|log|file|stream|recording|default|units?)\b"  # of more than one row
 _NUM = r"[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?"
 _DMS = r"([-+]?)(\d+)\s*°\s*(\d+)\s*'\s*(\d+(?:\.\d+)?)\s*\""
 
@@ -80,7 +81,7 @@ def text_angles(text: Column) -> dict[str, Column]:
     part = lambda g: F.regexp_extract_all(t, F.lit(_DMS), F.lit(g))
     numbers = F.regexp_extract_all(bare, F.lit(rf"(?<![\p{{L}}\d.])({_NUM})"), F.lit(1))
     out = {}
-    for i, (name, short) in enumerate((("roll", "r"), ("pitch", "p"), ("yaw", "y"))):
+    for i, (name, short) in enumerate(zip(NAMES, "rpy", strict=True)):
         named = F.regexp_extract(bare, rf"(?:^|[^\p{{L}}])(?:{name}|{short})\s*[=:]?\s*({_NUM})", 1).try_cast("double")
         at = lambda g, i=i: F.get(part(g), F.lit(i))
         dms = at(2).try_cast("double") + at(3).try_cast("double") / 60 + at(4).try_cast("double") / 3600
@@ -137,19 +138,25 @@ def to_radians(
     wrapped to -pi..pi. A null stream key is a stream of its own; repeated rows are
     judged each. An empty table gives an empty result. Other columns are ignored.
     """
-    said = text_angles(F.col(text_col))
-    is_note = F.coalesce(F.lower(F.col(text_col)).rlike(_NOTE_RE), F.lit(False))
     in_numbers = finite(F.col("roll")) | finite(F.col("pitch")) | finite(F.col("yaw"))
-    angle = {
-        n: F.when(in_numbers, F.when(finite(F.col(n).cast("double")), F.col(n).cast("double"))).otherwise(F.when(~is_note, said[n])) for n in ("roll", "pitch", "yaw")
-    }
     keys = [f"_s{i}" for i in range(len(stream))]
-    rows = df.select(
+    d = df.select(
         F.col(row_id).alias("_id"),
         *(F.col(s).alias(k) for s, k in zip(stream, keys, strict=True)),
-        *(a.alias(n) for n, a in angle.items()),
-        F.coalesce(unit_of(F.col(unit_col)), F.when(~is_note, said["unit"])).alias("own"),
-        F.when(is_note, said["unit"]).alias("note"),
+        *(F.when(finite(F.col(n).cast("double")), F.col(n).cast("double")).alias(n) for n in NAMES),
+        in_numbers.alias("_held"),
+        unit_of(F.col(unit_col)).alias("stated"),
+        F.when(F.col(text_col).rlike(r"\S"), F.col(text_col)).alias("_text"),
+    )
+    d = cut(d.withColumns({f"_{n}": c for n, c in text_angles(F.col("_text")).items()}))  # texts are parsed once
+    none = F.coalesce(*(f"_{n}" for n in NAMES)).isNull()
+    is_note = none & F.col("_unit").isNotNull() & (~F.col("_held") | F.lower("_text").rlike(_SCOPE_RE))
+    rows = d.select(
+        "_id",
+        *keys,
+        *(F.when(F.col("_held"), F.col(n)).otherwise(F.col(f"_{n}")).alias(n) for n in NAMES),
+        F.coalesce("stated", F.when(~is_note, F.col("_unit"))).alias("own"),
+        F.when(is_note, F.col("_unit")).alias("note"),
     )
     holds = F.coalesce("roll", "pitch", "yaw").isNotNull()
     tilt = F.greatest(F.abs("roll"), F.abs("pitch"))
