@@ -222,3 +222,16 @@ def test_grid_fills_short_gaps_and_marks_long_ones(spark, shard):
     want |= {("a", c): ("gap", None, 0) for c in range(4, 20)}
     assert got == want
     assert grid(spark, []) == {}
+
+
+def test_notes_in_other_words_and_on_rows_with_angles(spark):
+    schema = "sample_id bigint, flight_id bigint, origin string, roll double, pitch double, yaw double, angle_unit string, raw_text string"
+    rows = []
+    for f, note, held in ((1, "every attitude that follows is in gon", False), (2, "default unit is mrad", True), (3, "angles in deg", True), (4, "centidegrees", False)):
+        rows += [(100 * f + i, f, "x", 2.0, 1.0, 3.0, None, None) for i in range(4)]
+        rows.append((100 * f + 9, f, "x", *((2.0, 1.0, 3.0) if held else (None,) * 3), None, note))
+    got = {r["sample_id"]: (r["unit"], r["unit_from"]) for r in to_radians(spark.createDataFrame(rows, schema), "sample_id", ["flight_id", "origin"]).collect()}
+    assert {got[100 + i] for i in range(4)} == {("grad", "note")} and 109 not in got
+    assert {got[200 + i] for i in range(4)} == {("mrad", "note")} == {got[209]}
+    assert got[309] == ("deg", "row") and {got[300 + i][1] for i in range(4)} == {"size"}
+    assert {got[400 + i] for i in range(4)} == {("cdeg", "note")}

@@ -4,9 +4,13 @@ A hidden Markov model per source has the states normal, spike, stuck and
 out-of-range. What it sees of a reading is its distance from the level of its
 neighbours (the nearest of the medians before, after and around it, so that a
 lasting change of level is near the level after it; with and without the local
-slope), in units of the source's own scatter, whether it repeats a neighbour, and whether it is within hard bounds.
-Forward-backward gives state probabilities; spikes follow from them, out-of-range
-from the bounds, stuck from the length of the run of identical readings.
+slope), in units of the source's own scatter, whether it repeats the reading before
+it, and whether it is within hard bounds. Stuck is a state of least duration: a chain
+of ``stuck_run`` - 1 repeats, of which the last may go on, so that shorter runs
+cannot be stuck and, as a normal reading is never taken to repeat with more than
+``most_repeats``, longer ones are. How often a source spikes or leaves its bounds is
+its own rate. Forward-backward gives state probabilities; spikes and stuck readings
+follow from them, out-of-range from the bounds.
 
 A source is cut by row position into blocks with a halo on either side, so that a
 long source is spread over many tasks and a decision never needs more than the halo;
@@ -42,11 +46,12 @@ class SpikeConfig:
     tail: float = 0.75  # of the normal state's exponential distances, in scatters
     spike_from: float = 3.0  # spikes spread log-evenly between these, in scatters
     spike_to: float = 1e5
-    enter_spike: float = 0.004
+    spike_rates: tuple[float, float] = (0.001, 0.004)  # bounds of a source's own rate
     stay_spike: float = 0.3
     enter_stuck: float = 0.0005
     stay_stuck: float = 0.97
-    enter_out: float = 0.001
+    most_repeats: float = 0.3
+    out_rates: tuple[float, float] = (0.0005, 0.05)
     stay_out: float = 0.3
     bin_ratio: float = 1.005  # of the histogram that the scatter is read from
 
@@ -85,40 +90,55 @@ def run_lengths(x: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.bincount(run)[run] if len(x) else run, first
 
 
-def posterior(z: np.ndarray, same: np.ndarray, out: np.ndarray, absent: np.ndarray, repeats: np.ndarray, cfg: SpikeConfig) -> np.ndarray:
+def posterior(z: np.ndarray, same: np.ndarray, out: np.ndarray, absent: np.ndarray, repeats: np.ndarray, spikes: np.ndarray, outs: np.ndarray, cfg: SpikeConfig) -> np.ndarray:
     """State probabilities (lanes, steps, 4: normal, spike, stuck, out) by forward-backward, all lanes at once.
 
-    ``repeats``: per lane, how often a normal reading repeats a neighbour.
+    ``same``: the reading repeats the one before it. Per lane, ``repeats`` is how often
+    a normal reading does, ``spikes`` and ``outs`` how often one is followed by these.
     """
     lanes, steps = z.shape
     z = np.nan_to_num(z, nan=0.0, posinf=cfg.spike_to)
-    e = np.empty((lanes, steps, 4))
+    e = np.empty((steps, 4, lanes))  # states: normal, spike, out; any of the stuck chain
     normal = np.exp(-z / cfg.tail) / cfg.tail
-    again = np.clip(repeats, 0.001, 0.9)[:, None]
-    e[..., 0] = normal * np.where(same, again, 1 - again)
-    e[..., 1] = np.where(z > cfg.spike_from, 1 / (np.maximum(z, cfg.spike_from) * np.log(cfg.spike_to / cfg.spike_from)), 1e-9) * np.where(same, again, 1 - again)
-    e[..., 2] = np.where(same, 1 / cfg.tail, 1e-6)
-    e[..., 3] = 1e-12
-    e += 1e-15
-    e[out] = (1e-12, 1e-12, 1e-12, 1.0)
-    e[absent] = 1.0
-    stay = np.array([1 - cfg.enter_spike - cfg.enter_stuck - cfg.enter_out, cfg.stay_spike, cfg.stay_stuck, cfg.stay_out])
-    t = np.diag(stay)
-    t[0, 1:] = cfg.enter_spike, cfg.enter_stuck, cfg.enter_out
-    for i in (1, 2, 3):
-        t[i, 0] = 1 - stay[i]
-    f = np.empty_like(e)
-    a = np.full((lanes, 4), (0.98, 0.01, 0.005, 0.005))
+    again = np.clip(repeats, 0.001, cfg.most_repeats)[:, None]
+    again = np.where(same, again, 1 - again)
+    e[:, 0] = (normal * again).T
+    e[:, 1] = (np.where(z > cfg.spike_from, 1 / (np.maximum(z, cfg.spike_from) * np.log(cfg.spike_to / cfg.spike_from)), 1e-9) * again).T
+    e[:, 2] = 1e-12
+    e[:, 3] = np.where(same, 1 / cfg.tail, 0.0).T
+    e[:, :3] += 1e-15
+    e.transpose(0, 2, 1)[out.T] = (1e-12, 1e-12, 1.0, 0.0)
+    e.transpose(0, 2, 1)[absent.T] = 1.0
+    k = cfg.stuck_run - 1  # links of the chain
+    stay = 1 - spikes - cfg.enter_stuck - outs
+    f = np.empty((steps, 4, lanes))
+    a, c = np.array([[0.98], [0.01], [0.005]]) * np.ones(lanes), np.zeros((k, lanes))
+    c[-1] = 0.005  # the beginning may lie in a run
+    chain = np.empty((steps, k, lanes))
     for i in range(steps):
-        a = (a if i == 0 else a @ t) * e[:, i]
-        a /= a.sum(1, keepdims=True)
-        f[:, i] = a
-    b = np.ones((lanes, 4))
+        if i:
+            back = a[0]
+            c = np.concatenate([(back * cfg.enter_stuck)[None], c[:-1]])
+            c[-1] += last * cfg.stay_stuck
+            a = np.stack([back * stay + a[1] * (1 - cfg.stay_spike) + a[2] * (1 - cfg.stay_out) + last * (1 - cfg.stay_stuck), back * spikes + a[1] * cfg.stay_spike, back * outs + a[2] * cfg.stay_out])
+        a = a * e[i, :3]
+        c = c * e[i, 3]
+        total = a.sum(0) + c.sum(0)
+        a, c = a / total, c / total
+        last = c[-1]
+        f[i, :3], chain[i] = a, c
+    b, d = np.ones((3, lanes)), np.ones((k, lanes))
     for i in range(steps - 1, -1, -1):
-        f[:, i] *= b
-        b = (b * e[:, i]) @ t.T
-        b /= b.sum(1, keepdims=True)
-    return f / f.sum(-1, keepdims=True)
+        f[i, :3] *= b
+        f[i, 3] = (chain[i] * d).sum(0)
+        b, d = b * e[i, :3], d * e[i, 3]
+        home, end = b[0], d[-1]
+        b = np.stack([home * stay + b[1] * spikes + d[0] * cfg.enter_stuck + b[2] * outs, home * (1 - cfg.stay_spike) + b[1] * cfg.stay_spike, home * (1 - cfg.stay_out) + b[2] * cfg.stay_out])
+        d = np.concatenate([d[1:], (end * cfg.stay_stuck + home * (1 - cfg.stay_stuck))[None]])
+        top = np.maximum(b.max(0), d.max(0))
+        b, d = b / top, d / top
+    f /= f.sum(1, keepdims=True)
+    return f[:, [0, 1, 3, 2]].transpose(2, 0, 1)
 
 
 def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +165,7 @@ def _block_distances(t: pd.DataFrame, cfg: SpikeConfig) -> np.ndarray:
     return distances(apart[None], cfg.side)[0][at]
 
 
-_SCATTER = "f string, src string, bin long, n long, same long, mark long"
+_SCATTER = "f string, src string, bin long, n long, same long, mark long"  # mark: 0 distances, 1 least steps, 2 readings out of bounds
 _FLAGGED = "f string, src string, ord double, kind string, p_spike double, p_stuck double"
 _ZERO = -(2**30)  # the bin of distance 0
 
@@ -155,35 +175,37 @@ def _scatters(batches: Iterator[pd.DataFrame], cfg: SpikeConfig) -> Iterator[pd.
     bin_of = lambda d: np.floor(np.log(d) / np.log(cfg.bin_ratio)).astype(np.int64)
     for t in _whole_blocks(batches):
         r, blk, v = _block_distances(t, cfg), t["blk"].to_numpy(), t["v"].to_numpy(float)
-        length, _ = run_lengths(v, blk)
+        length, first = run_lengths(v, blk)
         use = t["own"].to_numpy(bool) & ~np.isnan(r) & (length < cfg.stuck_run)
         bins = np.full(len(r), _ZERO, np.int64)
         bins[use & (r > 0)] = bin_of(r[use & (r > 0)])
-        seen = pd.DataFrame({"f": t["f"], "src": t["src"], "bin": bins, "n": 1, "same": (length > 1).astype(np.int64)})[use]
+        seen = pd.DataFrame({"f": t["f"], "src": t["src"], "bin": bins, "n": 1, "same": (~first).astype(np.int64)})[use]
         yield seen.groupby(["f", "src", "bin"], as_index=False).sum().assign(mark=0)
         with np.errstate(invalid="ignore"):
             step = np.abs(np.diff(np.where(t["ok"].to_numpy(bool), v, np.nan)))
         fine = np.isfinite(step) & (step > 0) & (blk[1:] == blk[:-1])
         least = pd.DataFrame({"f": t["f"].iloc[1:][fine], "src": t["src"].iloc[1:][fine], "bin": bin_of(step[fine])})
         yield least.groupby(["f", "src"], as_index=False).min().assign(n=0, same=0, mark=1)
+        beyond = t.loc[t["own"].to_numpy(bool) & ~t["ok"].to_numpy(bool), ["f", "src"]].assign(bin=_ZERO, n=1, same=0, mark=2)
+        yield beyond.groupby(["f", "src", "bin", "mark"], as_index=False).sum()[["f", "src", "bin", "n", "same", "mark"]]
 
 
 def _flags(batches: Iterator[pd.DataFrame], cfg: SpikeConfig) -> Iterator[pd.DataFrame]:
     for t in _whole_blocks(batches):
         z = _block_distances(t, cfg) / t["scatter"].to_numpy(float)
         ok, blk, n = t["ok"].to_numpy(bool), t["blk"].to_numpy(), len(t)
-        length, first = run_lengths(t["v"].to_numpy(float), blk)
+        _, first = run_lengths(t["v"].to_numpy(float), blk)
         begin = np.searchsorted(blk, blk)  # where each row's block begins
         inside = np.arange(n) - begin
         start = np.flatnonzero(inside % cfg.chunk == 0)  # each lane decides the chunk that begins here
         i = start[:, None] + np.arange(-cfg.halo, cfg.chunk + cfg.halo)
         at = np.clip(i, 0, n - 1)
         beyond = (i < 0) | (i >= n) | (blk[at] != blk[start][:, None])
-        p = posterior(z[at], (length > 1)[at], ~ok[at], beyond, t["repeats"].to_numpy(float)[start], cfg)
+        rate = lambda c: t[c].to_numpy(float)[start]
+        p = posterior(z[at], ~first[at], ~ok[at], beyond, rate("repeats"), rate("spikes"), rate("outs"), cfg)
         lane = np.searchsorted(start, np.arange(n), side="right") - 1
         p = p[lane, cfg.halo + np.arange(n) - start[lane]]
-        stuck = (length >= cfg.stuck_run) & ~first
-        kind = np.select([~ok, stuck, p[:, 1] > 0.5], ["out", "stuck", "spike"], "")
+        kind = np.select([~ok, p[:, 2] > 0.5, p[:, 1] > 0.5], ["out", "stuck", "spike"], "")
         hit = t["own"].to_numpy(bool) & (kind != "")
         yield t.loc[hit, ["f", "src", "ord"]].assign(kind=kind[hit], p_spike=p[hit, 1], p_stuck=p[hit, 2])
 
@@ -222,13 +244,25 @@ def flag_readings(readings: DataFrame, bucket: Column, bounds: dict[str, tuple[f
     all_ = Window.partitionBy("f", "src", "mark")
     hist = hist.withColumn("cum", F.sum("n").over(all_.orderBy("bin"))).withColumn("total", F.sum("n").over(all_))
     upper = F.when(F.col("bin") == _ZERO, 0.0).otherwise(F.pow(F.lit(cfg.bin_ratio), F.col("bin") + 1))
+    hist = hist.withColumn("upper", upper)
+    seen = F.col("mark") == 0
     scale = hist.groupBy("f", "src").agg(
-        F.min(F.when((F.col("mark") == 0) & (F.col("cum") >= F.col("total") * cfg.scatter_quantile), upper)).alias("q"),
-        F.min(F.when(F.col("mark") == 1, upper)).alias("step"),
-        (F.sum("same") / F.greatest(F.sum("n"), F.lit(1))).alias("repeats"),
+        F.min(F.when(seen & (F.col("cum") >= F.col("total") * cfg.scatter_quantile), F.col("upper"))).alias("q"),
+        F.min(F.when(F.col("mark") == 1, F.col("upper"))).alias("step"),
+        F.sum("same").alias("same"),
+        F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("n"),
+        F.sum(F.when(F.col("mark") == 2, F.col("n")).otherwise(0)).alias("out"),
+        F.collect_list(F.when(seen & (F.col("cum") > F.col("total") * 0.9), F.struct("upper", "n"))).alias("far"),  # bins of a histogram, so bounded
     )
     to_90 = float(np.log(10) / -np.log(1 - cfg.scatter_quantile))
     scatter = F.greatest(F.coalesce("q", F.lit(0.0)) * to_90, F.coalesce("step", F.lit(0.0)), F.lit(1e-12))
-    scale = cut(scale.select("f", "src", scatter.alias("scatter"), "repeats"))
-    judged = join_checked(spread, scale, ["f", "src"], "left").fillna({"scatter": 1.0, "repeats": 0.0})
+    all_n = F.greatest(F.col("n"), F.lit(1))
+    within = lambda x, lo_hi: F.greatest(F.lit(lo_hi[0]), F.least(F.lit(lo_hi[1]), x))
+    scale = scale.withColumn("scatter", scatter).withColumn("far", F.aggregate(F.filter("far", lambda b: b["upper"] > F.col("scatter") * 2 * cfg.spike_from), F.lit(0).cast("bigint"), lambda s, b: s + b["n"]))
+    scale = cut(
+        scale.select(
+            "f", "src", "scatter", (F.col("same") / all_n).alias("repeats"), within(F.col("far") / all_n, cfg.spike_rates).alias("spikes"), within(F.col("out") / (all_n + F.col("out")), cfg.out_rates).alias("outs")
+        )
+    )
+    judged = join_checked(spread, scale, ["f", "src"], "left").fillna({"scatter": 1.0, "repeats": 0.0, "spikes": cfg.spike_rates[0], "outs": cfg.out_rates[0]})
     return by_block(judged).mapInPandas(partial(_flags, cfg=cfg), _FLAGGED)
