@@ -1,4 +1,4 @@
-"""Queries that do what others, bound to their SQL, do for a part of the rows."""
+"""Queries over attitudes of every unit, delays by small steps and whole time ranges."""
 
 import math
 
@@ -31,12 +31,10 @@ def test_velocity_turned_by_attitudes_of_every_unit(spark, tmp_path):
     euler = [r for f, o, per, stated, note in UNITS for r in told(f, o, per, stated, range(4), lambda t: 0.3 * t, note)]
     vision = [(100 * f + i, f, 0, 0.0, i + 0.25, 0.0, 3.0, 1.0, -0.5) for f, *_ in UNITS for i in range(4)]
     write(spark, tmp_path, euler_raw=(euler, EULER), vision_velocity_corrected_frd=(vision, VISION))
-    rows = run(spark, tmp_path, "q_body_to_enu_all")
+    rows = run(spark, tmp_path, "q_body_to_enu")
     by = {(r["flight_id"], r["sample_id"] % 100): (r["ve"], r["vn"], r["vu"]) for r in rows}
     assert len(by) == len(rows) == 20 and all(math.dist(v, by[1, i]) < 1e-4 for (_, i), v in by.items())
     assert {r["age"] for r in rows} == {0.25} and not any(r["unsure"] for r in rows)
-    stated = {(r["flight_id"], r["sample_id"] % 100): (r["ve"], r["vn"], r["vu"]) for r in run(spark, tmp_path, "q_body_to_enu")}
-    assert stated == {k: v for k, v in by.items() if k[0] == 1}
 
 
 def circle(flight, radius=200.0, rate=0.05, n=120):
@@ -49,9 +47,8 @@ def test_course_delay_of_every_unit(spark, tmp_path):
     # a fix at tr shows the course of tr - 0.5
     euler = [r for f, o, per, stated, note in UNITS for r in told(f, o, per, stated, [k / 5 for k in range(-20, 620)], lambda t: 0.05 * (t + 0.5) + 1.0, note)]
     write(spark, tmp_path, euler_raw=(euler, EULER), gps_ref_enu=([r for f, *_ in UNITS for r in circle(f)], GPS))
-    rows = run(spark, tmp_path, "q_course_delay_all")
+    rows = run(spark, tmp_path, "q_course_delay")
     assert sorted(r["flight_id"] for r in rows) == [1, 2, 3, 4, 5]
-    assert [r["flight_id"] for r in run(spark, tmp_path, "q_course_delay")] == [1]
 
 
 ALIGNED = "flight_id bigint, tr double, series string, matching_mode string, err_u double"
@@ -62,9 +59,9 @@ def test_comparisons_take_all_times_and_errors(spark, tmp_path):
     rows = [(1, float(t), s, "causal_backward", e) for t in range(0, 1081, 10) for s, e in SERIES.items()]
     rows[-1] = (*rows[-1][:4], 2000.0)  # the exported series, at 1080 s
     write(spark, tmp_path, fusion_height_aligned_samples=(rows, ALIGNED))
-    got = {r["series"]: r for r in run(spark, tmp_path, "q_variant_compare_all")}
+    got = {r["series"]: r for r in run(spark, tmp_path, "q_variant_compare")}
     assert [got[s]["n"] for s in SERIES] == [109] * 3 and got["fused_exported_u"]["most"] == 2000.0 and got["fused_raw_u"]["rmse"] == 1.0
-    (g,) = run(spark, tmp_path, "q_guardrails_all")
+    (g,) = run(spark, tmp_path, "q_guardrails")
     assert (g["times"], g["shared"], g["only_exported"], g["most"]) == (109, 109, 0, 1999.0)
 
 
@@ -73,17 +70,17 @@ def test_decisions_over_the_windows_of_the_survey(spark, tmp_path):
     err = lambda s, t: 2.1 if s == "fused_raw_u" and t >= 900 else SERIES[s]
     rows = [(1, t + 0.5, s, "causal_backward", err(s, t)) for t in range(0, 1080, 10) for s in SERIES]
     write(spark, tmp_path, fusion_height_aligned_samples=(rows, ALIGNED))
-    by = {r["role"]: r for r in run(spark, tmp_path, "q_window_decision_blocks")}
+    by = {r["role"]: r for r in run(spark, tmp_path, "q_window_decision")}
     p, s = by["primary"], by["startup_stress"]
     assert (p["windows"], p["wins"], p["mid"], p["unequal_windows"], p["accepted"]) == (6, 5, 50.0, 0, True) and -10 < p["worst"] < 0
     assert (s["windows"], s["wins"], s["accepted"]) == (4, 3, None)
-    held = {r["held"]: r for r in run(spark, tmp_path, "q_lobo_select_blocks")}
+    held = {r["held"]: r for r in run(spark, tmp_path, "q_lobo_select")}
     assert sorted(held) == [f"long_o{o:03d}_d180" for o in range(0, 901, 180)] and held["long_o900_d180"]["policy"] == "fused_raw_u/causal_backward"
-    (t,) = run(spark, tmp_path, "q_sign_permutation_blocks")
+    (t,) = run(spark, tmp_path, "q_sign_permutation")
     assert t["windows"] == 6 and t["mean_gain"] > 0 and t["p_value"] == 2 / 64
     # a sample less of the candidate in a stress window
     write(spark, tmp_path, fusion_height_aligned_samples=([r for r in rows if r[1] != 40.5 or r[2] != "fused_raw_u"], ALIGNED))
-    r = next(r for r in run(spark, tmp_path, "q_window_decision_blocks") if r["role"] == "primary")
+    r = next(r for r in run(spark, tmp_path, "q_window_decision") if r["role"] == "primary")
     assert r["unequal_windows"] == 2 and r["accepted"] is False
 
 
@@ -103,8 +100,8 @@ def fixes(times, lag=0.0, off=(0.0, 0.0)):
 def test_delays_between_the_quarters_of_a_second(spark, tmp_path):
     dense, sparse = [k / 4 for k in range(240)], [k * 1.5 + 0.5 for k in range(38)]
     write(spark, tmp_path, gps_ref_enu=(fixes(dense), GPS), starlink_corrected_enu=(fixes(sparse, 0.34, (30.0, -20.0)), GPS))
-    (r,) = run(spark, tmp_path, "q_delay_scan_fine")
+    (r,) = run(spark, tmp_path, "q_delay_scan")
     assert abs(r["tau"] - 0.34) < 0.03 and r["score"] < 0.3 and r["rmse"] < 0.3 and r["doubt"] == ""
     write(spark, tmp_path, gps_ref_enu=(fixes(dense, 0.34), GPS), euler_raw=(told(1, "deg", math.pi / 180, "deg", [k / 10 for k in range(-20, 620)], lambda t: 2 * math.sin(0.3 * t)), EULER))
-    (r,) = run(spark, tmp_path, "q_course_delay_all")
+    (r,) = run(spark, tmp_path, "q_course_delay")
     assert abs(r["tau"] - 0.34) < 0.03 and r["score"] <= r["p90"] < 0.05 and r["doubt"] == ""

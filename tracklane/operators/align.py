@@ -24,13 +24,10 @@ def neighbours(left: DataFrame, right: DataFrame, keys: list[str], time: str, ca
     r = right.filter(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), r_type.alias("_r"))
     l = left.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*lcols).alias("_l"))
     both = r.unionByName(l, allowMissingColumns=True).withColumn("_shard", F.floor(F.col("_t") / shard))
-    w = Window.partitionBy(*keys, "_shard").orderBy("_t", "_side")
-    seen = both.withColumns(
-        {
-            "_prev": F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_next": F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    ).filter(F.col("_side") == 1)
+    # both ways as frames that only ever grow: one pass each
+    forth = Window.partitionBy(*keys, "_shard").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, "_shard").orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({"_prev": F.last("_r", ignorenulls=True).over(forth), "_next": F.last("_r", ignorenulls=True).over(back)}).filter(F.col("_side") == 1)
     edges = both.groupBy(*keys, "_shard").agg(F.min("_r").alias("_first"), F.max("_r").alias("_last"))
     scan = Window.partitionBy(*keys).orderBy("_shard")
     edges = edges.select(

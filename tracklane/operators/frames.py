@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklane.operators.joins import join_checked
 from tracklane.operators.positions import with_positions
+from tracklane.session import cut
 
 BLOCK = 8192
 
@@ -39,6 +41,14 @@ def _mid(a: Column) -> Column:
     return F.when(n > 0, (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2)
 
 
+def slope(y, t, w):
+    """Second-order derivative estimate for uneven steps, one-sided at the ends."""
+    h0, h1 = F.col(t) - F.lag(t).over(w), F.lead(t).over(w) - F.col(t)
+    y0, y1 = F.lag(y).over(w), F.lead(y).over(w)
+    mid = (h0 * h0 * y1 + (h1 * h1 - h0 * h0) * F.col(y) - h1 * h1 * y0) / (h0 * h1 * (h0 + h1))
+    return F.when(y0.isNull(), (y1 - F.col(y)) / h1).when(y1.isNull(), (F.col(y) - y0) / h0).otherwise(mid)
+
+
 def running_sum(df: DataFrame, keys: list[str], values: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """Sums of ``values`` (name to column) up to and with each row by ``pos``; block sums are carried by a scan over blocks."""
     names = list(values)
@@ -55,42 +65,41 @@ def running_sum(df: DataFrame, keys: list[str], values: dict[str, Column], block
     return out.select(*df.columns, *((F.coalesce(F.col(f"_r{i}"), F.lit(0)) + F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)))
 
 
+BAND = 0.002  # of the ranks on either side of a percentile, four times the error of the first pass
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """(keys..., n, a column per prob): linear percentiles of the values that are not null.
 
-    Values are counted first; the counts are summed up inside buckets that keep the
-    order of the values, and over the buckets, so neither many rows nor many
-    different values of one group meet in one task.
+    A first pass sketches each group (combined before the shuffle) and gives a band of
+    values around each percentile. The second keeps apart only values inside a band and
+    counts the others between bands, so of a large group a few rows in a thousand are
+    shuffled, and equal values as one row. Should a rank fall outside its band the query
+    fails; it is never answered by a guess.
     """
-    ks = [f"_k{i}" for i in range(len(keys))]
-    v = F.col("v")
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .select(*(F.col(k).alias(a) for k, a in zip(keys, ks, strict=True)), (F.col(value).cast("double") + 0.0).alias("v"))
-        .groupBy(*ks, "v")
-        .agg(F.count("*").alias("c"))
-        .withColumn("b", F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000) * 200))
-    )
-    inside = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*ks, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    sums = counts.groupBy(*ks, "b").agg(F.sum("c").alias("s"))
-    scan = Window.partitionBy(*ks)
-    es = [f"_e{i}" for i in range(len(keys))]
-    offsets = sums.select(
-        *(F.col(k).alias(e) for k, e in zip(ks, es, strict=True)),
-        F.col("b").alias("eb"),
-        F.coalesce(F.sum("s").over(scan.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
-        F.sum("s").over(scan).alias("n"),
-    )
-    on = [F.col(k).eqNullSafe(F.col(e)) for k, e in zip(ks, es, strict=True)] + [F.col("b") == F.col("eb")]
-    ranked = inside.join(offsets, on).withColumn("hi", F.col("off") + F.col("upto")).withColumn("lo", F.col("hi") - F.col("c"))
-    aggs = []
-    for i, p in enumerate(probs.values()):
-        at = (F.col("n") - 1) * F.lit(float(p))
-        for j, r in (("a", F.floor(at)), ("b", F.ceil(at))):
-            aggs.append(F.max(F.when((F.col("lo") <= r) & (r < F.col("hi")), v)).alias(f"p{i}{j}"))
-    got = ranked.groupBy(*ks).agg(F.max("n").alias("n"), *aggs)
-    out = [F.col(a).alias(k) for k, a in zip(keys, ks, strict=True)] + [F.col("n")]
+    ks = [f"_key{i}" for i in range(len(keys))]
+    d = df.filter(F.col(value).isNotNull()).select(*(F.col(k).alias(a) for k, a in zip(keys, ks, strict=True)), (F.col(value).cast("double") + 0.0).alias("v"))
+    cuts = sorted({min(max(p + x, 0.0), 1.0) for p in probs.values() for x in (-BAND, BAND)})
+    sketch = d.groupBy(*ks).agg(F.percentile_approx("v", [float(c) for c in cuts], int(4 / BAND)).alias("_cuts"), F.count("*").alias("_n"))
+    d = join_checked(d, cut(sketch), ks, "inner")
+    low = {p: F.col("_cuts")[cuts.index(max(p - BAND, 0.0))] for p in probs.values()}
+    high = {p: F.col("_cuts")[cuts.index(min(p + BAND, 1.0))] for p in probs.values()}
+    inside = F.col("_n") * BAND < 2  # groups so small are kept whole, as neighbouring ranks count too
+    for p in probs.values():
+        # the first and last percents reach to the ends, whatever the sketch says
+        inside = inside | ((F.lit(p <= BAND) | (F.col("v") >= low[p])) & (F.lit(p >= 1 - BAND) | (F.col("v") <= high[p])))
+    region = F.size(F.filter("_cuts", lambda c: c <= F.col("v")))
+    region = F.when(inside, region * 2).otherwise(region * 2 + 1)  # of one number of cuts, those in a band come first or are alone
+    counts = d.groupBy(*ks, region.alias("_g"), F.when(inside, F.col("v")).alias("v")).agg(F.count("*").alias("c"), F.min("v").alias("_least"))
+    w = Window.partitionBy(*ks)
+    upto = F.sum("c").over(w.orderBy("_least").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"hi": upto, "n": F.sum("c").over(w)}).withColumn("lo", F.col("hi") - F.col("c"))
+    aggs, out = [], [F.col(a).alias(k) for k, a in zip(keys, ks, strict=True)] + [F.col("n")]
     for i, (name, p) in enumerate(probs.items()):
         at = (F.col("n") - 1) * F.lit(float(p))
+        for j, r in (("a", F.floor(at)), ("b", F.ceil(at))):
+            here = (F.col("lo") <= r) & (r < F.col("hi"))
+            found = F.when(F.col("v").isNull(), F.raise_error(F.lit(f"the rank of {name} lies outside its band"))).otherwise(F.col("v"))
+            aggs.append(F.max(F.when(here, found)).alias(f"p{i}{j}"))
         out.append((F.col(f"p{i}a") + (F.col(f"p{i}b") - F.col(f"p{i}a")) * (at - F.floor(at))).alias(name))
-    return got.select(*out)
+    return ranked.groupBy(*ks).agg(F.max("n").alias("n"), *aggs).select(*out)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracklane.functions.missing import finite
 from tracklane.operators.align import asof, interpolate
-from tracklane.operators.frames import exact_percentiles
+from tracklane.operators.delays import at_delays, judged_delay, middle, residual_scores
+from tracklane.operators.frames import block_window, exact_percentiles, in_blocks, owned, slope
 from tracklane.operators.positions import with_positions
 from tracklane.sources.sensors import baro, flow, gps, messages, one_per_key, starlink, vision, with_sql
 from tracklane.sources.tables import table
@@ -35,7 +36,7 @@ TIMEBASE_SQL = with_sql("gps", "baro", "vision") + (
 def _dedup(last: bool):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         rows = table(spark, folder, "vision_velocity_corrected_frd").select("flight_id", "tr", "sample_id", "frame_id")
-        return one_per_key(rows.filter(finite(F.col("tr"))), ["flight_id", "tr"], "sample_id", last)
+        return one_per_key(rows.filter(finite(F.col("tr"))), ["flight_id", "tr"], "sample_id", last=last)
 
     return run
 
@@ -113,7 +114,8 @@ def q_error_summary(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("n"), F.avg("err").alias("bias"), F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"),
         F.avg("abs_err").alias("mae"), F.max("abs_err").alias("max_abs"), F.max("age").alias("age_max"),
     )
-    tail = exact_percentiles(d, KEY, "abs_err", {"p95": 0.95}).drop("n").join(exact_percentiles(d, KEY, "age", {"age_p95": 0.95}).drop("n"), "flight_id")
+    both = d.select("flight_id", F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).alias("x")) for c in ("abs_err", "age")))).alias("m")).select("flight_id", "m.*")
+    tail = exact_percentiles(both, [*KEY, "of"], "x", {"p": 0.95}).groupBy("flight_id").agg(F.max(F.when(F.col("of") == "abs_err", F.col("p"))).alias("p95"), F.max(F.when(F.col("of") == "age", F.col("p"))).alias("age_p95"))
     return sums.join(tail, "flight_id").select("flight_id", "n", *map(r6, ("bias", "rmse", "mae", "p95", "max_abs", "age_p95", "age_max")))
 
 
@@ -147,35 +149,55 @@ SUPPORT_SQL = with_sql("gps", "baro", "vision", more="s AS (SELECT flight_id, mi
 )
 
 
-def judged_delay(score: DataFrame, more: str, edge: float, flat: float, few: int) -> DataFrame:
-    """The delay of the least score per flight, first of equals, from a grid of -edge to edge by 0.02 s; in doubt at the grid's edge, of few rows, or where the scores hardly differ."""
-    best = score.groupBy("flight_id").agg(F.min(F.struct(F.round("score", 6).alias("score"), "tau", "n", F.round(more, 6).alias(more))).alias("b"), (F.percentile("score", 0.9) - F.min("score")).alias("span"))
-    doubt = F.concat_ws("+", F.when(F.abs("b.tau") > edge - 0.03, "edge"), F.when(F.col("b.n") < few, "few"), F.when(F.col("span") < flat, "flat"))
-    return best.select("flight_id", "b.score", "b.tau", "b.n", f"b.{more}", r6("span"), doubt.alias("doubt"))
+SPARSE_FEW = 8
+SPARSE_REACH, STEP = 3.0, 0.02  # seconds of delay tried either way, and by what steps
+
+
+def delay_grid(reach: float) -> list[float]:
+    return [i / 50 for i in range(-round(reach * 50), round(reach * 50) + 1)]
+
+
+def slope_sql(y: str) -> str:
+    return (
+        f"CASE WHEN lag({y}) OVER w IS NULL THEN (lead({y}) OVER w - {y}) / (lead(tr) OVER w - tr) WHEN lead({y}) OVER w IS NULL THEN ({y} - lag({y}) OVER w) / (tr - lag(tr) OVER w) "
+        f"ELSE ((tr - lag(tr) OVER w) ** 2 * lead({y}) OVER w + ((lead(tr) OVER w - tr) ** 2 - (tr - lag(tr) OVER w) ** 2) * {y} - (lead(tr) OVER w - tr) ** 2 * lag({y}) OVER w) "
+        f"/ ((tr - lag(tr) OVER w) * (lead(tr) OVER w - tr) * (lead(tr) OVER w - lag(tr) OVER w)) END"
+    )
 
 
 def q_delay_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Delay of the sparse fixes against the dense ones: of a grid of delays the one with the least median distance, first of equals."""
-    taus = spark.range(-12, 13).select((F.col("id") * 0.25).alias("tau"))  # the grid, 25 rows
-    s = starlink(spark, folder).crossJoin(F.broadcast(taus))
-    s = s.select("flight_id", "fix_id", "tau", (F.col("tr") - F.col("tau")).alias("tr"), F.col("e").alias("se"), F.col("n").alias("sn"))
-    g = gps(spark, folder).select("flight_id", "tr", "e", "n")
-    at = interpolate(s, g, KEY, "tr", ["e", "n"]).filter("e_at IS NOT NULL")
-    at = at.withColumn("d", F.hypot(F.col("se") - F.col("e_at"), F.col("sn") - F.col("n_at")))
-    score = exact_percentiles(at, ["flight_id", "tau"], "d", {"score": 0.5})
-    best = score.filter("n >= 5").groupBy("flight_id").agg(F.min(F.struct(F.round("score", 6).alias("score"), "tau", "n")).alias("b"))
-    return best.select("flight_id", "b.score", "b.tau", "b.n", (F.abs("b.tau") < 3.0).alias("inside"))
-
-
-DELAY_SQL = with_sql("gps", "starlink", more="""
-g AS (SELECT s.flight_id, s.fix_id, i * 0.25 AS tau, s.tr - i * 0.25 AS tr, s.e AS se, s.n AS sn FROM starlink s, range(-12, 13) r(i)),
-j AS (SELECT g.*, p.tr AS t0, p.e AS e0, p.n AS n0, q.tr AS t1, q.e AS e1, q.n AS n1 FROM g
-  ASOF JOIN gps p ON g.flight_id = p.flight_id AND g.tr >= p.tr ASOF LEFT JOIN gps q ON g.flight_id = q.flight_id AND g.tr < q.tr),
-d AS (SELECT flight_id, tau, CASE WHEN t1 IS NULL THEN CASE WHEN t0 = tr THEN sqrt((se - e0) ** 2 + (sn - n0) ** 2) END
-  ELSE sqrt((se - (e0 + (e1 - e0) * ((tr - t0) / (t1 - t0)))) ** 2 + (sn - (n0 + (n1 - n0) * ((tr - t0) / (t1 - t0)))) ** 2) END AS d FROM j),
-c AS (SELECT flight_id, CAST(tau AS DOUBLE) AS tau, count(*) AS n, round(quantile_cont(d, 0.5), 6) AS score FROM d WHERE d IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5)""") + (
-    "SELECT flight_id, score, tau, n, abs(tau) < 3.0 AS inside FROM (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY score, tau) AS rn FROM c) WHERE rn = 1"
-)
+    """Delay of the sparse fixes against the dense ones: of a grid by 0.02 s the one of the least median distance, while the dense fixes move faster than 1 m/s and without the median distance east and north of the delay; with the RMSE and what makes the delay doubtful."""
+    g = in_blocks(gps(spark, folder).select("flight_id", "tr", "e", "n"), KEY, ["tr"], F.floor(F.col("tr") / 600), 1, 1)
+    w = block_window(KEY)
+    g = owned(g.withColumn("speed", F.hypot(slope("e", "tr", w), slope("n", "tr", w)))).select("flight_id", "tr", "e", "n", "speed")
+    s = starlink(spark, folder).select("flight_id", "tr", F.col("e").alias("se"), F.col("n").alias("sn"))
+    d = at_delays(s, g, KEY, "tr", ["e", "n", "speed"], delay_grid(SPARSE_REACH)).filter("speed_at > 1")
+    d = d.select("flight_id", "delay", (F.col("se") - F.col("e_at")).alias("de"), (F.col("sn") - F.col("n_at")).alias("dn"))
+    far = F.hypot(F.col("de") - F.col("oe"), F.col("dn") - F.col("on"))
+    scores = {"score": middle("res"), "rmse": F.sqrt(F.avg(F.col("res") ** 2))}
+    scored = residual_scores(d, KEY, lambda: [middle("de").alias("oe"), middle("dn").alias("on")], far, scores)
+    return judged_delay(scored, KEY, "rmse", SPARSE_REACH, 1.0, SPARSE_FEW)
+
+
+def judged_sql(more: str, edge: float, flat: float, few: int) -> str:
+    """The same of a table sc(flight_id, delay, n, score, ``more``)."""
+    return f"""SELECT flight_id, score, tau, n, {more}, span, concat_ws('+', CASE WHEN abs(tau) > {edge} - 0.03 THEN 'edge' END, CASE WHEN n < {few} THEN 'few' END, CASE WHEN span_ < {flat} THEN 'flat' END) AS doubt
+FROM (SELECT flight_id, round(score, 6) AS score, delay AS tau, n, round({more}, 6) AS {more}, row_number() OVER (PARTITION BY flight_id ORDER BY round(score, 6), delay) AS rn,
+  quantile_cont(score, 0.9) OVER f - min(score) OVER f AS span_, round(quantile_cont(score, 0.9) OVER f - min(score) OVER f, 5) AS span FROM sc WINDOW f AS (PARTITION BY flight_id)) WHERE rn = 1"""
+
+
+def _delay_sql() -> str:
+    line = lambda c: f"CASE WHEN t1 IS NULL THEN CASE WHEN t0 = tr THEN {c}0 END ELSE {c}0 + ({c}1 - {c}0) * ((tr - t0) / (t1 - t0)) END"
+    return with_sql("gps", "starlink", more=f"""
+g0 AS (SELECT flight_id, tr, e, n, {slope_sql('e')} AS ve, {slope_sql('n')} AS vn FROM gps WINDOW w AS (PARTITION BY flight_id ORDER BY tr)),
+gs AS (SELECT flight_id, tr, e, n, sqrt(ve ** 2 + vn ** 2) AS s FROM g0),
+g AS (SELECT s.flight_id, s.fix_id, i / 50.0 AS delay, s.tr - i / 50.0 AS tr, s.e AS se, s.n AS sn FROM starlink s, range(-150, 151) r(i)),
+j AS (SELECT g.*, p.tr AS t0, p.e AS e0, p.n AS n0, p.s AS s0, q.tr AS t1, q.e AS e1, q.n AS n1, q.s AS s1 FROM g
+  ASOF JOIN gs p ON g.flight_id = p.flight_id AND g.tr >= p.tr ASOF LEFT JOIN gs q ON g.flight_id = q.flight_id AND g.tr < q.tr),
+d AS (SELECT flight_id, delay, se - ({line('e')}) AS de, sn - ({line('n')}) AS dn, {line('s')} AS s FROM j),
+dd AS (SELECT * FROM d WHERE s > 1), o AS (SELECT flight_id, delay, quantile_disc(de, 0.5) AS oe, quantile_disc(dn, 0.5) AS o_n FROM dd GROUP BY 1, 2),
+r AS (SELECT flight_id, delay, sqrt((de - oe) ** 2 + (dn - o_n) ** 2) AS res FROM dd JOIN o USING (flight_id, delay)),
+sc AS (SELECT flight_id, CAST(delay AS DOUBLE) AS delay, count(*) AS n, quantile_disc(res, 0.5) AS score, sqrt(avg(res ** 2)) AS rmse FROM r GROUP BY 1, 2 HAVING count(*) >= 5)""") + judged_sql("rmse", SPARSE_REACH, 1.0, SPARSE_FEW)
 
 
 def q_merge_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -263,7 +285,7 @@ SQL = {
     "q_error_summary": ERROR_SUMMARY_SQL,
     "q_error_by_bin": ERROR_BIN_SQL,
     "q_common_support": SUPPORT_SQL,
-    "q_delay_scan": DELAY_SQL,
+    "q_delay_scan": _delay_sql(),
     "q_merge_order": MERGE_SQL,
     "q_zip_compare": ZIP_SQL,
     "q_equi_one_to_one": EQUI_SQL,

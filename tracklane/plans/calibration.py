@@ -8,18 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.functions import motion
-from tracklane.functions.missing import finite
 from tracklane.operators.align import asof, interpolate
-from tracklane.operators.frames import block_window, exact_percentiles, in_blocks, owned
+from tracklane.operators.delays import at_delays, judged_delay, middle, residual_scores
+from tracklane.operators.frames import block_window, exact_percentiles, in_blocks, owned, slope
 from tracklane.operators.joins import join_checked
-from tracklane.plans.alignment import KEY, judged_delay
-from tracklane.plans.windows import _slope, _slope_sql
+from tracklane.plans.alignment import KEY, delay_grid
 from tracklane.session import cut
 from tracklane.sources.sensors import attitude, baro, flow, gps, messages, starlink, with_sql
-from tracklane.sources.tables import table
 
 TWO_PI = 2 * math.pi
-COURSE_FEW, SPARSE_FEW = 200, 8
+COURSE_FEW, COURSE_REACH = 200, 1.0
 FX, FY = motion.focal_px(384, 40.0), motion.focal_px(288, 30.0)
 
 
@@ -27,51 +25,17 @@ def _wrap(x):
     return F.pmod(x + math.pi, F.lit(TWO_PI)) - math.pi
 
 
-def _yaw(spark: SparkSession, folder: str) -> DataFrame:
-    """Yaw in radians of rows that say so, as a point on the circle: interpolation then needs no unwrapping."""
-    e = table(spark, folder, "euler_raw").filter((F.lower(F.trim("angle_unit")) == "rad") & finite(F.col("yaw")) & finite(F.col("tr")))
-    e = e.groupBy("flight_id", "tr").agg(F.min_by("yaw", "sample_id").alias("yaw"))
-    return e.select("flight_id", "tr", F.sin("yaw").alias("s"), F.cos("yaw").alias("c"))
-
-
-def _course_scores(spark: SparkSession, folder: str, yaw: DataFrame, taus: DataFrame, probs: dict[str, float]) -> DataFrame:
-    """Percentiles of the distance between course and yaw at t - delay, without their constant difference, per flight and delay."""
-    d = in_blocks(gps(spark, folder).select("flight_id", "fix_id", "tr", "e", "n"), KEY, ["tr"], F.floor(F.col("tr") / 600), 1, 1)
-    w = block_window(KEY)
-    d = owned(d.withColumn("ve", _slope("e", "tr", w)).withColumn("vn", _slope("n", "tr", w))).filter(F.hypot("ve", "vn") > 2)
-    d = d.crossJoin(F.broadcast(taus)).select("flight_id", "fix_id", "tau", (F.col("tr") - F.col("tau")).alias("tr"), F.atan2("ve", "vn").alias("course"))
-    d = interpolate(d, yaw, KEY, "tr", ["s", "c"]).filter("s_at IS NOT NULL")
-    keys = ["flight_id", "tau"]
-    d = cut(d.select(*keys, _wrap(F.col("course") - F.atan2("s_at", "c_at")).alias("off")))  # needed for the bias and for what it leaves
-    bias = cut(d.groupBy(*keys).agg(F.atan2(F.avg(F.sin("off")), F.avg(F.cos("off"))).alias("bias")))
-    d = join_checked(d, bias, keys).withColumn("res", F.abs(_wrap(F.col("off") - F.col("bias"))))
-    return exact_percentiles(d, keys, "res", probs).filter("n >= 5")
-
-
 def q_course_delay(spark: SparkSession, folder: str) -> DataFrame:
-    """Delay of the dense fixes against the attitude: the course over ground beside the yaw at t - delay, on a grid, without their constant difference; the delay of the least median. Of the yaws that state 'rad' alone; all units: q_course_delay_all."""
-    taus = spark.range(-4, 5).select((F.col("id") * 0.25).alias("tau"))  # the grid, 9 rows
-    score = _course_scores(spark, folder, _yaw(spark, folder), taus, {"score": 0.5})
-    best = score.groupBy("flight_id").agg(F.min(F.struct(F.round("score", 6).alias("score"), "tau", "n")).alias("b"))
-    return best.select("flight_id", "b.score", "b.tau", "b.n")
-
-
-def q_course_delay_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As q_course_delay, of the yaws in whatever unit they were recorded, by steps of 0.02 s; with the 90th percentile and what makes the delay doubtful."""
-    yaw = attitude(spark, folder, "yaw").select("flight_id", "tr", F.sin("yaw").alias("s"), F.cos("yaw").alias("c"))
-    taus = spark.range(-50, 51).select((F.col("id") / 50).alias("tau"))  # the grid, 101 rows
-    return judged_delay(_course_scores(spark, folder, yaw, taus, {"score": 0.5, "p90": 0.9}), "p90", 1.0, math.radians(0.5), COURSE_FEW)
-
-
-COURSE_SQL = with_sql("gps", more=f"""v AS (SELECT flight_id, fix_id, tr, {_slope_sql('e')} AS ve, {_slope_sql('n')} AS vn FROM gps WINDOW w AS (PARTITION BY flight_id ORDER BY tr)),
-y AS (SELECT flight_id, tr, sin(yaw) AS s, cos(yaw) AS c FROM (SELECT *, row_number() OVER (PARTITION BY flight_id, tr ORDER BY sample_id) AS rn FROM euler_raw WHERE lower(trim(angle_unit, ' ')) = 'rad' AND isfinite(yaw) AND isfinite(tr)) WHERE rn = 1),
-g AS (SELECT flight_id, fix_id, CAST(i * 0.25 AS DOUBLE) AS tau, tr - i * 0.25 AS tr, atan2(ve, vn) AS course FROM v, range(-4, 5) r(i) WHERE sqrt(ve ** 2 + vn ** 2) > 2),
-j AS (SELECT g.*, p.tr AS t0, p.s AS s0, p.c AS c0, q.tr AS t1, q.s AS s1, q.c AS c1 FROM g ASOF JOIN y p ON g.flight_id = p.flight_id AND g.tr >= p.tr ASOF LEFT JOIN y q ON g.flight_id = q.flight_id AND g.tr < q.tr),
-a AS (SELECT flight_id, tau, course - CASE WHEN t1 IS NULL THEN atan2(s0, c0) ELSE atan2(s0 + (s1 - s0) * ((tr - t0) / (t1 - t0)), c0 + (c1 - c0) * ((tr - t0) / (t1 - t0))) END AS o FROM j WHERE t1 IS NOT NULL OR t0 = tr),
-b AS (SELECT flight_id, tau, atan2(avg(sin(o)), avg(cos(o))) AS bias FROM a GROUP BY 1, 2),
-s AS (SELECT flight_id, tau, count(*) AS n, round(quantile_cont(abs((o - bias) - 2 * pi() * round((o - bias) / (2 * pi()))), 0.5), 6) AS score FROM a JOIN b USING (flight_id, tau) GROUP BY 1, 2 HAVING count(*) >= 5)""") + (
-    "SELECT flight_id, score, tau, n FROM (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY score, tau) AS rn FROM s) WHERE rn = 1"
-)
+    """Delay of the dense fixes against the attitude, in whatever unit that was recorded: the course over ground beside the yaw at t - delay, on a grid by 0.02 s, without their constant difference; the delay of the least median, with the 90th percentile and what makes it doubtful."""
+    yaw = attitude(spark, folder, "yaw").select("flight_id", "tr", F.sin("yaw").alias("s"), F.cos("yaw").alias("c"))  # points on the circle: no unwrapping
+    d = in_blocks(gps(spark, folder).select("flight_id", "tr", "e", "n"), KEY, ["tr"], F.floor(F.col("tr") / 600), 1, 1)
+    w = block_window(KEY)
+    d = owned(d.withColumn("ve", slope("e", "tr", w)).withColumn("vn", slope("n", "tr", w))).filter(F.hypot("ve", "vn") > 2)
+    d = at_delays(d.select("flight_id", "tr", F.atan2("ve", "vn").alias("course")), yaw, KEY, "tr", ["s", "c"], delay_grid(COURSE_REACH))
+    d = d.select("flight_id", "delay", _wrap(F.col("course") - F.atan2("s_at", "c_at")).alias("off"))
+    bias = lambda: [F.atan2(F.avg(F.sin("off")), F.avg(F.cos("off"))).alias("bias")]
+    scored = residual_scores(d, KEY, bias, F.abs(_wrap(F.col("off") - F.col("bias"))), {"score": middle("res"), "p90": middle("res", 0.9)})
+    return judged_delay(scored, KEY, "p90", COURSE_REACH, math.radians(0.5), COURSE_FEW)
 
 
 def q_enu_offset(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,21 +93,5 @@ CLOCK_SQL = with_sql("messages", more="w AS (SELECT *, min(bag_timestamp_ns) OVE
 )
 
 
-def q_delay_scan_fine(spark: SparkSession, folder: str) -> DataFrame:
-    """As q_delay_scan by steps of 0.02 s: while the dense fixes move faster than 1 m/s, and without the median distance east and north of the delay; with the RMSE and what makes the delay doubtful."""
-    g = in_blocks(gps(spark, folder).select("flight_id", "tr", "e", "n"), KEY, ["tr"], F.floor(F.col("tr") / 600), 1, 1)
-    w = block_window(KEY)
-    g = owned(g.withColumn("speed", F.hypot(_slope("e", "tr", w), _slope("n", "tr", w)))).select("flight_id", "tr", "e", "n", "speed")
-    taus = spark.range(-150, 151).select((F.col("id") / 50).alias("tau"))  # the grid, 301 rows
-    s = starlink(spark, folder).crossJoin(F.broadcast(taus)).select("flight_id", "tau", (F.col("tr") - F.col("tau")).alias("tr"), F.col("e").alias("se"), F.col("n").alias("sn"))
-    keys = ["flight_id", "tau"]
-    d = interpolate(s, g, KEY, "tr", ["e", "n", "speed"]).filter("speed_at > 1")
-    d = cut(d.select(*keys, (F.col("se") - F.col("e_at")).alias("de"), (F.col("sn") - F.col("n_at")).alias("dn")))  # needed for the offset and for what it leaves
-    off = cut(exact_percentiles(d, keys, "de", {"oe": 0.5}).drop("n").join(exact_percentiles(d, keys, "dn", {"on": 0.5}).drop("n"), keys))
-    d = join_checked(d, off, keys).withColumn("res", F.hypot(F.col("de") - F.col("oe"), F.col("dn") - F.col("on")))
-    rmse = d.groupBy(*keys).agg(F.sqrt(F.avg(F.col("res") ** 2)).alias("rmse"))
-    return judged_delay(exact_percentiles(d, keys, "res", {"score": 0.5}).filter("n >= 5").join(rmse, keys), "rmse", 3.0, 1.0, SPARSE_FEW)
-
-
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
-SQL = {"q_course_delay": COURSE_SQL, "q_enu_offset": ENU_OFFSET_SQL, "q_metric_velocity": METRIC_SQL, "q_clock_window": CLOCK_SQL}
+SQL = {"q_enu_offset": ENU_OFFSET_SQL, "q_metric_velocity": METRIC_SQL, "q_clock_window": CLOCK_SQL}

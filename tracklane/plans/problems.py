@@ -117,7 +117,7 @@ def p6_periods(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_P6_MESSAGES = """
+P6_MESSAGES = """
 WITH f AS (
   SELECT *, row_number() OVER (PARTITION BY flight_id, msg_seq ORDER BY bag_timestamp_ns, rec_id) AS rn
   FROM decoded_record WHERE bag_timestamp_ns IS NOT NULL),
@@ -129,12 +129,12 @@ c AS (
     bag_timestamp_ns - (at_ns - at_ns % 10000000000 + 10000000000) AS late FROM m)
 """
 P6_FOUND_SQL = (
-    _P6_MESSAGES
+    P6_MESSAGES
     + "SELECT rec_id, CASE WHEN late >= 60000000000 THEN 'dropped' ELSE 'corrects' END AS outcome FROM c WHERE late >= 2000000000"
 )
 _first = "FILTER (late < 2000000000)"
 P6_PERIODS_SQL = (
-    _P6_MESSAGES
+    P6_MESSAGES
     + f"""SELECT flight_id, topic, period_ns,
   count(*) {_first} AS n_first, count(DISTINCT linear.x) {_first} AS distinct_first,
   min(linear.x) {_first} AS lo_first, max(linear.x) {_first} AS hi_first, quantile_disc(linear.x, 0.5) {_first} AS median_first,

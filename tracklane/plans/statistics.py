@@ -115,33 +115,12 @@ def q_geo_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 ROUND_TRIP_SQL = with_sql("gps") + "SELECT flight_id, count(*) AS n, TRUE AS lat_ok, TRUE AS lon_ok, TRUE AS alt_ok FROM gps GROUP BY 1"
 
 
-def _body_to_enu(spark: SparkSession, folder: str, a: DataFrame, *more: str) -> DataFrame:
-    """Vision velocities within the speed bound, turned by the attitude of ``a`` before them; ``more`` are further columns to keep."""
-    d = asof(vision(spark, folder).select("flight_id", "sample_id", "tr", "vx", "vy", "vz"), a, KEY, "tr", ["roll", "pitch", "yaw", *(c for c in more if c != "age")]).filter("yaw IS NOT NULL")
-    east, north, up = geo.body_to_enu(*map(F.col, ("vx", "vy", "vz", "roll", "pitch", "yaw")))
-    fine = F.hypot("vx", "vy") <= 60
-    return d.filter(fine).select("flight_id", "sample_id", F.round(east, 5).alias("ve"), F.round(north, 5).alias("vn"), F.round(up, 5).alias("vu"), *more)
-
-
 def q_body_to_enu(spark: SparkSession, folder: str) -> DataFrame:
-    """Body velocity turned into east, north, up by the attitude before it, of the rows that state 'rad' alone (yaw clockwise from north); all units: q_body_to_enu_all."""
-    a = table(spark, folder, "euler_raw").filter((F.lower(F.trim("angle_unit")) == "rad") & finite(F.col("roll")) & finite(F.col("pitch")) & finite(F.col("yaw")) & finite(F.col("tr")))
-    a = a.groupBy("flight_id", "tr").agg(F.min_by(F.struct("roll", "pitch", "yaw"), "sample_id").alias("r")).select("flight_id", "tr", "r.*")
-    return _body_to_enu(spark, folder, a)
-
-
-def q_body_to_enu_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Body velocity turned into east, north, up by the attitude before it, in whatever unit that was recorded; its age, and whether its unit is in doubt."""
-    return _body_to_enu(spark, folder, attitude(spark, folder, "roll", "pitch", "yaw"), "age", "unsure").withColumn("age", F.round("age", 5))
-
-
-BODY_SQL = with_sql("vision", more="""a AS (SELECT flight_id, tr, roll, pitch, yaw FROM (SELECT *, row_number() OVER (PARTITION BY flight_id, tr ORDER BY sample_id) AS rn FROM euler_raw
-  WHERE lower(trim(angle_unit, ' ')) = 'rad' AND isfinite(roll) AND isfinite(pitch) AND isfinite(yaw) AND isfinite(tr)) WHERE rn = 1),
-j AS (SELECT v.*, roll, pitch, yaw FROM vision v ASOF JOIN a ON v.flight_id = a.flight_id AND v.tr >= a.tr)""") + (
-    "SELECT flight_id, sample_id, round(sin(yaw) * cos(pitch) * vx + (sin(yaw) * sin(pitch) * sin(roll) + cos(yaw) * cos(roll)) * vy + (sin(yaw) * sin(pitch) * cos(roll) - cos(yaw) * sin(roll)) * vz, 5) AS ve, "
-    "round(cos(yaw) * cos(pitch) * vx + (cos(yaw) * sin(pitch) * sin(roll) - sin(yaw) * cos(roll)) * vy + (cos(yaw) * sin(pitch) * cos(roll) + sin(yaw) * sin(roll)) * vz, 5) AS vn, "
-    "round(-(-sin(pitch) * vx + cos(pitch) * sin(roll) * vy + cos(pitch) * cos(roll) * vz), 5) AS vu FROM j WHERE sqrt(vx ** 2 + vy ** 2) <= 60"
-)
+    """Body velocity within the speed bound, turned into east, north, up by the attitude before it, in whatever unit that was recorded; its age, and whether its unit is in doubt."""
+    v = vision(spark, folder).select("flight_id", "sample_id", "tr", "vx", "vy", "vz").filter(F.hypot("vx", "vy") <= 60)
+    d = asof(v, attitude(spark, folder, "roll", "pitch", "yaw"), KEY, "tr", ["roll", "pitch", "yaw", "unsure"]).filter("yaw IS NOT NULL")
+    east, north, up = geo.body_to_enu(*map(F.col, ("vx", "vy", "vz", "roll", "pitch", "yaw")))
+    return d.select("flight_id", "sample_id", F.round(east, 5).alias("ve"), F.round(north, 5).alias("vn"), F.round(up, 5).alias("vu"), F.round("age", 5).alias("age"), "unsure")
 
 
 def q_origin(spark: SparkSession, folder: str) -> DataFrame:
@@ -346,7 +325,6 @@ SQL = {
     "q_speed_split": SPLIT_SQL,
     "q_geo_enu": GEO_SQL,
     "q_geo_round_trip": ROUND_TRIP_SQL,
-    "q_body_to_enu": BODY_SQL,
     "q_origin": ORIGIN_SQL,
     "q_baro_offset": OFFSET_SQL,
     "q_starlink_quality": STARLINK_SQL,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklane.functions.missing import finite
@@ -15,9 +15,9 @@ from tracklane.session import cut
 from tracklane.sources.sensors import baro, flow, gps, starlink, vision, with_sql
 from tracklane.sources.tables import table
 
-WINDOWS, WINDOW_S = 6, 60.0
-# The survey's windows: name, offset, duration, role; both ends are in.
+# The windows of the blocked validation: name, offset, duration, role; both ends are in.
 BLOCKS = [(f"long_o{o:03d}_d180", float(o), 180.0, "primary") for o in (0, 180, 360, 540, 720, 900)] + [(f"short_o{o:03d}_d040", float(o), 40.0, "startup_stress") for o in (30, 300, 600, 900)]
+BASE, CANDIDATE = "prepared_baro_u", "fused_raw_u"
 
 
 def _samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,18 +26,12 @@ def _samples(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("flight_id", "tr", "series", "matching_mode", "err_u").distinct()
 
 
-def _aligned(spark: SparkSession, folder: str) -> DataFrame:
-    """Aligned height samples of errors under 1000, with the minute they are in (the first six), as the SQL asks; the whole is in the queries named _all and _blocks."""
-    d = _samples(spark, folder).filter(F.abs("err_u") < 1000)
-    return d.withColumn("win", F.floor(F.col("tr") / WINDOW_S)).filter(F.col("win").between(0, WINDOWS - 1))
-
+SAMPLES = "a AS (SELECT DISTINCT flight_id, tr, series, matching_mode, err_u FROM fusion_height_aligned_samples WHERE isfinite(err_u) AND isfinite(tr))"
 
-ALIGNED = f"""a AS (SELECT DISTINCT flight_id, tr, series, matching_mode, err_u, CAST(floor(tr / {WINDOW_S}) AS BIGINT) AS win FROM fusion_height_aligned_samples
-  WHERE isfinite(err_u) AND isfinite(tr) AND abs(err_u) < 1000 AND floor(tr / {WINDOW_S}) BETWEEN 0 AND {WINDOWS - 1})"""
-BASE, CANDIDATE = "prepared_baro_u", "fused_raw_u"
 
-
-def _variant_compare(d: DataFrame) -> DataFrame:
+def q_variant_compare(spark: SparkSession, folder: str) -> DataFrame:
+    """Every series and mode on the time that all series of a flight cover in that mode."""
+    d = _samples(spark, folder)
     spans = d.groupBy("flight_id", "matching_mode", "series").agg(F.min("tr").alias("a"), F.max("tr").alias("b"))
     support = cut(spans.groupBy("flight_id", "matching_mode").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.count("*").alias("k")).filter("k = 3").drop("k"))
     d = join_checked(d, support, ["flight_id", "matching_mode"], "inner").filter(F.col("tr").between(F.col("a"), F.col("b")))
@@ -47,75 +41,56 @@ def _variant_compare(d: DataFrame) -> DataFrame:
     return sums.join(tail, keys).select(*keys, "n", *map(r6, ("bias", "rmse", "p95", "most")))
 
 
-def q_variant_compare(spark: SparkSession, folder: str) -> DataFrame:
-    """Every series and mode on the time that all series of a flight cover in that mode."""
-    return _variant_compare(_aligned(spark, folder))
-
-
-def q_variant_compare_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As q_variant_compare, of all times and errors."""
-    return _variant_compare(_samples(spark, folder))
-
-
-VARIANT_SQL = f"""WITH {ALIGNED}, s AS (SELECT flight_id, matching_mode, series, min(tr) AS a, max(tr) AS b FROM a GROUP BY ALL),
+VARIANT_SQL = f"""WITH {SAMPLES}, s AS (SELECT flight_id, matching_mode, series, min(tr) AS a, max(tr) AS b FROM a GROUP BY ALL),
 u AS (SELECT flight_id, matching_mode, max(a) AS a, min(b) AS b FROM s GROUP BY ALL HAVING count(*) = 3)
 SELECT series, matching_mode, count(*) AS n, round(avg(err_u), 6) AS bias, round(sqrt(avg(err_u ** 2)), 6) AS rmse, round(quantile_cont(abs(err_u), 0.95), 6) AS p95, round(max(abs(err_u)), 6) AS most
 FROM a JOIN u USING (flight_id, matching_mode) WHERE tr BETWEEN u.a AND u.b GROUP BY ALL"""
 
 
-def _window_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean square error of every series and mode in every window; policy is both, in order of preference."""
-    d = _aligned(spark, folder).groupBy("win", "series", "matching_mode").agg(F.avg(F.col("err_u") ** 2).alias("mse"), F.count("*").alias("n"))
-    return d.withColumn("policy", F.concat_ws("/", "series", "matching_mode"))
-
-
 def _block_scores(spark: SparkSession, folder: str, role: str | None = "primary") -> DataFrame:
-    """As _window_scores, of all errors in the survey's windows of a role (None: of all)."""
+    """Mean square error of every series and mode in the windows of a role (None: of all); policy is both, in order of preference."""
     blocks = spark.createDataFrame([b for b in BLOCKS if role in (None, b[3])], "win string, a double, duration double, role string")
     inside = F.col("tr").between(F.col("a"), F.col("a") + F.col("duration"))
-    d = _samples(spark, folder).join(F.broadcast(blocks), inside)
+    d = _samples(spark, folder).join(F.broadcast(blocks), inside)  # ten rows
     d = d.groupBy("win", "role", "series", "matching_mode").agg(F.avg(F.col("err_u") ** 2).alias("mse"), F.count("*").alias("n"))
     return d.withColumn("policy", F.concat_ws("/", "series", "matching_mode"))
 
 
-SCORES = f"{ALIGNED}, sc AS (SELECT win, series, matching_mode, series || '/' || matching_mode AS policy, avg(err_u ** 2) AS mse, count(*) AS n FROM a GROUP BY ALL)"
-
-
-def _window_decision(s: DataFrame) -> DataFrame:
-    side = lambda name: F.max(F.when(F.col("series") == name, F.sqrt("mse")))
-    w = s.groupBy("matching_mode", "win").agg(side(BASE).alias("b"), side(CANDIDATE).alias("c")).filter("b IS NOT NULL AND c IS NOT NULL AND b > 0")
-    w = w.withColumn("gain", 100 * (F.col("b") - F.col("c")) / F.col("b"))
-    d = w.groupBy("matching_mode").agg(F.count("*").alias("windows"), F.count_if(F.col("c") < F.col("b")).alias("wins"), F.percentile("gain", 0.5).alias("mid"), F.min("gain").alias("worst"))
-    verdict = (F.col("wins") >= 5) & (F.col("mid") >= 5) & (F.col("worst") >= -10)
-    return d.select("matching_mode", "windows", "wins", r6("mid"), r6("worst"), verdict.alias("accepted"))
+SCORES = f"""{SAMPLES}, bl AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {o}, {d}, '{r}')" for n, o, d, r in BLOCKS)}) v(win, lo, duration, role)),
+sc AS (SELECT win, role, series, matching_mode, series || '/' || matching_mode AS policy, avg(err_u ** 2) AS mse, count(*) AS n FROM a JOIN bl ON tr BETWEEN lo AND lo + duration GROUP BY ALL)"""
 
 
 def q_window_decision(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether the candidate beats the base over the windows: wins, median and worst improvement, and the verdict of fixed gates."""
-    return _window_decision(_window_scores(spark, folder))
-
-
-def q_window_decision_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """As q_window_decision, of all errors: the verdict is that of the survey's primary windows of 180 s, provided that candidate and base have as many samples in every window; the stress windows of 40 s are judged beside them, without verdict."""
+    """Whether the candidate beats the base: wins, median and worst improvement and pooled RMSE over the windows, and the verdict of fixed gates over the primary windows of 180 s, provided that both have as many samples in every window of either kind; the stress windows of 40 s are judged beside them, without verdict."""
     s = cut(_block_scores(spark, folder, None))  # windows times policies: 60 rows
-    out = None
-    for role in ("primary", "startup_stress"):
-        part = _window_decision(s.filter(F.col("role") == role)).withColumn("role", F.lit(role))
-        out = part if out is None else out.unionByName(part)
-    count = lambda name: F.coalesce(F.max(F.when(F.col("series") == name, F.col("n"))), F.lit(0))
-    unequal = s.groupBy("matching_mode", "win").agg((count(BASE) != count(CANDIDATE)).alias("u")).groupBy("matching_mode").agg(F.count_if("u").alias("unequal_windows"))
-    out = join_checked(out, unequal, ["matching_mode"])
-    return out.withColumn("accepted", F.when(F.col("role") == "primary", F.col("accepted") & (F.col("unequal_windows") == 0)))
+    pick = lambda name, c: F.max(F.when(F.col("series") == name, F.col(c)))
+    w = s.groupBy("matching_mode", "role", "win").agg(F.sqrt(pick(BASE, "mse")).alias("b"), F.sqrt(pick(CANDIDATE, "mse")).alias("c"), F.coalesce(pick(BASE, "n"), F.lit(0)).alias("nb"), F.coalesce(pick(CANDIDATE, "n"), F.lit(0)).alias("nc"))
+    both = F.col("b").isNotNull() & F.col("c").isNotNull() & (F.col("b") > 0)
+    gain = F.when(both, 100 * (F.col("b") - F.col("c")) / F.col("b"))
+    pooled = lambda x, n: F.sqrt(F.sum(F.col(x) ** 2 * F.col(n)) / F.sum(F.when(F.col(x).isNotNull(), F.col(n))))
+    d = w.groupBy("matching_mode", "role").agg(
+        F.count(gain).alias("windows"), F.count_if(both & (F.col("c") < F.col("b"))).alias("wins"), F.percentile(gain, 0.5).alias("mid"), F.min(gain).alias("worst"),
+        F.count_if(F.col("nb") != F.col("nc")).alias("unequal_windows"), pooled("b", "nb").alias("base_rmse"), pooled("c", "nc").alias("candidate_rmse"),
+    )
+    verdict = (F.col("wins") >= 5) & (F.col("mid") >= 5) & (F.col("worst") >= -10) & (F.col("unequal_windows") == 0)
+    d = d.withColumn("unequal_windows", F.sum("unequal_windows").over(Window.partitionBy("matching_mode")))  # two rows a mode
+    out = d.filter("windows > 0").withColumn("accepted", F.when(F.col("role") == "primary", verdict))
+    return out.select("matching_mode", "role", "windows", "wins", *map(r6, ("mid", "worst", "base_rmse", "candidate_rmse")), "unequal_windows", "accepted")
 
 
-DECISION_SQL = f"""WITH {SCORES}, w AS (SELECT matching_mode, win, max(sqrt(mse)) FILTER (series = '{BASE}') AS b, max(sqrt(mse)) FILTER (series = '{CANDIDATE}') AS c FROM sc GROUP BY ALL),
-g AS (SELECT *, 100 * (b - c) / b AS gain FROM w WHERE b IS NOT NULL AND c IS NOT NULL AND b > 0)
-SELECT matching_mode, count(*) AS windows, count(*) FILTER (c < b) AS wins, round(quantile_cont(gain, 0.5), 6) AS mid, round(min(gain), 6) AS worst,
-count(*) FILTER (c < b) >= 5 AND quantile_cont(gain, 0.5) >= 5 AND min(gain) >= -10 AS accepted FROM g GROUP BY 1"""
+DECISION_SQL = f"""WITH {SCORES}, w AS (SELECT matching_mode, role, win, max(sqrt(mse)) FILTER (series = '{BASE}') AS b, max(sqrt(mse)) FILTER (series = '{CANDIDATE}') AS c,
+  coalesce(max(n) FILTER (series = '{BASE}'), 0) AS nb, coalesce(max(n) FILTER (series = '{CANDIDATE}'), 0) AS nc FROM sc GROUP BY ALL),
+g AS (SELECT *, CASE WHEN b IS NOT NULL AND c IS NOT NULL AND b > 0 THEN 100 * (b - c) / b END AS gain FROM w),
+d AS (SELECT matching_mode, role, count(gain) AS windows, count(*) FILTER (gain IS NOT NULL AND c < b) AS wins, quantile_cont(gain, 0.5) AS m, min(gain) AS l, count(*) FILTER (nb <> nc) AS uneq,
+  sqrt(sum(b ** 2 * nb) / sum(nb) FILTER (b IS NOT NULL)) AS rb, sqrt(sum(c ** 2 * nc) / sum(nc) FILTER (c IS NOT NULL)) AS rc FROM g GROUP BY ALL)
+SELECT matching_mode, role, windows, wins, round(m, 6) AS mid, round(l, 6) AS worst, round(rb, 6) AS base_rmse, round(rc, 6) AS candidate_rmse, unequal_windows,
+CASE WHEN role = 'primary' THEN wins >= 5 AND m >= 5 AND l >= -10 AND unequal_windows = 0 END AS accepted
+FROM (SELECT *, CAST(sum(uneq) OVER (PARTITION BY matching_mode) AS BIGINT) AS unequal_windows FROM d) WHERE windows > 0"""
 
 
-def _lobo_select(s: DataFrame) -> DataFrame:
-    s = cut(s.select("win", "policy", "mse"))  # windows times policies: 36 rows
+def q_lobo_select(spark: SparkSession, folder: str) -> DataFrame:
+    """Leave one primary window out: the policy best on the other windows (first by name of equals), and its error on the one left out."""
+    s = cut(_block_scores(spark, folder).select("win", "policy", "mse"))  # windows times policies: 36 rows
     held = s.select(F.col("win").alias("held")).distinct()
     train = held.join(s, F.col("held") != F.col("win")).groupBy("held", "policy").agg(F.avg("mse").alias("score"))
     best = train.groupBy("held").agg(F.min(F.struct(F.round("score", 9).alias("score"), "policy")).alias("b")).select("held", "b.policy")
@@ -123,25 +98,16 @@ def _lobo_select(s: DataFrame) -> DataFrame:
     return out.select("held", "policy", F.round(F.sqrt("mse"), 6).alias("rmse"))
 
 
-def q_lobo_select(spark: SparkSession, folder: str) -> DataFrame:
-    """Leave one window out: the policy best on the other windows (first by name of equals), and its error on the one left out."""
-    return _lobo_select(_window_scores(spark, folder))
-
-
-def q_lobo_select_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """As q_lobo_select, over the survey's primary windows of 180 s and of all errors."""
-    return _lobo_select(_block_scores(spark, folder))
-
-
-LOBO_SQL = f"""WITH {SCORES}, h AS (SELECT DISTINCT win AS held FROM sc), t AS (SELECT held, policy, round(avg(mse), 9) AS score FROM h JOIN sc ON held <> win GROUP BY ALL),
+LOBO_SQL = f"""WITH {SCORES}, s AS (SELECT win, policy, mse FROM sc WHERE role = 'primary'), h AS (SELECT DISTINCT win AS held FROM s), t AS (SELECT held, policy, round(avg(mse), 9) AS score FROM h JOIN s ON held <> win GROUP BY ALL),
 b AS (SELECT held, policy FROM (SELECT *, row_number() OVER (PARTITION BY held ORDER BY score, policy) AS rn FROM t) WHERE rn = 1)
-SELECT held, b.policy, round(sqrt(mse), 6) AS rmse FROM b JOIN sc ON sc.win = held AND sc.policy = b.policy"""
+SELECT held, b.policy, round(sqrt(mse), 6) AS rmse FROM b JOIN s ON s.win = held AND s.policy = b.policy"""
 
 
-def _sign_permutation(s: DataFrame) -> DataFrame:
+def q_sign_permutation(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact paired sign-flip test of candidate against base over the primary windows, of which there are six, so 64 signs: the share of all signs with a mean as large."""
     side = lambda name: F.max(F.when(F.col("series") == name, F.col("mse")))
-    w = s.groupBy("matching_mode", "win").agg((side(BASE) - side(CANDIDATE)).alias("d")).filter("d IS NOT NULL")
-    g = w.groupBy("matching_mode").agg(F.sort_array(F.collect_list(F.struct("win", "d"))).alias("ds"))  # at most WINDOWS differences
+    w = _block_scores(spark, folder).groupBy("matching_mode", "win").agg((side(BASE) - side(CANDIDATE)).alias("d")).filter("d IS NOT NULL")
+    g = w.groupBy("matching_mode").agg(F.sort_array(F.collect_list(F.struct("win", "d"))).alias("ds"))
     g = g.select("matching_mode", F.col("ds.d").alias("d")).withColumn("n", F.size("d"))
     g = g.withColumn("mask", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2), F.col("n")) - 1).cast("int"))))
     mean = F.expr("aggregate(sequence(0, n - 1), 0.0D, (acc, i) -> acc + d[i] * (CASE WHEN (mask div cast(power(2, i) AS int)) % 2 = 1 THEN 1.0D ELSE -1.0D END)) / n")
@@ -149,19 +115,9 @@ def _sign_permutation(s: DataFrame) -> DataFrame:
     return g.groupBy("matching_mode").agg(F.max("n").cast("bigint").alias("windows"), F.round(F.max("seen"), 6).alias("mean_gain"), F.round(F.avg((F.col("mean") >= F.col("seen") - 1e-9).cast("double")), 6).alias("p_value"))
 
 
-def q_sign_permutation(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact paired sign-flip test of candidate against base over the windows: of all signs, the share with a mean as large."""
-    return _sign_permutation(_window_scores(spark, folder))
-
-
-def q_sign_permutation_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """As q_sign_permutation, over the survey's primary windows of 180 s and of all errors."""
-    return _sign_permutation(_block_scores(spark, folder))
-
-
-PERMUTATION_SQL = f"""WITH {SCORES}, w AS (SELECT matching_mode, win, max(mse) FILTER (series = '{BASE}') - max(mse) FILTER (series = '{CANDIDATE}') AS d FROM sc GROUP BY ALL),
+PERMUTATION_SQL = f"""WITH {SCORES}, w AS (SELECT matching_mode, win, max(mse) FILTER (series = '{BASE}') - max(mse) FILTER (series = '{CANDIDATE}') AS d FROM sc WHERE role = 'primary' GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY matching_mode ORDER BY win) - 1 AS i, count(*) OVER (PARTITION BY matching_mode) AS k, avg(d) OVER (PARTITION BY matching_mode) AS seen FROM w WHERE d IS NOT NULL),
-m AS (SELECT matching_mode, k, seen, mask, avg(CASE WHEN (mask >> i) & 1 = 1 THEN d ELSE -d END) AS mean FROM n, range(0, {2**WINDOWS}) r(mask) WHERE mask < (1 << k) GROUP BY ALL)
+m AS (SELECT matching_mode, k, seen, mask, avg(CASE WHEN (mask >> i) & 1 = 1 THEN d ELSE -d END) AS mean FROM n, range(0, 64) r(mask) WHERE mask < (1 << k) GROUP BY ALL)
 SELECT matching_mode, k AS windows, round(seen, 6) AS mean_gain, round(avg(CASE WHEN mean >= seen - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS p_value FROM m GROUP BY ALL"""
 
 
@@ -251,26 +207,21 @@ EXPLAIN_SQL = with_sql("gps", "baro", "starlink", more="e AS (SELECT 'baro' AS s
 )
 
 
-def _guardrails(d: DataFrame) -> DataFrame:
+def q_guardrails(spark: SparkSession, folder: str) -> DataFrame:
+    """Two variants of the same samples side by side: as many rows, the same times, the largest difference and whether it is within 5 cm, per flight."""
+    d = _samples(spark, folder)
     keys = ["flight_id", "matching_mode", "tr"]
     pick = lambda s: d.filter(F.col("series") == s).groupBy(*keys).agg(F.min("err_u").alias(s))
     j = pick("fused_raw_u").join(pick("fused_exported_u"), keys, "full")
     both = F.col("fused_raw_u").isNotNull() & F.col("fused_exported_u").isNotNull()
-    return j.groupBy("flight_id", "matching_mode").agg(F.count("*").alias("times"), F.count_if(both).alias("shared"), F.count_if(F.col("fused_raw_u").isNull()).alias("only_exported"), F.round(F.max(F.abs(F.col("fused_raw_u") - F.col("fused_exported_u"))), 6).alias("most"))
-
-
-def q_guardrails(spark: SparkSession, folder: str) -> DataFrame:
-    """Two variants of the same samples side by side: as many rows, the same times, and the largest difference, per flight."""
-    return _guardrails(_aligned(spark, folder))
-
-
-def q_guardrails_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As q_guardrails, of all times and errors."""
-    return _guardrails(_samples(spark, folder))
+    most = F.max(F.abs(F.col("fused_raw_u") - F.col("fused_exported_u")))
+    out = j.groupBy("flight_id", "matching_mode").agg(F.count("*").alias("times"), F.count_if(both).alias("shared"), F.count_if(F.col("fused_raw_u").isNull()).alias("only_exported"), F.round(most, 6).alias("most"))
+    return out.withColumn("same", (F.col("times") == F.col("shared")) & F.coalesce(F.col("most") <= 0.05, F.lit(False)))
 
 
-GUARD_SQL = f"""WITH {ALIGNED}, x AS (SELECT flight_id, matching_mode, tr, min(err_u) AS r FROM a WHERE series = 'fused_raw_u' GROUP BY ALL), y AS (SELECT flight_id, matching_mode, tr, min(err_u) AS e FROM a WHERE series = 'fused_exported_u' GROUP BY ALL)
-SELECT flight_id, matching_mode, count(*) AS times, count(*) FILTER (r IS NOT NULL AND e IS NOT NULL) AS shared, count(*) FILTER (r IS NULL) AS only_exported, round(max(abs(r - e)), 6) AS most FROM x FULL JOIN y USING (flight_id, matching_mode, tr) GROUP BY ALL"""
+GUARD_SQL = f"""WITH {SAMPLES}, x AS (SELECT flight_id, matching_mode, tr, min(err_u) AS r FROM a WHERE series = 'fused_raw_u' GROUP BY ALL), y AS (SELECT flight_id, matching_mode, tr, min(err_u) AS e FROM a WHERE series = 'fused_exported_u' GROUP BY ALL),
+z AS (SELECT flight_id, matching_mode, count(*) AS times, count(*) FILTER (r IS NOT NULL AND e IS NOT NULL) AS shared, count(*) FILTER (r IS NULL) AS only_exported, round(max(abs(r - e)), 6) AS most FROM x FULL JOIN y USING (flight_id, matching_mode, tr) GROUP BY ALL)
+SELECT *, times = shared AND coalesce(most <= 0.05, FALSE) AS same FROM z"""
 
 
 def q_flow_message(spark: SparkSession, folder: str) -> DataFrame:

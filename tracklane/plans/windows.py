@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.operators.align import neighbours
-from tracklane.operators.frames import block_window, exact_percentiles, in_blocks, owned, running_sum, with_rolling_mad
+from tracklane.operators.frames import block_window, exact_percentiles, in_blocks, owned, running_sum, slope, with_rolling_mad
 from tracklane.operators.joins import join_checked
 from tracklane.operators.positions import with_positions
-from tracklane.plans.alignment import KEY, r6
+from tracklane.plans.alignment import KEY, r6, slope_sql
 from tracklane.session import cut
 from tracklane.sources.sensors import baro, flow, gps, vision, with_sql
 from tracklane.sources.tables import table
@@ -74,29 +74,13 @@ FILL_SQL = with_sql("flow") + (
 )
 
 
-def _slope(y, t, w):
-    """Second-order derivative estimate for uneven steps, one-sided at the ends."""
-    h0, h1 = F.col(t) - F.lag(t).over(w), F.lead(t).over(w) - F.col(t)
-    y0, y1 = F.lag(y).over(w), F.lead(y).over(w)
-    mid = (h0 * h0 * y1 + (h1 * h1 - h0 * h0) * F.col(y) - h1 * h1 * y0) / (h0 * h1 * (h0 + h1))
-    return F.when(y0.isNull(), (y1 - F.col(y)) / h1).when(y1.isNull(), (F.col(y) - y0) / h0).otherwise(mid)
-
-
 def q_gradient(spark: SparkSession, folder: str) -> DataFrame:
     d = _series(gps(spark, folder).select("flight_id", "fix_id", "tr", "e", "n"), 1, 1)
     w = block_window(KEY)
-    return owned(d.withColumn("ve", _slope("e", "tr", w)).withColumn("vn", _slope("n", "tr", w))).select("flight_id", "fix_id", r6("ve"), r6("vn"))
-
-
-def _slope_sql(y: str) -> str:
-    return (
-        f"CASE WHEN lag({y}) OVER w IS NULL THEN (lead({y}) OVER w - {y}) / (lead(tr) OVER w - tr) WHEN lead({y}) OVER w IS NULL THEN ({y} - lag({y}) OVER w) / (tr - lag(tr) OVER w) "
-        f"ELSE ((tr - lag(tr) OVER w) ** 2 * lead({y}) OVER w + ((lead(tr) OVER w - tr) ** 2 - (tr - lag(tr) OVER w) ** 2) * {y} - (lead(tr) OVER w - tr) ** 2 * lag({y}) OVER w) "
-        f"/ ((tr - lag(tr) OVER w) * (lead(tr) OVER w - tr) * (lead(tr) OVER w - lag(tr) OVER w)) END"
-    )
+    return owned(d.withColumn("ve", slope("e", "tr", w)).withColumn("vn", slope("n", "tr", w))).select("flight_id", "fix_id", r6("ve"), r6("vn"))
 
 
-GRADIENT_SQL = with_sql("gps") + f"SELECT flight_id, fix_id, round({_slope_sql('e')}, 6) AS ve, round({_slope_sql('n')}, 6) AS vn FROM gps WINDOW w AS (PARTITION BY flight_id ORDER BY tr)"
+GRADIENT_SQL = with_sql("gps") + f"SELECT flight_id, fix_id, round({slope_sql('e')}, 6) AS ve, round({slope_sql('n')}, 6) AS vn FROM gps WINDOW w AS (PARTITION BY flight_id ORDER BY tr)"
 
 
 def q_step_speed(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +116,7 @@ CUMTRAPZ_SQL = with_sql("vision", more="a AS (SELECT *, coalesce(0.5 * (tr - lag
 def _course(spark: SparkSession, folder: str) -> DataFrame:
     d = _series(gps(spark, folder).select("flight_id", "fix_id", "tr", "e", "n"), 1, 1)
     w = block_window(KEY)
-    return owned(d.withColumn("course", F.atan2(_slope("n", "tr", w), _slope("e", "tr", w))))
+    return owned(d.withColumn("course", F.atan2(slope("n", "tr", w), slope("e", "tr", w))))
 
 
 def q_unwrap(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,7 +128,7 @@ def q_unwrap(spark: SparkSession, folder: str) -> DataFrame:
     return running_sum(d, KEY, {"turns": F.col("turn")}).select("flight_id", "fix_id", F.round(F.col("course") + 2 * math.pi * F.col("turns"), 6).alias("course"))
 
 
-_COURSE_SQL = f"c AS (SELECT *, atan2({_slope_sql('n')}, {_slope_sql('e')}) AS course FROM gps WINDOW w AS (PARTITION BY flight_id ORDER BY tr))"
+_COURSE_SQL = f"c AS (SELECT *, atan2({slope_sql('n')}, {slope_sql('e')}) AS course FROM gps WINDOW w AS (PARTITION BY flight_id ORDER BY tr))"
 UNWRAP_SQL = with_sql("gps", more=_COURSE_SQL + ", s AS (SELECT *, coalesce(-round((course - lag(course) OVER (PARTITION BY flight_id ORDER BY tr)) / (2 * pi())), 0) AS turn FROM c)") + (
     "SELECT flight_id, fix_id, round(course + 2 * pi() * sum(turn) OVER (PARTITION BY flight_id ORDER BY tr ROWS UNBOUNDED PRECEDING), 6) AS course FROM s"
 )

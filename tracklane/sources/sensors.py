@@ -10,11 +10,11 @@ from tracklane.operators.units import to_radians
 from tracklane.sources.tables import table
 
 
-def one_per_key(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
+def one_per_key(df: DataFrame, keys: list[str], *order: str, last: bool = False) -> DataFrame:
     """The first (or last) row by ``order`` of each key; combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if last else F.min_by
-    return df.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("_r")).select(*keys, *(F.col("_r")[c].alias(c) for c in rest))
+    return df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, *(F.col("_r")[c].alias(c) for c in rest))
 
 
 def all_finite(*columns: str) -> Column:
@@ -67,11 +67,11 @@ def flow(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Twist messages, each as first delivered."""
+    """Twist messages, each as first delivered (of equal arrivals the least rec_id)."""
     df = table(spark, folder, "decoded_record").select(
         "flight_id", "msg_seq", "rec_id", "topic", "bag_timestamp_ns", "header_stamp_ns", *(F.col(f"{v}.{c}").alias(f"{v[0]}{c}") for v in ("linear", "angular") for c in "xyz"), "frame_id"
     )
-    return one_per_key(df.filter(F.col("bag_timestamp_ns").isNotNull()), ["flight_id", "msg_seq"], "rec_id")
+    return one_per_key(df.filter(F.col("bag_timestamp_ns").isNotNull()), ["flight_id", "msg_seq"], "bag_timestamp_ns", "rec_id")
 
 
 # The same in SQL, as common table expressions.
@@ -97,7 +97,7 @@ SQL = {
     + " FROM lk_flow_physical_filtered",
     "messages": _one(
         "flight_id, msg_seq, rec_id, topic, bag_timestamp_ns, header_stamp_ns, linear.x AS lx, linear.y AS ly, linear.z AS lz, angular.x AS ax, angular.y AS ay, angular.z AS az, frame_id",
-        "decoded_record", "bag_timestamp_ns IS NOT NULL", "flight_id, msg_seq", "rec_id",
+        "decoded_record", "bag_timestamp_ns IS NOT NULL", "flight_id, msg_seq", "bag_timestamp_ns, rec_id",
     ),
 }
 
