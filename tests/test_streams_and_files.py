@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tracklane.operators import recurrence as R
 from tracklane.operators.late_events import classify, period_stats, value_counts
-from tracklane.sources.contracts import read_csv, violations
-from tracklane.sources.sinks import manifest, write_bundle, write_json, write_log, write_table
+from tracklane.sources.contracts import read_csv, read_json, violations
+from tracklane.sources.sinks import manifest, write_bundle, write_json, write_log, write_run, write_table
 from tracklane.session import ensure_checkpoint_dir
 from tracklane.streaming.kernels import stream_sequential, time_slices
 from tracklane.streaming.late import latest_periods, period_counts
@@ -144,8 +144,16 @@ def test_files(spark, tmp_path):
     write_json(df, str(tmp_path / "j"))
     lines = [json.loads(x) for f in (tmp_path / "j").glob("*.json") for x in f.read_text().splitlines()]
     assert sorted(map(str, lines)) == sorted(map(str, [{"b": "a", "k": 1, "x": 2.0}, {"b": "b", "k": 2}, {"k": 1}]))
-    write_bundle({"one": df, "two": df.drop("b")}, str(tmp_path / "b"))
-    assert spark.read.parquet(str(tmp_path / "b")).groupBy("variant").count().count() == 2
+    write_bundle({"one": df, "two": df.drop("b")}, str(tmp_path / "b"), spark.createDataFrame([("one", float("nan")), ("two", 1.5)], "variant string, rmse double"))
+    assert spark.read.parquet(str(tmp_path / "b" / "variants")).groupBy("variant").count().count() == 2
+    assert {(r["variant"], r["rmse"]) for r in read_json(spark, str(tmp_path / "b" / "metrics"), "variant string, rmse double", whole_files=False).collect()} == {("one", None), ("two", 1.5)}
+    listed = read_json(spark, str(tmp_path / "b" / "manifest"), "file string, length bigint, sha256 string", whole_files=False).collect()
+    assert listed and all(len(r["sha256"]) == 64 for r in listed)
+    (tmp_path / "one.json").write_text('{\n "window": 11,\n "tau": 0.8\n}')
+    assert [tuple(r) for r in read_json(spark, str(tmp_path / "one.json"), "window int, tau double").collect()] == [(11, 0.8)]
+    write_run(spark, str(tmp_path / "run"), {"window": "11"}, [str(tmp_path / "t")], [str(tmp_path / "j")], "done", 1.25)
+    run = read_json(spark, str(tmp_path / "run"), "part string, status string, elapsed_s double, config map<string, string>, sha256 string", whole_files=False).collect()
+    assert [(r["status"], r["elapsed_s"], r["config"]) for r in run if r["part"] == "run"] == [("done", 1.25, {"window": "11"})] and {r["part"] for r in run} == {"run", "input", "output"}
     write_log([df.select("k", F.lit(3).alias("t")), df.select("k", F.lit(1).alias("t"), "x")], "t", ["k"], str(tmp_path / "l"))
     assert spark.read.parquet(str(tmp_path / "l")).count() == 6
     write_table(df.select("k", "x"), str(tmp_path / "c"), form="csv")

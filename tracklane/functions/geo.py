@@ -29,6 +29,15 @@ def enu(lat: Column, lon: Column, alt: Column, lat0: Column, lon0: Column, alt0:
     return east, north, up
 
 
+def from_enu(east: Column, north: Column, up: Column, lat0: Column, lon0: Column, alt0: Column) -> tuple[Column, Column, Column]:
+    """Earth-centred coordinates of metres east, north and up of an origin."""
+    x0, y0, z0 = ecef(lat0, lon0, alt0)
+    la, lo = F.radians(lat0), F.radians(lon0)
+    x = x0 - F.sin(lo) * east - F.sin(la) * F.cos(lo) * north + F.cos(la) * F.cos(lo) * up
+    y = y0 + F.cos(lo) * east - F.sin(la) * F.sin(lo) * north + F.cos(la) * F.sin(lo) * up
+    return x, y, z0 + F.cos(la) * north + F.sin(la) * up
+
+
 def geodetic(df: DataFrame, x: str, y: str, z: str, rounds: int = 7) -> DataFrame:
     """``df`` with lat_at, lon_at (degrees) and alt_at of earth-centred coordinates, by fixed-point iteration."""
     p = F.hypot(F.col(x), F.col(y))

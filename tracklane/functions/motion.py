@@ -22,8 +22,8 @@ def clip(x: Column, limit: float) -> Column:
 
 
 def turn(v: Sequence[Column], rotation: Sequence[Sequence[float]]) -> list[Column]:
-    """A vector of three columns turned by a fixed matrix."""
-    return [sum((F.lit(float(m)) * c for m, c in zip(row, v, strict=True)), F.lit(0.0)) for row in rotation]
+    """A vector of three columns turned by a fixed matrix; a missing part is missing only in what it goes into."""
+    return [sum((F.lit(float(m)) * c for m, c in zip(row, v, strict=True) if m), F.lit(0.0)) for row in rotation]
 
 
 def angular_flow(dx: Column, dy: Column, dt: Column, fx: float, fy: float, gyro: Sequence[Column] | None = None) -> tuple[Column, Column]:
@@ -38,7 +38,7 @@ def distance_to_ground(measured: Column, roll: Column, pitch: Column, mode: str
     """Distance along the optical axis, or straight down, from a range along the ray or a vertical height; null near the horizon."""
     c = F.cos(roll) * F.cos(pitch)
     out = {"ray": measured, "vertical": measured * c, "vertical_to_ray": measured / F.when(c != 0, c)}[mode]
-    return out if mode == "ray" else F.when(c >= least_cos, out)
+    return out if mode == "ray" else F.when(F.abs(c) >= least_cos, out)
 
 
 def metric_velocity(rate_x: Column, rate_y: Column, distance: Column) -> tuple[Column, Column]:

@@ -49,6 +49,19 @@ def slope(y, t, w):
     return F.when(y0.isNull(), (y1 - F.col(y)) / h1).when(y1.isNull(), (F.col(y) - y0) / h0).otherwise(mid)
 
 
+def last_known(df: DataFrame, keys: list[str], order: list[str], what: Column, name: str, shard: float = 600.0) -> DataFrame:
+    """``df`` with the last value of ``what`` that is not null up to and with each row; shards of the first order column are joined by a scan with one row per shard."""
+    d = df.withColumn("_shard", F.floor(F.col(order[0]) / shard)).withColumn("_what", what)
+    w = Window.partitionBy(*keys, "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = d.groupBy(*keys, "_shard").agg(F.max(F.when(F.col("_what").isNotNull(), F.struct(*order, "_what"))).alias("_end"))
+    ks = [f"_e{i}" for i in range(len(keys))]
+    scan = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*(F.col(k).alias(e) for k, e in zip(keys, ks, strict=True)), F.col("_shard").alias("_es"), F.last("_end", ignorenulls=True).over(scan)["_what"].alias("_before"))
+    on = [F.col(k).eqNullSafe(F.col(e)) for k, e in zip(keys, ks, strict=True)] + [F.col("_shard").eqNullSafe(F.col("_es"))]
+    d = d.withColumn("_here", F.last("_what", ignorenulls=True).over(w)).join(ends, on)
+    return d.select(*df.columns, F.coalesce("_here", "_before").alias(name))
+
+
 def running_sum(df: DataFrame, keys: list[str], values: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """Sums of ``values`` (name to column) up to and with each row by ``pos``; block sums are carried by a scan over blocks."""
     names = list(values)

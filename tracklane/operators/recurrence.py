@@ -233,6 +233,56 @@ def confidence(least: int, keep: int, most: float, spread: float, rise: float, f
     return step
 
 
+def kalman_over_gaps(revert: tuple[float, float], gate=10.0, clip=3.0, noise=1.5, start=4.0, low=(-8.0, 0.0), high=(8.0, 12.0)) -> Callable[[tuple], tuple]:
+    """``bias_kalman`` with ``revert`` over its events alone: rows (.source, .u, .speed, .since, .grown0, .grown1) that say how long ago the last event (or the series' beginning) was and by how much the variances have grown since, sample by sample."""
+    s = {"x": np.zeros(2), "p": np.diag([start**2, start**2])}
+
+    def step(r) -> tuple:
+        d = np.exp(-r.since / np.asarray(revert))
+        x, p = d * s["x"], s["p"] * np.outer(d, d) + np.diag([r.grown0, r.grown1])
+        h = np.array([1.0, (r.speed / 10) ** 2])
+        m = r.source - r.u
+        inn = m - h @ x
+        ok = bool(abs(inn) <= gate)
+        if ok:
+            k = p @ h / (h @ p @ h + noise**2)
+            x = np.clip(x + k * min(max(inn, -clip), clip), low, high)
+            p = (np.eye(2) - np.outer(k, h)) @ p
+            p = (p + p.T) / 2
+        s["x"], s["p"] = x, p
+        return float(m), float(inn), ok, float(x[0]), float(x[1])
+
+    return step
+
+
+def confidence_over_gaps(least: int, keep: int, most: float, spread: float, rise: float, fall: float = 3.0, age: float = 20.0) -> Callable[[tuple], tuple]:
+    """``confidence`` over its events alone: rows (.tr, .accepted, .inn, .m, .last, .last_fresh) with the last sample before the next event and the last of those no older than ``age``; trust and whether it rises after each event.
+
+    Only an event that is stable lets trust rise, from that event on; so where it falls
+    again, for want of events, follows from the samples after it.
+    """
+    s = {"c": 0.0, "up": False, "r": None, "seen": []}
+
+    def step(r) -> tuple:
+        e = s["r"]
+        if e is not None:
+            turn = e.tr  # from when on trust falls
+            if s["up"]:
+                turn = r.tr if _gone(e.last) or e.last - e.tr <= age else e.tr if _gone(e.last_fresh) else e.last_fresh
+                s["c"] = 1 + (s["c"] - 1) * math.exp(-(turn - e.tr) / rise)
+            s["c"] *= math.exp(-(r.tr - turn) / fall)
+        s["up"], s["r"] = False, r
+        if r.accepted and abs(r.inn) <= most:
+            s["seen"] = [*s["seen"], r.m][-keep:]
+            mid = float(np.median(s["seen"]))
+            s["up"] = len(s["seen"]) >= least and float(np.median(np.abs(np.array(s["seen"]) - mid))) <= spread
+        else:
+            s["seen"] = []
+        return s["c"], s["up"]
+
+    return step
+
+
 def exponential(tau: float, state: dict | None = None) -> Callable[[tuple], tuple]:
     """Rows (.t, .x): the low-pass with gain 1 - exp(-dt / tau), as in ``low_pass`` without a seed."""
     s = state or {"y": None, "t": None}

@@ -62,11 +62,8 @@ class UnitConfig:
 
 def unit_of(word: Column) -> Column:
     """The unit a spelling names, else null."""
-    w = F.regexp_replace(F.lower(word), r"\s", "")
-    out = F.lit(None).cast("string")
-    for unit, words in SPELLINGS.items():
-        out = F.when(w.isin(words), unit).otherwise(out)
-    return out
+    units = F.create_map(*(F.lit(x) for unit, words in SPELLINGS.items() for w in words for x in (w, unit)))
+    return F.try_element_at(units, F.regexp_replace(F.lower(word), r"\s", ""))
 
 
 def text_angles(text: Column) -> dict[str, Column]:

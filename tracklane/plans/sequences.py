@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.functions.missing import finite
-from tracklane.operators.align import asof
-from tracklane.operators.frames import block_window, in_blocks, owned
-from tracklane.operators.recurrence import bias_ewma, bias_kalman, confidence, exponential_gain, hold_decay, low_pass, rational_gain, sequential
+from tracklane.operators.align import asof, neighbours
+from tracklane.operators.frames import block_window, in_blocks, last_known, owned
+from tracklane.operators.recurrence import bias_ewma, bias_kalman, confidence_over_gaps, exponential_gain, kalman_over_gaps, low_pass, rational_gain, sequential
 from tracklane.operators.smoother import smooth_heights
 from tracklane.plans.alignment import KEY, r6
+from tracklane.session import cut
 from tracklane.sources.sensors import baro, flow, starlink, vision, with_sql
 from tracklane.sources.tables import table
 
@@ -71,9 +72,12 @@ IIR_RATIONAL_SQL = _recursive(
 
 
 def q_hold_decay(spark: SparkSession, folder: str) -> DataFrame:
-    """Bad or missing flow replaced by the last good one, held for half a second and then decaying."""
-    out = sequential(_frames(spark, folder), KEY, ["t", "frame_idx"], hold_decay, "y double")
-    return out.select("flight_id", "frame_idx", F.round("y", 5).alias("y"))
+    """Bad or missing flow replaced by the last good one, held for half a second and then decaying: what is held follows from the last good frame and how long ago it was."""
+    good = F.when(~F.col("bad") & F.col("x").isNotNull(), F.struct("t", "x"))
+    out = last_known(_frames(spark, folder), KEY, ["t", "frame_idx"], good, "g")
+    held = F.col("t") - F.col("g.t")
+    y = F.when(held <= 0.5, F.col("g.x")).otherwise(F.col("g.x") * F.exp(-(held - 0.5) / 0.5))
+    return out.select("flight_id", "frame_idx", F.round(F.coalesce(y, F.lit(0.0)), 5).alias("y"))
 
 
 HOLD_SQL = _recursive(
@@ -161,32 +165,105 @@ KALMAN_SQL = _recursive(
 )
 
 
-def _reverting(spark: SparkSession, folder: str) -> DataFrame:
-    """Events and samples of a flight in one order (events first at a time), with the state of the mean-reverting filter."""
-    events = _events(spark, folder).select("flight_id", "tr", F.lit(0).alias("side"), F.col("fix_id").alias("id"), "u", "source", "speed")
-    samples = asof(baro(spark, folder).select("flight_id", "tr", "sample_id", "u"), _speed(spark, folder), KEY, "tr", ["speed"])
-    samples = samples.select("flight_id", "tr", F.lit(1).alias("side"), F.col("sample_id").alias("id"), "u", F.lit(None).cast("double").alias("source"), "speed")
-    kernel = partial(bias_kalman, revert=(60.0, 240.0), walk=(0.2, 0.02))
-    return sequential(events.unionByName(samples), KEY, ["tr", "side"], kernel, "m double, inn double, accepted boolean, bias double, gain double")
+REVERT, WALK = (60.0, 240.0), (0.2, 0.02)
+TRUST = {"least": 3, "keep": 5, "most": 5.0, "spread": 2.0, "rise": 10.0}
+FALL, AGE = 3.0, 20.0
+
+
+def _samples(spark: SparkSession, folder: str) -> DataFrame:
+    return asof(baro(spark, folder).select("flight_id", "tr", "sample_id", "u"), _speed(spark, folder), KEY, "tr", ["speed"]).drop("age")
+
+
+def _reverting(spark: SparkSession, folder: str, samples: DataFrame) -> DataFrame:
+    """State of the mean-reverting filter after each event; between events it is predicted to every sample, which is summed up per gap beforehand."""
+    events = cut(_events(spark, folder).select("flight_id", "tr", "u", "source", "speed"))
+    usable = events.filter("speed IS NOT NULL")
+    steps = samples.select("flight_id", "tr", F.lit(1).alias("side")).unionByName(events.select("flight_id", "tr", F.when(F.col("speed").isNull(), 1).otherwise(0).alias("side")))
+    steps = in_blocks(steps, KEY, ["tr", "side"], F.floor(F.col("tr") / 600), 1, 0)
+    steps = owned(steps.withColumn("dt", F.coalesce(F.col("tr") - F.lag("tr").over(block_window(KEY)), F.lit(0.0)))).drop("pos")
+    steps = neighbours(steps, usable.select("flight_id", "tr"), KEY, "tr", [])
+    steps = steps.withColumn("at", F.when(F.col("side") == 0, F.col("tr")).otherwise(F.col("next.tr"))).filter("at IS NOT NULL")
+    grown = lambda i: F.sum(WALK[i] ** 2 * F.col("dt") * F.exp(-2 * (F.col("at") - F.col("tr")) / REVERT[i])).alias(f"grown{i}")
+    gaps = steps.groupBy("flight_id", F.col("at").alias("tr")).agg(F.sum("dt").alias("since"), grown(0), grown(1))
+    kernel = partial(kalman_over_gaps, revert=REVERT)
+    return sequential(usable.join(gaps, ["flight_id", "tr"]), KEY, ["tr"], kernel, "m double, inn double, accepted boolean, bias double, gain double")
+
+
+def _with_error(samples: DataFrame, trace: DataFrame) -> DataFrame:
+    """Samples with the error that the filter has at their time: the state after the last event, reverting since."""
+    d = asof(samples, trace.select("flight_id", "tr", "bias", "gain"), KEY, "tr", ["bias", "gain"])
+    now = lambda c, tau: F.coalesce(F.col(c) * F.exp(-F.col("age") / tau), F.lit(0.0))
+    return d.withColumn("total", now("bias", REVERT[0]) + now("gain", REVERT[1]) * (F.coalesce("speed", F.lit(0.0)) / 10) ** 2).drop("bias", "gain", "age")
 
 
 def q_bias_reverting(spark: SparkSession, folder: str) -> DataFrame:
     """Barometer heights less the error of the mean-reverting filter at their time."""
-    total = F.col("bias") + F.col("gain") * (F.coalesce("speed", F.lit(0.0)) / 10) ** 2
-    return _reverting(spark, folder).filter("side = 1").select("flight_id", F.col("id").alias("sample_id"), F.round(F.col("u") - total, 5).alias("u"), F.round(total, 5).alias("error"))
+    samples = _samples(spark, folder)
+    d = _with_error(samples, _reverting(spark, folder, samples))
+    return d.select("flight_id", "sample_id", F.round(F.col("u") - F.col("total"), 5).alias("u"), F.round("total", 5).alias("error"))
 
 
 def q_confidence(spark: SparkSession, folder: str) -> DataFrame:
     """How far the correction is trusted (three of the last five fixes within 2 m), and the capped part of it that is applied."""
-    d = _reverting(spark, folder)
-    total = F.col("bias") + F.col("gain") * (F.coalesce("speed", F.lit(0.0)) / 10) ** 2
-    rows = d.filter("side = 1 OR m IS NOT NULL").select(
-        "flight_id", "tr", "side", "id", (F.col("side") == 0).alias("is_event"), F.coalesce("accepted", F.lit(False)).alias("acc"), F.col("inn").alias("innov"), F.col("m").alias("measured"), total.alias("total")
-    ).withColumnsRenamed({"acc": "accepted", "innov": "inn", "measured": "bias"})
-    kernel = partial(confidence, least=3, keep=5, most=5.0, spread=2.0, rise=10.0)
-    out = sequential(rows, KEY, ["tr", "side"], kernel, "trust double").filter("side = 1")
-    applied = F.col("trust") * F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.col("total")))
-    return out.select("flight_id", F.col("id").alias("sample_id"), F.round("trust", 5).alias("trust"), F.round(applied, 5).alias("applied"))
+    samples = _samples(spark, folder)
+    trace = cut(_reverting(spark, folder, samples))
+    after = asof(samples.select("flight_id", "tr"), trace.select("flight_id", "tr", F.col("tr").alias("te")), KEY, "tr", ["te"]).filter("te IS NOT NULL")
+    fresh = F.max(F.when(F.col("age") <= AGE, F.col("tr")))
+    after = after.groupBy("flight_id", F.col("te").alias("tr")).agg(F.max("tr").alias("last"), fresh.alias("last_fresh"))
+    rows = trace.join(after, ["flight_id", "tr"], "left").select("flight_id", "tr", "accepted", "inn", "m", "last", "last_fresh")
+    known = sequential(rows, KEY, ["tr"], partial(confidence_over_gaps, fall=FALL, age=AGE, **TRUST), "c double, up boolean")
+    d = asof(_with_error(samples, trace), known.select("flight_id", "tr", "c", "up", "last_fresh"), KEY, "tr", ["c", "up", "last_fresh"])
+    te = F.col("tr") - F.col("age")
+    turn = F.when(~F.col("up"), te).when(F.col("age") <= AGE, F.col("tr")).otherwise(F.coalesce("last_fresh", te))
+    risen = F.when(F.col("up"), 1 + (F.col("c") - 1) * F.exp(-(turn - te) / TRUST["rise"])).otherwise(F.col("c"))
+    trust = F.coalesce(risen * F.exp(-(F.col("tr") - turn) / FALL), F.lit(0.0))
+    trust = F.greatest(F.lit(0.0), F.least(F.lit(1.0), trust))
+    applied = trust * F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.col("total")))
+    return d.select("flight_id", "sample_id", F.round(trust, 5).alias("trust"), (F.round(applied, 5) + 0.0).alias("applied"))
+
+
+def _reverting_step(x0: str, x1: str, p0: str, p1: str, p2: str, dt: str) -> str:
+    """State after s as a struct, from one predicted over dt; without a measurement as predicted."""
+    a, b = f"exp(-({dt}) / {REVERT[0]})", f"exp(-({dt}) / {REVERT[1]})"
+    p0, p1, p2 = f"({p0} * {a} * {a} + {WALK[0] ** 2} * ({dt}))", f"({p1} * {a} * {b})", f"({p2} * {b} * {b} + {WALK[1] ** 2} * ({dt}))"
+    x0, x1 = f"({x0} * {a})", f"({x1} * {b})"
+    step = _kalman_step(x0, x1, p0, p1, p2)
+    rest = f"{{'inn': CAST(NULL AS DOUBLE), 'x0': {x0}, 'x1': {x1}, 'p0': {p0}, 'p1': {p1}, 'p2': {p2}}}"
+    return f"CASE WHEN s.m IS NULL THEN {rest} ELSE {step} END"
+
+
+_ORDERED = with_sql("baro", "starlink", "vision", more=_SPEED_SQL) + """SELECT ev.flight_id, ev.tr, 0 AS side, fix_id AS id, ev.u, CASE WHEN speed IS NOT NULL THEN source - ev.u END AS m, (speed / 10) ** 2 AS f
+FROM ev ASOF LEFT JOIN sp ON ev.flight_id = sp.flight_id AND ev.tr >= sp.tr
+UNION ALL SELECT b.flight_id, b.tr, 1, sample_id, b.u, NULL, (coalesce(speed, 0) / 10) ** 2 FROM baro b ASOF LEFT JOIN sp ON b.flight_id = sp.flight_id AND b.tr >= sp.tr"""
+_STATES = _recursive(
+    _ORDERED,
+    "tr, side",
+    _reverting_step("0.0", "0.0", "16.0", "0.0", "16.0", "0.0") + " AS k",
+    _reverting_step("r.k.x0", "r.k.x1", "r.k.p0", "r.k.p1", "r.k.p2", "s.tr - r.tr"),
+    "flight_id, tr, side, id, u, m, k.inn AS inn, abs(k.inn) <= 10 AS accepted, k.x0 + k.x1 * f AS total",
+)
+REVERTING_SQL = f"SELECT flight_id, id AS sample_id, round(u - total, 5) AS u, round(total, 5) AS error FROM ({_STATES}) WHERE side = 1"
+_SEEN = "CASE WHEN s.accepted AND abs(s.inn) <= 5 THEN list_slice(list_append({seen}, s.m), -5, -1) ELSE []::DOUBLE[] END"
+_MAD = "list_median(list_transform({x}, lambda v: abs(v - list_median({x}))))"
+
+
+def _trust_step(c: str, up: str, since: str, seen: str, dt: str) -> str:
+    """Trust, whether it rises, since when, and the last biases after s. ``since``: the last event that let it rise."""
+    new = _SEEN.format(seen=seen)
+    up_now = f"CASE WHEN s.side = 1 AND (s.tr - {since} > {AGE}) THEN FALSE ELSE {up} END"
+    c_now = f"CASE WHEN {up_now} THEN {c} + (1 - exp(-({dt}) / 10.0)) * (1 - {c}) ELSE {c} * exp(-({dt}) / {FALL}) END"
+    stable = f"(s.side = 0 AND len({new}) >= 3 AND {_MAD.format(x=new)} <= 2)"
+    return f"{{'c': {c_now}, 'up': CASE WHEN s.side = 0 THEN {stable} ELSE {up_now} END, 'since': CASE WHEN {stable} THEN s.tr ELSE {since} END, 'seen': CASE WHEN s.side = 0 THEN {new} ELSE {seen} END}}"
+
+
+CONFIDENCE_SQL = _recursive(
+    f"SELECT * FROM ({_STATES}) WHERE side = 1 OR m IS NOT NULL",
+    "tr, side",
+    _trust_step("CAST(0.0 AS DOUBLE)", "FALSE", "CAST(-1e18 AS DOUBLE)", "[]::DOUBLE[]", "0.0") + " AS k",
+    _trust_step("r.k.c", "r.k.up", "r.k.since", "r.k.seen", "s.tr - r.tr"),
+    "flight_id, id AS sample_id, round(greatest(0.0, least(1.0, k.c)), 5) AS trust, round(greatest(0.0, least(1.0, k.c)) * greatest(-2.5, least(2.5, total)), 5) + 0.0 AS applied, side",
+)
+CONFIDENCE_SQL = f"SELECT flight_id, sample_id, trust, applied FROM ({CONFIDENCE_SQL}) WHERE side = 1"
 
 
 def q_smoother(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,4 +282,6 @@ SQL = {
     "q_bias_ewma": EWMA_SQL,
     "q_bias_corrected": CORRECTED_SQL,
     "q_bias_kalman": KALMAN_SQL,
+    "q_bias_reverting": REVERTING_SQL,
+    "q_confidence": CONFIDENCE_SQL,
 }

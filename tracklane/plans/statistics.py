@@ -105,14 +105,18 @@ GEO_SQL = with_sql("gps", more="o AS (SELECT flight_id, arg_min(lat, tr) AS lat0
 
 
 def q_geo_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Earth-centred coordinates of the fixes turned back: how far from where they were, in degrees and metres."""
-    x, y, z = geo.ecef(F.col("lat"), F.col("lon"), F.col("alt"))
-    d = geo.geodetic(gps(spark, folder).select("flight_id", "lat", "lon", "alt", x.alias("x"), y.alias("y"), z.alias("z")), "x", "y", "z")
-    off = lambda a, b: F.max(F.abs(F.col(a) - F.col(b)))
-    return d.groupBy("flight_id").agg(F.count("*").alias("n"), (off("lat", "lat_at") < 1e-9).alias("lat_ok"), (off("lon", "lon_at") < 1e-9).alias("lon_ok"), (off("alt", "alt_at") < 1e-5).alias("alt_ok"))
+    """Latitude, longitude and height of the fixes, got back from their metres east, north and up of the flight's first fix."""
+    g = gps(spark, folder)
+    origin = cut(g.groupBy("flight_id").agg(F.min_by(F.struct("lat", "lon", "alt"), "tr").alias("o")).select("flight_id", *(F.col(f"o.{c}").alias(f"{c}0") for c in ("lat", "lon", "alt"))))
+    at = [*map(F.col, ("lat0", "lon0", "alt0"))]
+    d = join_checked(g, origin, KEY)
+    d = d.withColumns(dict(zip(("east", "north", "up"), geo.enu(F.col("lat"), F.col("lon"), F.col("alt"), *at), strict=True))).drop("lat", "lon", "alt")
+    d = d.withColumns(dict(zip("xyz", geo.from_enu(F.col("east"), F.col("north"), F.col("up"), *at), strict=True)))
+    d = geo.geodetic(d, "x", "y", "z")
+    return d.select("flight_id", "fix_id", F.round("lat_at", 8).alias("lat"), F.round("lon_at", 8).alias("lon"), F.round("alt_at", 4).alias("alt"))
 
 
-ROUND_TRIP_SQL = with_sql("gps") + "SELECT flight_id, count(*) AS n, TRUE AS lat_ok, TRUE AS lon_ok, TRUE AS alt_ok FROM gps GROUP BY 1"
+ROUND_TRIP_SQL = with_sql("gps") + "SELECT flight_id, fix_id, round(lat, 8) AS lat, round(lon, 8) AS lon, round(alt, 4) AS alt FROM gps"
 
 
 def q_body_to_enu(spark: SparkSession, folder: str) -> DataFrame:

@@ -224,42 +224,57 @@ z AS (SELECT flight_id, matching_mode, count(*) AS times, count(*) FILTER (r IS
 SELECT *, times = shared AND coalesce(most <= 0.05, FALSE) AS same FROM z"""
 
 
-def q_flow_message(spark: SparkSession, folder: str) -> DataFrame:
-    """Flow frames as number arrays in order of fields, missing numbers as zero; the stamp as it is after a double."""
-    f = flow(spark, folder).filter("stamp_ns IS NOT NULL")
-    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    values = F.array(*map(number, ("frame_idx", "t_sec", "dt_s", "flow_x_px_s_filt", "flow_y_px_s_filt", "valid_filt")))
-    return f.select("flight_id", "frame_idx", F.col("stamp_ns").cast("double").cast("bigint").alias("stamp"), F.size(values).alias("length"), F.floor(F.aggregate(values, F.lit(0.0), lambda a, x: a + x) * 100).alias("hundredths"))
+# The fields of a flow message, in order.
+FLOW_MESSAGE = ["frame_idx", "stamp_ns", "t_sec", "dt_s", "flow_x_px_s_filt", "flow_y_px_s_filt", "dx_px_filt_equiv", "dy_px_filt_equiv", "flow_mag_filt",
+                "quality_good_tracks_ratio", "n_good_tracks", "valid_filt", "is_bad_measurement", "outlier_score", "physical_bad", "mad_bad", "dt_bad", "quality_bad"]
 
 
-FLOW_MESSAGE_SQL = with_sql("flow") + (
-    "SELECT flight_id, frame_idx, CAST(CAST(stamp_ns AS DOUBLE) AS BIGINT) AS stamp, 6 AS length, CAST(floor((CAST(frame_idx AS DOUBLE) + coalesce(t_sec, 0) + coalesce(dt_s, 0) + coalesce(flow_x_px_s_filt, 0) + coalesce(flow_y_px_s_filt, 0) + coalesce(valid_filt, 0)) * 100) AS BIGINT) AS hundredths FROM flow WHERE stamp_ns IS NOT NULL"
+def q_flow_message(spark: SparkSession, folder: str) -> DataFrame:
+    """Flow frames as arrays of numbers in order of fields, missing numbers as NaN, under the stamp as it is after a double: its length, how many are missing, and the finite ones summed up in hundredths but for the stamp."""
+    f = table(spark, folder, "lk_flow_physical_filtered").filter("stamp_ns IS NOT NULL").groupBy("flight_id", "frame_idx").agg(*(F.min(c).alias(c) for c in FLOW_MESSAGE[1:]))
+    values = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in FLOW_MESSAGE))
+    f = f.select("flight_id", "frame_idx", F.col("stamp_ns").cast("double").cast("bigint").alias("stamp"), values.alias("m"))
+    known = F.filter("m", lambda x, i: finite(x) & (i != 1))
+    return f.select("flight_id", "frame_idx", "stamp", F.size("m").alias("length"), F.size(F.filter("m", F.isnan)).alias("missing"), F.aggregate(known, F.lit(0).cast("bigint"), lambda a, x: a + F.floor(x * 100)).alias("hundredths"))
+
+
+FLOW_MESSAGE_SQL = (
+    f"WITH f AS (SELECT flight_id, frame_idx, {', '.join(f'min({c}) AS {c}' for c in FLOW_MESSAGE[1:])} FROM lk_flow_physical_filtered WHERE stamp_ns IS NOT NULL GROUP BY 1, 2) "
+    "SELECT flight_id, frame_idx, CAST(CAST(stamp_ns AS DOUBLE) AS BIGINT) AS stamp, 18 AS length, "
+    + " + ".join(f"CAST({c} IS NULL OR isnan(CAST({c} AS DOUBLE)) AS INT)" for c in FLOW_MESSAGE)
+    + " AS missing, CAST("
+    + " + ".join(f"CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN floor(CAST({c} AS DOUBLE) * 100) ELSE 0 END" for c in FLOW_MESSAGE if c != "stamp_ns")
+    + " AS BIGINT) AS hundredths FROM f"
 )
 
 
 def q_velocity_events(spark: SparkSession, folder: str) -> DataFrame:
     """Velocity events to publish: valid rows within the speed bounds, one per nanosecond stamp (the last recorded)."""
     v = table(spark, folder, "vision_velocity_corrected_frd").filter(finite(F.col("t")) & finite(F.col("vx")) & finite(F.col("vy")) & finite(F.col("vz")))
-    v = v.filter((F.hypot("vx", "vy") <= 60) & (F.abs("vz") <= 15)).withColumn("ms", F.round(F.col("t") * 1000).cast("bigint"))
-    return v.groupBy("flight_id", "ms").agg(F.max("sample_id").alias("sample_id"), F.count("*").alias("rows"))
+    v = v.filter((F.hypot("vx", "vy") <= 60) & (F.abs("vz") <= 15)).withColumn("ns", F.rint(F.col("t") * 1e9).cast("bigint"))
+    return v.groupBy("flight_id", "ns").agg(F.max("sample_id").alias("sample_id"), F.count("*").alias("rows"))
 
 
-EVENTS_SQL = """SELECT flight_id, CAST(round(t * 1000) AS BIGINT) AS ms, max(sample_id) AS sample_id, count(*) AS "rows" FROM vision_velocity_corrected_frd
+EVENTS_SQL = """SELECT flight_id, CAST(round(t * 1e9) AS BIGINT) AS ns, max(sample_id) AS sample_id, count(*) AS "rows" FROM vision_velocity_corrected_frd
 WHERE isfinite(t) AND isfinite(vx) AND isfinite(vy) AND isfinite(vz) AND sqrt(vx ** 2 + vy ** 2) <= 60 AND abs(vz) <= 15 GROUP BY 1, 2"""
 
 
 def q_velocity_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """Second gate on velocities: within four robust sigmas of the centred median of 7, sigma over the whole flight."""
-    d = in_blocks(vision(spark, folder).select("flight_id", "sample_id", "tr", "vx"), KEY, ["tr"], F.floor(F.col("tr") / 600), 3, 3)
-    d = owned(d.withColumn("res", F.col("vx") - F.percentile("vx", 0.5).over(block_window(KEY).rowsBetween(-3, 3))))
-    sigma = cut(robust_sigma(d, KEY, "res").select("flight_id", "mid", "sigma"))
-    d = join_checked(d, sigma, KEY)
-    return d.groupBy("flight_id").agg(F.count("*").alias("n"), F.round(F.max("sigma"), 6).alias("sigma"), F.count_if(F.abs("res") <= 4 * F.col("sigma")).alias("good"))
-
-
-VELOCITY_GATE_SQL = with_sql("vision", more="""d AS (SELECT flight_id, vx - quantile_cont(vx, 0.5) OVER (PARTITION BY flight_id ORDER BY tr ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS res FROM vision),
-s AS (SELECT flight_id, CASE WHEN count(*) >= 10 THEN CASE WHEN mad(res) > 0 THEN 1.4826 * mad(res) ELSE stddev_pop(res) END END AS sigma FROM d GROUP BY 1)""") + (
-    "SELECT flight_id, count(*) AS n, round(max(sigma), 6) AS sigma, count(*) FILTER (abs(res) <= 4 * sigma) AS good FROM d JOIN s USING (flight_id) GROUP BY 1"
+    """Second gate on velocities, forward and right: both within four robust sigmas of their centred median of 7, sigma over the whole flight."""
+    d = in_blocks(vision(spark, folder).select("flight_id", "sample_id", "tr", "vx", "vy"), KEY, ["tr"], F.floor(F.col("tr") / 600), 3, 3)
+    w = block_window(KEY).rowsBetween(-3, 3)
+    d = owned(d.withColumns({f"res_{c}": F.col(f"v{c}") - F.percentile(f"v{c}", 0.5).over(w) for c in "xy"}))
+    sides = d.select("flight_id", F.explode(F.array(*(F.struct(F.lit(c).alias("axis"), F.col(f"res_{c}").alias("res")) for c in "xy"))).alias("r")).select("flight_id", "r.*")
+    sigma = robust_sigma(sides, [*KEY, "axis"], "res").groupBy("flight_id").agg(*(F.max(F.when(F.col("axis") == c, F.col("sigma"))).alias(f"sigma_{c}") for c in "xy"))
+    d = join_checked(d, cut(sigma), KEY)
+    good = (F.abs("res_x") <= 4 * F.col("sigma_x")) & (F.abs("res_y") <= 4 * F.col("sigma_y"))
+    return d.groupBy("flight_id").agg(F.count("*").alias("n"), F.round(F.max("sigma_x"), 6).alias("sigma_x"), F.round(F.max("sigma_y"), 6).alias("sigma_y"), F.count_if(good).alias("good"))
+
+
+_SIGMA = "CASE WHEN count(*) >= 10 THEN CASE WHEN mad({r}) > 0 THEN 1.4826 * mad({r}) ELSE stddev_pop({r}) END END"
+VELOCITY_GATE_SQL = with_sql("vision", more=f"""d AS (SELECT flight_id, vx - quantile_cont(vx, 0.5) OVER w AS rx, vy - quantile_cont(vy, 0.5) OVER w AS ry FROM vision WINDOW w AS (PARTITION BY flight_id ORDER BY tr ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+s AS (SELECT flight_id, {_SIGMA.format(r='rx')} AS sx, {_SIGMA.format(r='ry')} AS sy FROM d GROUP BY 1)""") + (
+    "SELECT flight_id, count(*) AS n, round(max(sx), 6) AS sigma_x, round(max(sy), 6) AS sigma_y, count(*) FILTER (abs(rx) <= 4 * sx AND abs(ry) <= 4 * sy) AS good FROM d JOIN s USING (flight_id) GROUP BY 1"
 )
 
 

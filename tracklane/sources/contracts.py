@@ -36,3 +36,8 @@ def violations(spark: SparkSession, folder: str, required: dict[str, dict[str, s
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header, of known types; cells that don't fit become null."""
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str, whole_files: bool = True) -> DataFrame:
+    """JSON of known types, a document a file (or, without ``whole_files``, a line); what does not fit becomes null."""
+    return spark.read.schema(schema).option("multiLine", whole_files).option("mode", "PERMISSIVE").json(path)
