@@ -235,3 +235,11 @@ def test_notes_in_other_words_and_on_rows_with_angles(spark):
     assert {got[200 + i] for i in range(4)} == {("mrad", "note")} == {got[209]}
     assert got[309] == ("deg", "row") and {got[300 + i][1] for i in range(4)} == {"size"}
     assert {got[400 + i] for i in range(4)} == {("cdeg", "note")}
+
+
+def test_a_version_between_two_others_sends_its_range_down(spark):
+    a = spark.createDataFrame([(1, 5, 1.0), (1, 5, 2.0), (1, 5, 3.0), (1, 900, 1.0)], "e bigint, k bigint, x double")
+    b = a.filter("x <> 2.0")
+    bad = mismatched_leaves(leaf_checksums(a, b, "e", "k", [Field("x")], DiffConfig()), DiffConfig())
+    assert [tuple(r) for r in bad.collect()] == [(1, 5 >> DiffConfig().leaf_bits)]
+    assert diff_copies(a, b, "e", "k", [Field("x")]).count() == 0  # the least row of the key stands for it on both sides

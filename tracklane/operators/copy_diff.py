@@ -4,8 +4,9 @@ Each copy is digested into a tree of checksums over key ranges: a leaf covers
 ``2**leaf_bits`` neighbouring keys of one entity, each level above covers
 ``2**fan_bits`` ranges of the level below. Comparison starts at the top and goes
 down only into ranges whose checksums disagree (splitting each into
-``2**fan_bits`` parts rather than two, as each level costs a Spark stage);
-fields are compared for the rows of disagreeing leaves alone.
+``2**fan_bits`` parts rather than two, as each level costs a Spark stage; there are
+``levels`` of them, so the top is a row per ``2**(leaf_bits + (levels - 1) * fan_bits)``
+keys rather than a single one); fields are compared for the rows of disagreeing leaves alone.
 
 Numbers are not compared bit by bit, so a checksum is made of cells: a double
 falls into a cell as wide as the tolerance, a nanosecond stamp is rounded as a
@@ -40,8 +41,8 @@ class DiffConfig:
     stamp_tolerance_ns: int = 1024
     cell_phase: float = 0.00005  # values written with four decimals then sit away from cell borders
     exact_above: float = 1e9  # beyond it a cell is the double itself
-    leaf_bits: int = 6
-    fan_bits: int = 4
+    leaf_bits: int = 3  # of few keys, so that a difference sends few rows to the field comparison
+    fan_bits: int = 5
     levels: int = 4
 
 
@@ -85,9 +86,9 @@ def leaf_checksums(generated: DataFrame, golden: DataFrame, entity: str, key: st
         k = F.col(key).cast("bigint")
         return df.select(F.col(entity).alias("entity"), F.shiftright(k, cfg.leaf_bits).alias("leaf"), k.alias("k"), F.lit(side).alias("side"), F.xxhash64(*cells, gaps).alias("h"))
 
-    both = rows(generated, 0).unionByName(rows(golden, 1))
-    once = both.groupBy("entity", "leaf", "k", "side").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    row = F.xxhash64(F.coalesce("k", F.lit(0)), F.col("k").isNull(), "lo", "hi")
+    # one shuffle by range serves both the repeats and the sums over ranges
+    once = rows(generated, 0).unionByName(rows(golden, 1)).repartition("entity", "leaf").distinct()
+    row = F.xxhash64(F.coalesce("k", F.lit(0)), F.col("k").isNull(), "h")  # every version that a key has counts
     return once.withColumn("row", row).groupBy("entity", "leaf").agg(
         *(F.bit_xor(F.when(F.col("side") == s, F.col("row"))).alias(f"digest{s}") for s in SIDES),
         *(F.sum(F.when(F.col("side") == s, F.pmod("row", F.lit(1 << 31)))).alias(f"total{s}") for s in SIDES),
