@@ -12,7 +12,7 @@ from tracklane.operators.align import asof, interpolate
 from tracklane.operators.delays import at_delays, judged_delay, middle, residual_scores
 from tracklane.operators.frames import block_window, exact_percentiles, in_blocks, owned, slope
 from tracklane.operators.joins import join_checked
-from tracklane.plans.alignment import KEY, delay_grid
+from tracklane.plans.alignment import KEY, delay_grid, slope_sql
 from tracklane.session import cut
 from tracklane.sources.sensors import attitude, baro, flow, gps, messages, starlink, with_sql
 
@@ -39,24 +39,36 @@ def q_course_delay(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_enu_offset(spark: SparkSession, folder: str) -> DataFrame:
-    """Constant offset of the sparse fixes: median distance east and north to the interpolated dense ones, and the RMSE before and after taking it off."""
-    s = starlink(spark, folder).select("flight_id", "fix_id", "tr", "e", "n")
-    g = gps(spark, folder).select("flight_id", "tr", F.col("e").alias("ge"), F.col("n").alias("gn"))
-    d = interpolate(s, g, KEY, "tr", ["ge", "gn"]).filter("ge_at IS NOT NULL").select("flight_id", (F.col("e") - F.col("ge_at")).alias("de"), (F.col("n") - F.col("gn_at")).alias("dn"))
-    off = cut(exact_percentiles(d, KEY, "de", {"oe": 0.5}).drop("n").join(exact_percentiles(d, KEY, "dn", {"on": 0.5}).drop("n"), "flight_id"))
-    d = join_checked(d, off, KEY)
-    rms = lambda x, y: F.round(F.sqrt(F.avg(x * x + y * y)), 5)
+    """Constant offset of the sparse fixes: median distance east, north and up to the interpolated dense ones while these move faster than 1 m/s (where that leaves fewer than five, of all), and the RMSE before and after taking it off."""
+    g = in_blocks(gps(spark, folder).select("flight_id", "tr", "e", "n", "u"), KEY, ["tr"], F.floor(F.col("tr") / 600), 1, 1)
+    w = block_window(KEY)
+    g = owned(g.withColumn("speed", F.hypot(slope("e", "tr", w), slope("n", "tr", w)))).select("flight_id", "tr", *(F.col(c).alias(f"g{c}") for c in "enu"), "speed")
+    s = starlink(spark, folder).select("flight_id", "fix_id", "tr", "e", "n", "u")
+    d = interpolate(s, g, KEY, "tr", ["ge", "gn", "gu", "speed"]).filter("ge_at IS NOT NULL")
+    d = cut(d.select("flight_id", *((F.col(c) - F.col(f"g{c}_at")).alias(f"d{c}") for c in "enu"), ((F.col("tr") >= 0) & (F.col("speed_at") > 1)).alias("moving")))
+    mode = cut(d.groupBy("flight_id").agg((F.count_if("moving") >= 5).alias("by_moving")))
+    d = join_checked(d, mode, KEY).filter("moving OR NOT by_moving")
+    axes = d.select("flight_id", F.explode(F.array(*(F.struct(F.lit(c).alias("axis"), F.col(f"d{c}").alias("x")) for c in "enu"))).alias("a")).select("flight_id", "a.*")
+    off = exact_percentiles(axes, [*KEY, "axis"], "x", {"mid": 0.5}).groupBy("flight_id").agg(*(F.max(F.when(F.col("axis") == c, F.col("mid"))).alias(f"o{c}") for c in "enu"))
+    d = join_checked(d, cut(off), KEY)
+    rms = lambda *xs: F.round(F.sqrt(F.avg(sum((x * x for x in xs), F.lit(0.0)))), 5)
+    left = [F.col(f"d{c}") - F.col(f"o{c}") for c in "enu"]
     return d.groupBy("flight_id").agg(
-        F.count("*").alias("n"), F.round(F.max("oe"), 5).alias("off_e"), F.round(F.max("on"), 5).alias("off_n"),
-        rms(F.col("de"), F.col("dn")).alias("before"), rms(F.col("de") - F.col("oe"), F.col("dn") - F.col("on")).alias("after"),
+        F.count("*").alias("n"), F.when(F.max("by_moving"), "moving").otherwise("all").alias("mode"), *(F.round(F.max(f"o{c}"), 5).alias(f"off_{c}") for c in "enu"),
+        rms(F.col("de"), F.col("dn")).alias("before"), rms(*left[:2]).alias("after"), rms(left[2]).alias("after_u"), rms(*left).alias("after_3d"),
     )
 
 
-ENU_OFFSET_SQL = with_sql("gps", "starlink", more="""j AS (SELECT s.*, p.tr AS t0, p.e AS e0, p.n AS n0, q.tr AS t1, q.e AS e1, q.n AS n1 FROM starlink s
-  ASOF JOIN gps p ON s.flight_id = p.flight_id AND s.tr >= p.tr ASOF LEFT JOIN gps q ON s.flight_id = q.flight_id AND s.tr < q.tr),
-d AS (SELECT flight_id, e - CASE WHEN t1 IS NULL THEN e0 ELSE e0 + (e1 - e0) * ((tr - t0) / (t1 - t0)) END AS de, n - CASE WHEN t1 IS NULL THEN n0 ELSE n0 + (n1 - n0) * ((tr - t0) / (t1 - t0)) END AS dn FROM j WHERE t1 IS NOT NULL OR t0 = tr),
-o AS (SELECT flight_id, quantile_cont(de, 0.5) AS oe, quantile_cont(dn, 0.5) AS o_n FROM d GROUP BY 1)""") + (
-    "SELECT flight_id, count(*) AS n, round(max(oe), 5) AS off_e, round(max(o_n), 5) AS off_n, round(sqrt(avg(de ** 2 + dn ** 2)), 5) AS before, round(sqrt(avg((de - oe) ** 2 + (dn - o_n) ** 2)), 5) AS after FROM d JOIN o USING (flight_id) GROUP BY 1"
+_AT = "CASE WHEN t1 IS NULL THEN {c}0 ELSE {c}0 + ({c}1 - {c}0) * ((tr - t0) / (t1 - t0)) END"
+ENU_OFFSET_SQL = with_sql("gps", "starlink", more=f"""g0 AS (SELECT flight_id, tr, e, n, u, {slope_sql('e')} AS ve, {slope_sql('n')} AS vn FROM gps WINDOW w AS (PARTITION BY flight_id ORDER BY tr)),
+g AS (SELECT *, sqrt(ve ** 2 + vn ** 2) AS s FROM g0),
+j AS (SELECT s.*, p.tr AS t0, p.e AS e0, p.n AS n0, p.u AS u0, p.s AS s0, q.tr AS t1, q.e AS e1, q.n AS n1, q.u AS u1, q.s AS s1 FROM starlink s
+  ASOF JOIN g p ON s.flight_id = p.flight_id AND s.tr >= p.tr ASOF LEFT JOIN g q ON s.flight_id = q.flight_id AND s.tr < q.tr),
+d0 AS (SELECT flight_id, {", ".join(f"{c} - {_AT.format(c=c)} AS d{c}" for c in "enu")}, tr >= 0 AND {_AT.format(c="s")} > 1 AS moving FROM j WHERE t1 IS NOT NULL OR t0 = tr),
+d1 AS (SELECT *, count(*) FILTER (moving) OVER (PARTITION BY flight_id) >= 5 AS by_moving FROM d0), d AS (SELECT * FROM d1 WHERE moving OR NOT by_moving),
+o AS (SELECT flight_id, quantile_cont(de, 0.5) AS oe, quantile_cont(dn, 0.5) AS o_n, quantile_cont(du, 0.5) AS ou FROM d GROUP BY 1)""") + (
+    "SELECT flight_id, count(*) AS n, CASE WHEN bool_or(by_moving) THEN 'moving' ELSE 'all' END AS mode, round(max(oe), 5) AS off_e, round(max(o_n), 5) AS off_n, round(max(ou), 5) AS off_u, round(sqrt(avg(de ** 2 + dn ** 2)), 5) AS before, "
+    "round(sqrt(avg((de - oe) ** 2 + (dn - o_n) ** 2)), 5) AS after, round(sqrt(avg((du - ou) ** 2)), 5) AS after_u, round(sqrt(avg((de - oe) ** 2 + (dn - o_n) ** 2 + (du - ou) ** 2)), 5) AS after_3d FROM d JOIN o USING (flight_id) GROUP BY 1"
 )
 
 

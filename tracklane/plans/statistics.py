@@ -12,6 +12,7 @@ from tracklane.functions.missing import finite
 from tracklane.operators.align import asof, interpolate
 from tracklane.operators.frames import block_window, exact_percentiles, in_blocks, owned
 from tracklane.operators.joins import join_checked
+from tracklane.operators.positions import with_positions
 from tracklane.operators.robust import robust_sigma, robust_vector_mean
 from tracklane.plans.alignment import ERRORS, KEY, errors, r6
 from tracklane.session import cut
@@ -128,36 +129,44 @@ def q_body_to_enu(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_origin(spark: SparkSession, folder: str) -> DataFrame:
-    """Origin of a flight: the median position of its first five seconds."""
-    g = gps(spark, folder)
+    """Origin of a flight: the median position of its first five seconds, or where these hold fewer than five fixes of its first fifty fixes."""
+    g = with_positions(gps(spark, folder).select("flight_id", "tr", "lat", "lon", "alt"), KEY, ["tr"], F.floor(F.col("tr") / 600))
     first = cut(g.groupBy("flight_id").agg(F.min("tr").alias("t0")))
-    d = join_checked(g, first, KEY).filter(F.col("tr") <= F.col("t0") + 5)
-    out = None
-    for c in ("lat", "lon", "alt"):
-        p = exact_percentiles(d, KEY, c, {f"{c}0": 0.5})
-        out = p if out is None else out.join(p.drop("n"), "flight_id")
-    return out.select("flight_id", "n", F.round("lat0", 8).alias("lat0"), F.round("lon0", 8).alias("lon0"), F.round("alt0", 6).alias("alt0"))
+    g = join_checked(g, first, KEY).withColumn("early", F.col("tr") <= F.col("t0") + 5).filter("early OR pos < 50")
+    few = cut(g.groupBy("flight_id").agg((F.count_if("early") < 5).alias("few")))
+    d = join_checked(g, few, KEY).filter("CASE WHEN few THEN pos < 50 ELSE early END")
+    axes = d.select("flight_id", F.explode(F.array(*(F.struct(F.lit(c).alias("axis"), F.col(c).alias("x")) for c in ("lat", "lon", "alt")))).alias("a")).select("flight_id", "a.*")
+    mid = exact_percentiles(axes, [*KEY, "axis"], "x", {"mid": 0.5}).groupBy("flight_id")
+    return mid.agg(F.max("n").alias("n"), *(F.round(F.max(F.when(F.col("axis") == c, F.col("mid"))), d).alias(f"{c}0") for c, d in (("lat", 8), ("lon", 8), ("alt", 6))))
 
 
-ORIGIN_SQL = with_sql("gps") + (
+ORIGIN_SQL = with_sql("gps", more="""f AS (SELECT *, min(tr) OVER k AS t0, row_number() OVER (PARTITION BY flight_id ORDER BY tr) - 1 AS pos FROM gps WINDOW k AS (PARTITION BY flight_id)),
+g AS (SELECT *, tr <= t0 + 5 AS early, count(*) FILTER (tr <= t0 + 5) OVER (PARTITION BY flight_id) < 5 AS few FROM f)""") + (
     "SELECT flight_id, count(*) AS n, round(quantile_cont(lat, 0.5), 8) AS lat0, round(quantile_cont(lon, 0.5), 8) AS lon0, round(quantile_cont(alt, 0.5), 6) AS alt0 "
-    "FROM (SELECT *, min(tr) OVER (PARTITION BY flight_id) AS t0 FROM gps) WHERE tr <= t0 + 5 GROUP BY flight_id"
+    "FROM g WHERE CASE WHEN few THEN pos < 50 ELSE early END GROUP BY flight_id"
 )
 
 
 def q_baro_offset(spark: SparkSession, folder: str) -> DataFrame:
-    """Barometer offset: the median distance to the interpolated reference, in the first 180 s of overlap."""
+    """Barometer offset: the median distance to the reference (its ends held) in the first 180 s of a flight; where these hold no more than ten heights in all the time the reference covers, and with no more than ten there 0."""
     b = baro(spark, folder).select("flight_id", "tr", "u")
-    d = interpolate(b, gps(spark, folder).select("flight_id", "tr", F.col("u").alias("g")), KEY, "tr", ["g"]).filter("g_at IS NOT NULL")
-    first = cut(d.groupBy("flight_id").agg(F.min("tr").alias("t0")))
-    d = join_checked(d, first, KEY).filter(F.col("tr") <= F.col("t0") + 180).withColumn("d", F.col("u") - F.col("g_at"))
-    return exact_percentiles(d, KEY, "d", {"offset": 0.5}).select("flight_id", "n", r6("offset"))
-
-
-OFFSET_SQL = with_sql("gps", "baro", more="""j AS (SELECT b.flight_id, b.tr, b.u, p.tr AS t0, p.u AS u0, q.tr AS t1, q.u AS u1 FROM baro b ASOF JOIN gps p ON b.flight_id = p.flight_id AND b.tr >= p.tr
+    g = gps(spark, folder).select("flight_id", "tr", F.col("u").alias("g"))
+    ends = cut(g.groupBy("flight_id").agg(F.min("tr").alias("a"), F.max("tr").alias("b")))
+    d = join_checked(interpolate(b, g, KEY, "tr", ["g"], clamp=True), ends, KEY, "inner")
+    d = cut(d.select("flight_id", (F.col("u") - F.col("g_at")).alias("d"), F.col("tr").between(0.0, 180.0).alias("early"), F.col("tr").between(F.col("a"), F.col("b")).alias("covered")))
+    mode = F.when(F.count_if("early") > 10, "early").when(F.count_if("covered") > 10, "covered").otherwise("none")
+    d = join_checked(d, cut(d.groupBy("flight_id").agg(mode.alias("mode"))), KEY)
+    used = d.filter("CASE mode WHEN 'early' THEN early WHEN 'covered' THEN covered ELSE TRUE END")
+    out = exact_percentiles(used, ["flight_id", "mode"], "d", {"offset": 0.5})
+    return out.select("flight_id", "mode", "n", F.round(F.when(F.col("mode") == "none", 0.0).otherwise(F.col("offset")), 6).alias("offset"))
+
+
+OFFSET_SQL = with_sql("gps", "baro", more="""r AS (SELECT flight_id, min(tr) AS a, max(tr) AS b FROM gps GROUP BY 1),
+j AS (SELECT b.flight_id, b.tr, b.u, p.tr AS t0, p.u AS u0, q.tr AS t1, q.u AS u1, r.a, r.b FROM baro b JOIN r ON r.flight_id = b.flight_id ASOF LEFT JOIN gps p ON b.flight_id = p.flight_id AND b.tr >= p.tr
   ASOF LEFT JOIN gps q ON b.flight_id = q.flight_id AND b.tr < q.tr),
-d AS (SELECT flight_id, tr, u - CASE WHEN t1 IS NULL THEN u0 ELSE u0 + (u1 - u0) * ((tr - t0) / (t1 - t0)) END AS d, min(tr) OVER (PARTITION BY flight_id) AS s FROM j WHERE t1 IS NOT NULL OR t0 = tr)""") + (
-    'SELECT flight_id, count(*) AS n, round(quantile_cont(d, 0.5), 6) AS "offset" FROM d WHERE tr <= s + 180 GROUP BY flight_id'
+d AS (SELECT flight_id, u - CASE WHEN t0 IS NULL THEN u1 WHEN t1 IS NULL THEN u0 ELSE u0 + (u1 - u0) * ((tr - t0) / (t1 - t0)) END AS d, tr BETWEEN 0 AND 180 AS early, tr BETWEEN a AND b AS covered FROM j),
+m AS (SELECT *, CASE WHEN count(*) FILTER (early) OVER k > 10 THEN 'early' WHEN count(*) FILTER (covered) OVER k > 10 THEN 'covered' ELSE 'none' END AS mode FROM d WINDOW k AS (PARTITION BY flight_id))""") + (
+    """SELECT flight_id, mode, count(*) AS n, round(CASE WHEN mode = 'none' THEN 0.0 ELSE quantile_cont(d, 0.5) END, 6) AS "offset" FROM m WHERE CASE mode WHEN 'early' THEN early WHEN 'covered' THEN covered ELSE TRUE END GROUP BY flight_id, mode"""
 )
 
 
