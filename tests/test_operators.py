@@ -203,3 +203,15 @@ def test_smoother_follows_and_its_blocks_agree(spark):
     mid = one.index[(one.index > 100) & (one.index < 1300)]
     assert (abs(one.u - (100 + one.index * 0.1)).loc[mid] < 4).all()
     assert (abs(one.u - cut.u).loc[mid] < 1e-3).all()
+
+
+def test_steps_composed_by_doubling_are_those_one_by_one():
+    rng = np.random.default_rng(5)
+    f, g, first = rng.uniform(0, 1, 300), rng.normal(size=300), rng.uniform(size=300) < 0.05
+    f[rng.uniform(size=300) < 0.1] = 0.0
+    first[0] = True
+    a, b = R.compose_steps(f, g, first)
+    x = y = None
+    for i in range(300):
+        x, y = (f[i], g[i]) if first[i] else (f[i] * x, f[i] * y + g[i])
+        assert abs(a[i] - x) < 1e-12 and abs(b[i] - y) < 1e-12

@@ -21,20 +21,34 @@ from tracklane.operators.frames import BLOCK
 from tracklane.operators.positions import with_positions
 
 
+def compose_steps(f: np.ndarray, g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of steps y -> f y + g in a row, the factor and offset of all up to each since the last ``first``: by doubling, so in few passes over the arrays."""
+    a, b, n, reach = f.astype(float), g.astype(float), len(f), 1
+    since = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))  # steps before each in its stretch
+    while reach < n:
+        i = np.flatnonzero(since >= reach)
+        if not len(i):
+            break
+        b[i] += a[i] * b[i - reach]  # the right side is evaluated before it is written
+        a[i] *= a[i - reach]
+        reach *= 2
+    return a, b
+
+
 def _compose(batches: Iterator[pd.DataFrame], keys: list[str], out: list[str]) -> Iterator[pd.DataFrame]:
     """Per row the factor (a) and offset (b) of all steps of its block so far: y = b + a * carry."""
-    state: tuple = (None, 1.0, 0.0)
+    key, x, y = None, 1.0, 0.0
     for t in batches:
-        head = list(zip(*(t[k] for k in [*keys, "_block"]), strict=True))
-        f, g = t["_f"].to_numpy(), t["_g"].to_numpy()
-        a, b = np.empty(len(t)), np.empty(len(t))
-        key, x, y = state
-        for i, k in enumerate(head):
-            if k != key:
-                key, x, y = k, 1.0, 0.0
-            x, y = f[i] * x, f[i] * y + g[i]
-            a[i], b[i] = x, y
-        state = key, x, y
+        if not len(t):
+            continue
+        head = t[[*keys, "_block"]]
+        first = np.r_[True, (head.iloc[1:].to_numpy() != head.iloc[:-1].to_numpy()).any(1)]
+        a, b = compose_steps(t["_f"].to_numpy(), t["_g"].to_numpy(), first)
+        if key == tuple(head.iloc[0]):  # the block goes on from the batch before
+            same = np.cumsum(first) == 1
+            b[same] += a[same] * y
+            a[same] *= x
+        key, x, y = tuple(head.iloc[-1]), a[-1], b[-1]
         yield t[out].assign(_a=a, _b=b)
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklane.functions.missing import finite
 from tracklane.operators.copy_diff import Field, diff_copies
 from tracklane.operators.late_events import classify, period_stats, value_counts
 from tracklane.operators.regular_grid import regular_grid
 from tracklane.operators.spikes import flag_readings
-from tracklane.operators.units import to_radians
+from tracklane.operators.units import RADIANS, SPELLINGS, to_radians, unit_of
 from tracklane.sources.tables import table
 
 FLOW_FIELDS = [
@@ -94,6 +95,21 @@ def p3_radians(spark: SparkSession, folder: str) -> DataFrame:
     return _angles(spark, folder)
 
 
+def p3_stated(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that hold angles as numbers and name their unit in the unit column: these three in radians."""
+    e = table(spark, folder, "euler_raw").withColumn("names", unit_of(F.col("angle_unit")))
+    d = to_radians(e.filter(F.col("names").isNotNull() & (finite(F.col("roll")) | finite(F.col("pitch")) | finite(F.col("yaw")))), "sample_id", ["flight_id", "origin"])
+    return d.select("sample_id", "unit", "unit_from", *(F.round(f"{c}_rad", 6).alias(c) for c in ("roll", "pitch", "yaw")))
+
+
+def _stated_sql() -> str:
+    words = ", ".join(f"('{w}', '{u}', {RADIANS[u]!r}::DOUBLE)" for u, ws in SPELLINGS.items() for w in ws)
+    rad = lambda c: f"CASE WHEN isfinite({c}) THEN {c} * f END"
+    return f"""WITH w AS (SELECT * FROM (VALUES {words}) v(word, unit, f)), e AS (SELECT sample_id, unit, {rad('roll')} AS roll, {rad('pitch')} AS pitch, {rad('yaw')} AS y
+  FROM euler_raw JOIN w ON lower(regexp_replace(angle_unit, '\s', '', 'g')) = word WHERE isfinite(roll) OR isfinite(pitch) OR isfinite(yaw))
+SELECT sample_id, unit, 'row' AS unit_from, round(roll, 6) AS roll, round(pitch, 6) AS pitch, round(y - 2 * pi() * floor((y + pi()) / (2 * pi())), 6) AS yaw FROM e"""
+
+
 MESSAGE = ["flight_id", "msg_seq"]
 
 
@@ -236,6 +252,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_radians": p3_radians,
+    "p3_stated": p3_stated,
     "p5_found": p5_found,
     "p5_kinds": p5_kinds,
     "p6_found": p6_found,
@@ -243,4 +260,4 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_grid": p7_grid,
 }
-SQL = {"p2_found": P2_SQL, "p6_found": P6_FOUND_SQL, "p6_periods": P6_PERIODS_SQL, "p7_found": P7_FOUND_SQL, "p7_grid": P7_GRID_SQL}
+SQL = {"p2_found": P2_SQL, "p3_stated": _stated_sql(), "p6_found": P6_FOUND_SQL, "p6_periods": P6_PERIODS_SQL, "p7_found": P7_FOUND_SQL, "p7_grid": P7_GRID_SQL}
