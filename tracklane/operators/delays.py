@@ -92,9 +92,12 @@ def judged_delay(score: DataFrame, keys: list[str], more: str, edge: float, flat
     return best.select(*keys, "b.score", F.col("b.delay").alias("tau"), "b.n", f"b.{more}", F.round("span", 5).alias("span"), doubt.alias("doubt"))
 
 
+CENTRES = 1_000_000  # rows of a few numbers that are broadcast at most: some 40 MB
+
+
 def residual_scores(rows: DataFrame, keys: list[str], centre: Callable[[], list[Column]], residual: Column, scores: dict[str, Column]) -> DataFrame:
     """Per key and delay n and ``scores`` of ``residual``, which may use the columns that ``centre`` aggregates per key and delay."""
     per = [*keys, "delay"]
     middle_of = cut(rows.groupBy(*per).agg(*centre()))  # a row per key and delay
-    d = join_checked(rows, middle_of, per).withColumn("res", residual)
+    d = join_checked(rows, middle_of, per, max_rows=CENTRES).withColumn("res", residual)
     return d.groupBy(*per).agg(F.count("*").alias("n"), *(c.alias(n) for n, c in scores.items())).filter("n >= 5")
