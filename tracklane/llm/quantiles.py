@@ -81,7 +81,18 @@ def answer(s: Summary, n: int, q: float) -> tuple[float, int]:
 
 
 def _row(dim: str, key: str, slot: int, n: int, s: Summary) -> dict:
-    return {"dimension": dim, "group_key": key, "slot": slot, "n": n, "v": s[0], "rmin": s[1], "rmax": s[2]}
+    """A summary as a row; of one that holds every value the ranks go without saying and are left empty."""
+    v, lo, hi = s
+    if len(v) == n:
+        lo = hi = np.empty(0, np.int64)
+    return {"dimension": dim, "group_key": key, "slot": slot, "n": n, "v": v, "rmin": lo, "rmax": hi}
+
+
+def _of(row) -> Summary:
+    v = np.asarray(row.v, float)
+    if len(v) == row.n:
+        return v, np.arange(1, len(v) + 1), np.arange(1, len(v) + 1)
+    return v, np.asarray(row.rmin, np.int64), np.asarray(row.rmax, np.int64)
 
 
 def _summarise(batches: Iterator[pa.RecordBatch], dims: list[str], capacity: int) -> Iterator[pa.RecordBatch]:
@@ -113,7 +124,7 @@ def _summarise(batches: Iterator[pa.RecordBatch], dims: list[str], capacity: int
 
 
 def _merge_rows(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    parts = [(np.asarray(r.v, float), np.asarray(r.rmin, np.int64), np.asarray(r.rmax, np.int64)) for r in pdf.itertuples()]
+    parts = [_of(r) for r in pdf.itertuples()]
     while len(parts) > 1:
         parts = [merge(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     n, first = int(pdf["n"].sum()), pdf.iloc[0]
@@ -146,7 +157,7 @@ def _answers(batches: Iterator[pd.DataFrame], probs: list[float]) -> Iterator[pd
     for pdf in batches:
         rows = []
         for r in pdf.itertuples():
-            s = np.asarray(r.v, float), np.asarray(r.rmin, np.int64), np.asarray(r.rmax, np.int64)
+            s = _of(r)
             rows += [(r.dimension, r.group_key, int(r.n), q, *answer(s, int(r.n), q)) for q in probs]
         yield pd.DataFrame(rows, columns=["dimension", "group_key", "n", "q", "value", "rank_error"])
 
