@@ -51,6 +51,7 @@ class LeakConfig:
 _NOISE = re.compile(r"\\+[nrtf](?![a-z]*\{)|\\u001b\[[0-9;]*m|\x1b\[[0-9;]*m|</?[a-zA-Z][^<>\n]{0,60}>|&(?:nbsp|amp|lt|gt|quot|#\d+);|\xad")
 _WORD = re.compile(r"(?:[^\W_]|[\u0300-\u036f]|\\u[0-9a-fA-F]{4}(?<!\\u001b))+")
 _SPLIT = re.compile(r"(?:[^\w\u0300-\u036f]|_)+")
+_ASCII = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else 32 for b in range(256))  # lower case, blanks for what is in no word
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 
 
@@ -79,7 +80,9 @@ def flat(text: str) -> str:
     text = _quiet(text)
     if "\\u" in text and _ESCAPE.search(text):
         return " " + " ".join(_fold(m.group()) for m in _WORD.finditer(text)) + " "
-    if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+    if text.isascii():
+        return " " + " ".join(text.encode().translate(_ASCII).decode().split()) + " "
+    if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     return " " + " ".join(_SPLIT.sub(" ", text.lower()).split()) + " "
 
@@ -192,7 +195,10 @@ class Scanner:
 
     def _seeds(self, coded: list[int]) -> np.ndarray:
         """(item, position of the run's last word in the text, number of the run in the item) in that order."""
-        hits = np.array([(end, n) for end, n in self.auto.iter(tuple(coded))], np.int64).reshape(-1, 2)
+        hits = list(self.auto.iter(tuple(coded)))
+        if not hits:
+            return self.owner[:0]
+        hits = np.array(hits, np.int64)
         many = self.first[hits[:, 1] + 1] - self.first[hits[:, 1]]
         at = np.repeat(self.first[hits[:, 1]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         own = self.owner[at]
@@ -211,41 +217,56 @@ class Scanner:
             if item.shown_by(seeds[a:b, 2]):
                 yield item, seeds[a:b, 1:]
 
-    def _passages(self, coded: np.ndarray, seeds: np.ndarray) -> list[tuple[_Item, int, int, int]]:
-        """(item, words matched, first and last word) of each passage around the seeds, none of one item overlapping."""
-        cfg, found, todo = self.cfg, [], []
-        for item, own in self._groups(seeds):
-            begin = own[:, 0] - own[:, 1]  # where the item's first run would end
-            todo.append((item, own, max(0, int(begin.min()) - cfg.run - cfg.slack), int(begin.max()) + len(item.words) + cfg.slack))
+    def _passages(self, texts: dict[int, list[int]]) -> dict[int, list[tuple[_Item, int, int, int]]]:
+        """Of coded texts under their numbers (item, words matched, first and last word) of each passage, none of one item overlapping.
+
+        Places to look at are gathered over all texts, so that many are aligned at once.
+        """
+        cfg, found, todo, kept = self.cfg, {}, [], {}
+        for d, coded in texts.items():
+            for item, own in self._groups(self._seeds(coded)):
+                if d not in kept:
+                    kept[d] = np.array(coded)
+                begin = own[:, 0] - own[:, 1]  # where the item's first run would end
+                todo.append((d, item, own, max(0, int(begin.min()) - cfg.run - cfg.slack), int(begin.max()) + len(item.words) + cfg.slack))
         while todo:
             fit = []
-            for item, own, lo, hi in todo:
+            for d, item, own, lo, hi in todo:
                 here = own[np.searchsorted(own[:, 0], lo) : np.searchsorted(own[:, 0], hi), 1]
-                if item.shown_by(here) and item.could_hold(coded[lo:hi]):
-                    fit.append((item, own, lo, hi))
+                if item.shown_by(here) and item.could_hold(kept[d][lo:hi]):
+                    fit.append((d, item, own, lo, hi))
+            fit.sort(key=lambda t: (len(t[1].words), t[4] - t[3]))  # alike in size, so little is padded
             todo = []
             for i in range(0, len(fit), cfg.at_once):
                 part = fit[i : i + cfg.at_once]
-                aligned = align([x.words for x, *_ in part], [coded[lo:hi] for _, _, lo, hi in part], cfg)
-                for (item, own, lo, hi), (hits, a, b) in zip(part, aligned, strict=True):
+                aligned = align([t[1].words for t in part], [kept[t[0]][t[3] : t[4]] for t in part], cfg)
+                for (d, item, own, lo, hi), (hits, a, b) in zip(part, aligned, strict=True):
                     if hits >= item.need:
-                        found.append((item, hits, lo + a, lo + b))
-                        todo += [(item, own, lo, lo + a), (item, own, lo + b + 1, hi)]
+                        found.setdefault(d, []).append((item, hits, lo + a, lo + b))
+                        todo += [(d, item, own, lo, lo + a), (d, item, own, lo + b + 1, hi)]
         return found
 
+    def find_all(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
+        """(item, share of its words, first and last character + 1) of every passage of an item in each text."""
+        out: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
+        if self.empty:
+            return out
+        coded = {d: self._coded(flat(t).split()) for d, t in enumerate(texts) if t}
+        found = self._passages(coded)
+        placed = {d: words_at(texts[d]) for d in found}
+        # where folding changed the borders of words, they are counted as placed
+        other = {d: self._coded(placed[d][0]) for d in found if len(placed[d][0]) != len(coded[d])}
+        found = {d: f for d, f in found.items() if d not in other} | self._passages(other)
+        for d, passages in found.items():
+            _, begin, end = placed[d]
+            out[d] = [(k, hits / len(item.words), begin[a], end[b]) for item, hits, a, b in passages for k in item.ids]
+        return out
+
     def find(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(item, share of its words, first and last character + 1) of every passage of an item in a text."""
-        if self.empty or not text:
-            return []
-        coded = self._coded(flat(text).split())
-        found = self._passages(np.array(coded), self._seeds(coded))
-        if not found:
-            return []
-        words, begin, end = words_at(text)
-        if len(words) != len(coded):  # folding changed the borders of words: count them as placed
-            coded = self._coded(words)
-            found = self._passages(np.array(coded), self._seeds(coded))
-        return [(k, hits / len(item.words), begin[a], end[b]) for item, hits, a, b in found for k in item.ids]
+        return self.find_all([text])[0]
+
+
+TEXT_CHARS = 4_000_000
 
 
 class Items:
@@ -263,9 +284,15 @@ class Items:
 def _scan(batches: Iterator[pa.RecordBatch], items: Broadcast[Items]) -> Iterator[pa.RecordBatch]:
     scanner = items.value.scanner()
     for b in batches:
-        ids, rows = b.column(0).to_pylist(), []
-        for i, text in zip(ids, b.column(1), strict=True):
-            rows += [(i, *r) for r in scanner.find(text.as_py())]
+        rows, begin = [], 0
+        while begin < b.num_rows:  # texts of about TEXT_CHARS at a time
+            some, size = [], 0
+            while begin + len(some) < b.num_rows and (not some or size < TEXT_CHARS):
+                some.append(b.column(1)[begin + len(some)].as_py())
+                size += len(some[-1])
+            for i, hits in enumerate(scanner.find_all(some), begin):
+                rows += [(b.column(0)[i].as_py(), *r) for r in hits]
+            begin += len(some)
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc", "item", "share", "start_char", "end_char"])
