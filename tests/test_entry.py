@@ -31,7 +31,8 @@ def lines(rows):
 
 
 # not p2_found: on this folder DuckDB 2.0 answers isnan(NaN) with false, misled by the statistics of the file
-CHOICE = ["p6_found", "p6_periods", "p7_found", "p7_grid", "q_asof_causal", "q_interp_clamped", "q_error_summary", "q_merge_order", "q_rolling_mad_gate", "q_unwrap", "q_iir_exp", "q_bias_kalman", "q_node_bins", "q_variant_compare", "q_sign_permutation"]
+CHOICE = ["p6_found", "p6_periods", "p7_found", "p7_grid", "q_asof_causal", "q_interp_clamped", "q_error_summary", "q_merge_order", "q_rolling_mad_gate", "q_unwrap", "q_iir_exp", "q_bias_kalman", "q_node_bins", "q_variant_compare", "q_sign_permutation",
+          "p3_stated", "s_late_periods", "s_low_pass", "q_delay_scan", "q_confidence", "q_hold_decay", "q_position_errors", "q_alignment_filtered", "q_gyro_velocity", "q_smooth_export", "q_field_errors", "q_origin", "q_geo_round_trip"]
 
 
 @needs_data

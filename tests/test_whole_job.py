@@ -1,8 +1,14 @@
 """Queries over attitudes of every unit, delays by small steps and whole time ranges."""
 
 import math
+import random
+
+import numpy as np
+import pytest
 
 import __spark_entry__ as entry
+from tracklane.operators.delays import at_delays
+from tracklane.operators.frames import exact_percentiles
 
 EULER = "sample_id bigint, flight_id bigint, origin string, tr double, roll double, pitch double, yaw double, angle_unit string, raw_text string"
 VISION = "sample_id bigint, flight_id bigint, seg bigint, t double, tr double, tr_arrival double, vx double, vy double, vz double"
@@ -105,3 +111,61 @@ def test_delays_between_the_quarters_of_a_second(spark, tmp_path):
     write(spark, tmp_path, gps_ref_enu=(fixes(dense, 0.34), GPS), euler_raw=(told(1, "deg", math.pi / 180, "deg", [k / 10 for k in range(-20, 620)], lambda t: 2 * math.sin(0.3 * t)), EULER))
     (r,) = run(spark, tmp_path, "q_course_delay")
     assert abs(r["tau"] - 0.34) < 0.03 and r["score"] <= r["p90"] < 0.05 and r["doubt"] == ""
+
+
+def test_distances_along_the_ray_and_straight_down(spark, tmp_path):
+    euler = [r for f, o, per, stated, note in UNITS for r in told(f, o, per, stated, range(4), lambda t: 0.0, note)]
+    euler += told(9, "rad", 0.05, "rad", range(4), lambda t: 0.0)  # roll 2 rad and pitch 1 rad: beyond the horizon, where the sign turns
+    euler += told(10, "rad", 0.1 / 1.5, "rad", range(4), lambda t: 0.0)  # roll 1.5 rad: near it
+    baro = [(100 * f + i, f, 0, 0.0, i + 0.5, 50.0) for f in (1, 2, 3, 4, 5, 9, 10) for i in range(4)]
+    write(spark, tmp_path, euler_raw=(euler, EULER), baro_corrected=(baro, "sample_id bigint, flight_id bigint, seg bigint, t double, tr double, u_corr double"))
+    rows = run(spark, tmp_path, "q_ray_distance")
+    c = math.cos(0.1) * math.cos(0.05)
+    for r in rows:
+        assert r["ray"] == 50.0
+        if r["sample_id"] % 100 == 3 or r["flight_id"] == 10:  # no attitude on either side, or near the horizon
+            assert r["vertical"] is None and r["vertical_to_ray"] is None
+        elif r["flight_id"] == 9:
+            assert abs(r["vertical"] - 50 * math.cos(2) * math.cos(1)) < 1e-4
+        else:
+            assert abs(r["vertical"] - 50 * c) < 1e-4 and abs(r["vertical_to_ray"] - 50 / c) < 1e-4
+
+
+def brute_delay(left, right, delay):
+    """Right value at t - delay by a line between its neighbours, where both are there."""
+    out = {}
+    for k, t in left:
+        at = t - delay
+        below, above = [r for r in right if r[0] <= at], [r for r in right if r[0] >= at]
+        if below and above:
+            (a, x), (b, y) = below[-1], above[0]
+            out[k] = x if a == b else x + (y - x) * (at - a) / (b - a)
+    return out
+
+
+def test_series_read_at_delays_across_shards_and_gaps(spark):
+    rng = random.Random(3)
+    left = [(k, round(rng.uniform(-20, 220), 3)) for k in range(60)]
+    right = sorted((t, rng.gauss(0, 1)) for t in {round(rng.uniform(0, 60), 2) for _ in range(80)} | {round(rng.uniform(150, 200), 2) for _ in range(20)})
+    for shard in (10.0, 45.0, 600.0):
+        l = spark.createDataFrame([(1, t, float(k)) for k, t in left] + [(2, 5.0, 999.0), (None, 5.0, 998.0), (1, None, 997.0)], "f int, tr double, k double")
+        r = spark.createDataFrame([(1, t, x) for t, x in right], "f int, tr double, x double")
+        got = {}
+        for row in at_delays(l, r, ["f"], "tr", ["x"], [-3.0, 0.0, 0.5, 3.0], shard).collect():
+            got.setdefault(row["delay"], {})[int(row["k"])] = row["x_at"]
+        for delay in (-3.0, 0.0, 0.5, 3.0):
+            want = brute_delay(left, right, delay)
+            assert got[delay].keys() == want.keys() and all(abs(got[delay][k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_percentiles_by_bands(spark):
+    rng = np.random.default_rng(8)
+    groups = {"small": rng.normal(size=7), "close": 1.7e9 + rng.uniform(0, 1, 20_000), "ties": rng.integers(0, 3, 20_000).astype(float), "heavy": rng.standard_cauchy(20_000), "one": np.array([3.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("small", None), (None, 1.0), (None, 2.0)], "g string, x double")
+    probs = {"lo": 0.0, "a": 0.05, "m": 0.5, "b": 0.95, "hi": 1.0}
+    rows = {r["g"]: r for r in exact_percentiles(df, ["g"], "x", probs).collect()}
+    for g, xs in groups.items():
+        assert rows[g]["n"] == len(xs)
+        for name, p in probs.items():
+            assert rows[g][name] == pytest.approx(np.percentile(xs, 100 * p), rel=1e-12)
+    assert rows[None]["m"] == 1.5 and exact_percentiles(df.filter("false"), ["g"], "x", probs).count() == 0

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklane.functions.missing import present
 from tracklane.operators.align import SHARD_S
 from tracklane.operators.joins import join_checked
 from tracklane.session import cut
@@ -64,7 +65,7 @@ def at_delays(left: DataFrame, right: DataFrame, keys: list[str], time: str, col
     read = both.groupBy(*keys, "_shard").applyInPandas(_plain(partial(_read, keys=keys, columns=columns, keep=keep, delays=np.array(delays, float))), schema)
     zipped = F.arrays_zip(F.array(*(F.lit(float(d)) for d in delays)).alias("delay"), *columns)
     out = read.select(*keys, *keep, F.explode(zipped).alias("z")).select(*keys, *keep, F.col("z.delay").alias("delay"), *(F.col(f"z.{c}").alias(f"{c}_at") for c in columns))
-    return out.filter(~F.isnan(f"{columns[0]}_at"))
+    return out.filter(present(F.col(f"{columns[0]}_at")))
 
 
 def _plain(fn: partial) -> Callable[[pd.DataFrame], pd.DataFrame]:

@@ -106,7 +106,7 @@ def _stated_sql() -> str:
     words = ", ".join(f"('{w}', '{u}', {RADIANS[u]!r}::DOUBLE)" for u, ws in SPELLINGS.items() for w in ws)
     rad = lambda c: f"CASE WHEN isfinite({c}) THEN {c} * f END"
     return f"""WITH w AS (SELECT * FROM (VALUES {words}) v(word, unit, f)), e AS (SELECT sample_id, unit, {rad('roll')} AS roll, {rad('pitch')} AS pitch, {rad('yaw')} AS y
-  FROM euler_raw JOIN w ON lower(regexp_replace(angle_unit, '\s', '', 'g')) = word WHERE isfinite(roll) OR isfinite(pitch) OR isfinite(yaw))
+  FROM euler_raw JOIN w ON lower(regexp_replace(angle_unit, '\\s', '', 'g')) = word WHERE isfinite(roll) OR isfinite(pitch) OR isfinite(yaw))
 SELECT sample_id, unit, 'row' AS unit_from, round(roll, 6) AS roll, round(pitch, 6) AS pitch, round(y - 2 * pi() * floor((y + pi()) / (2 * pi())), 6) AS yaw FROM e"""
 
 
