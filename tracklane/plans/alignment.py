@@ -96,6 +96,16 @@ def _interp_sql(clamp: bool) -> str:
     )
 
 
+def trim_sql(source: str, k: str) -> str:
+    """Tables up to tu: rows of ``source`` by flight and ``k`` with what a robust mean of vx, vy, vz keeps (near, or all where it does not trim)."""
+    return f"""tm AS (SELECT flight_id, {k} AS k, count(*) AS n, quantile_cont(vx, 0.5) AS mx, quantile_cont(vy, 0.5) AS my, quantile_cont(vz, 0.5) AS mz FROM {source} GROUP BY 1, 2),
+tr AS (SELECT v.flight_id, tm.k, n, vx, vy, vz, sqrt((vx - mx) ** 2 + (vy - my) ** 2 + (vz - mz) ** 2) AS r FROM {source} v JOIN tm ON tm.flight_id = v.flight_id AND tm.k = {k}),
+ts AS (SELECT flight_id, k, quantile_cont(r, 0.5) AS rm, 1.4826 * mad(r) AS rs FROM tr GROUP BY 1, 2),
+tt AS (SELECT tr.*, n >= 5 AND rs > 1e-6 AS trim_, r <= rm + 3.5 * rs AS near FROM tr JOIN ts USING (flight_id, k)),
+tc AS (SELECT flight_id, k, n AS m, count(*) FILTER (near) AS near_n, bool_or(trim_) AS trims FROM tt GROUP BY 1, 2, 3),
+tu AS (SELECT tt.*, tc.trims AND near_n >= greatest(2, n // 3) AS does FROM tt JOIN tc USING (flight_id, k))"""
+
+
 def errors(spark: SparkSession, folder: str) -> DataFrame:
     """Barometer height against the dense reference before it."""
     g = gps(spark, folder).select("flight_id", "tr", F.col("u").alias("ref"))

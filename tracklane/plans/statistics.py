@@ -14,7 +14,7 @@ from tracklane.operators.frames import block_window, exact_percentiles, in_block
 from tracklane.operators.joins import join_checked
 from tracklane.operators.positions import with_positions
 from tracklane.operators.robust import robust_sigma, robust_vector_mean
-from tracklane.plans.alignment import ERRORS, KEY, errors, r6
+from tracklane.plans.alignment import ERRORS, KEY, errors, r6, trim_sql
 from tracklane.session import cut
 from tracklane.sources.sensors import attitude, baro, flow, gps, messages, starlink, vision, with_sql
 from tracklane.sources.tables import table
@@ -39,15 +39,9 @@ def q_node_bins(spark: SparkSession, folder: str) -> DataFrame:
     return out.filter("n >= 3").select("flight_id", "node", "n", "kept", *(F.round(c, 6).alias(c) for c in ("vx", "vy", "vz")))
 
 
-_TRIM = """m AS (SELECT flight_id, {k} AS k, count(*) AS n, quantile_cont(vx, 0.5) AS mx, quantile_cont(vy, 0.5) AS my, quantile_cont(vz, 0.5) AS mz FROM vision GROUP BY 1, 2),
-r AS (SELECT v.flight_id, m.k, n, vx, vy, vz, sqrt((vx - mx) ** 2 + (vy - my) ** 2 + (vz - mz) ** 2) AS r FROM vision v JOIN m ON m.flight_id = v.flight_id AND m.k = {k}),
-s AS (SELECT flight_id, k, quantile_cont(r, 0.5) AS rm, 1.4826 * mad(r) AS rs FROM r GROUP BY 1, 2),
-t AS (SELECT r.*, n >= 5 AND rs > 1e-6 AS trim, r <= rm + 3.5 * rs AS near FROM r JOIN s USING (flight_id, k)),
-c AS (SELECT flight_id, k, n, count(*) FILTER (near) AS near_n, bool_or(trim) AS trim FROM t GROUP BY 1, 2, 3),
-u AS (SELECT t.* , c.trim AND near_n >= greatest(2, n // 3) AS does FROM t JOIN (SELECT flight_id, k, near_n, trim FROM c) c USING (flight_id, k))"""
-NODE_SQL = with_sql("vision", more=_TRIM.format(k="CAST(floor(tr / 2) AS BIGINT)").replace("SELECT t.* , c.trim", "SELECT t.* EXCLUDE (trim), c.trim")) + (
+NODE_SQL = with_sql("vision", more=trim_sql("vision", "CAST(floor(tr / 2) AS BIGINT)")) + (
     "SELECT flight_id, k AS node, n, count(*) FILTER (NOT does OR near) AS kept, round(avg(vx) FILTER (NOT does OR near), 6) AS vx, round(avg(vy) FILTER (NOT does OR near), 6) AS vy, "
-    "round(avg(vz) FILTER (NOT does OR near), 6) AS vz FROM u WHERE n >= 3 GROUP BY 1, 2, 3"
+    "round(avg(vz) FILTER (NOT does OR near), 6) AS vz FROM tu WHERE n >= 3 GROUP BY 1, 2, 3"
 )
 
 

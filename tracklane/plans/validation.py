@@ -9,8 +9,8 @@ from tracklane.functions.missing import finite
 from tracklane.operators.align import asof, neighbours
 from tracklane.operators.frames import block_window, exact_percentiles, in_blocks, owned
 from tracklane.operators.joins import join_checked
-from tracklane.operators.robust import robust_sigma
-from tracklane.plans.alignment import KEY, r6
+from tracklane.operators.robust import robust_sigma, robust_vector_mean
+from tracklane.plans.alignment import KEY, r6, trim_sql
 from tracklane.session import cut
 from tracklane.sources.sensors import baro, flow, gps, starlink, vision, with_sql
 from tracklane.sources.tables import table
@@ -144,9 +144,9 @@ g AS (SELECT e.flight_id, t0, t1 FROM e JOIN v ON v.flight_id = e.flight_id AND
 
 
 def q_start_velocity(spark: SparkSession, folder: str) -> DataFrame:
-    """Velocity along x at a flight's 30th second, from the first source that has one of at least 1 m/s: vision mean of the 3 s before, a line through the fixes of the 30 s before, two fixes; else none."""
+    """Velocity along x at a flight's 30th second, from the first source that has one of at least 1 m/s: robust mean of ten or more vision rows of the 3 s before, a line through the fixes of the 30 s before, two fixes; else none."""
     t0 = 30.0
-    v = vision(spark, folder).filter(F.col("tr").between(t0 - 3, t0)).groupBy("flight_id").agg(F.avg(F.hypot("vx", "vy")).alias("s"), F.count("*").alias("n")).filter("n >= 2")
+    v = robust_vector_mean(vision(spark, folder).filter(F.col("tr").between(t0 - 3, t0)), KEY, ["vx", "vy", "vz"]).filter("n >= 10").select("flight_id", F.hypot("vx", "vy").alias("s"))
     g = gps(spark, folder).filter(F.col("tr").between(0.0, t0))
     line = g.groupBy("flight_id").agg(F.count("*").alias("n"), (F.max("tr") - F.min("tr")).alias("span"), F.hypot(F.regr_slope("e", "tr"), F.regr_slope("n", "tr")).alias("s"))
     line = line.filter("n >= 5 AND span >= 0.001")
@@ -161,9 +161,9 @@ def q_start_velocity(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("flight_id", "b.source", F.round("b.s", 5).alias("speed"), (~F.col("b.slow")).alias("moving"))
 
 
-START_SQL = with_sql("vision", "gps", more="""g AS (SELECT * FROM gps WHERE tr BETWEEN 0 AND 30),
+START_SQL = with_sql("vision", "gps", more="vw AS (SELECT * FROM vision WHERE tr BETWEEN 27 AND 30), " + trim_sql("vw", "0") + """, g AS (SELECT * FROM gps WHERE tr BETWEEN 0 AND 30),
 l AS (SELECT flight_id, max(tr) AS bt, arg_max(e, tr) AS be, arg_max(n, tr) AS bn FROM g GROUP BY 1),
-f AS (SELECT flight_id, 0 AS rank, 'vision' AS source, avg(sqrt(vx ** 2 + vy ** 2)) AS s FROM vision WHERE tr BETWEEN 27 AND 30 GROUP BY 1 HAVING count(*) >= 2
+f AS (SELECT flight_id, 0 AS rank, 'vision' AS source, sqrt(avg(vx) FILTER (NOT does OR near) ** 2 + avg(vy) FILTER (NOT does OR near) ** 2) AS s FROM tu WHERE n >= 10 GROUP BY 1
  UNION ALL SELECT flight_id, 1, 'line', sqrt(regr_slope(e, tr) ** 2 + regr_slope(n, tr) ** 2) FROM g GROUP BY 1 HAVING count(*) >= 5 AND max(tr) - min(tr) >= 0.001
  UNION ALL SELECT flight_id, 2, 'two_points', arg_max(sqrt((be - e) ** 2 + (bn - n) ** 2) / (bt - tr), tr) FROM g JOIN l USING (flight_id) WHERE bt - tr BETWEEN 0.5 AND 10 GROUP BY 1)""") + (
     "SELECT flight_id, source, round(s, 5) AS speed, s >= 1.0 AS moving FROM (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY s < 1.0, rank) AS rn FROM f) WHERE rn = 1"
