@@ -16,6 +16,15 @@ def focal_px(size_px: float, view_deg: float) -> float:
     return size_px / 2 / math.tan(math.radians(view_deg) / 2)
 
 
+def physical_limits(width_px: float, height_px: float, view_deg: float, height_m: float, most_mps: float, fps: float) -> dict[str, float]:
+    """What a camera looking down from a height can see move at most: metres a pixel, pixels a second and pixels a frame along x and y, of square pixels."""
+    focal = focal_px(width_px, view_deg)
+    across = 2 * height_m * math.tan(math.radians(view_deg) / 2)
+    down = 2 * height_m * (height_px / (2 * focal))
+    m_x, m_y = across / width_px, down / height_px
+    return {"m_per_px_x": m_x, "m_per_px_y": m_y, "flow_x": most_mps / m_x, "flow_y": most_mps / m_y, "dx": most_mps / m_x / fps, "dy": most_mps / m_y / fps}
+
+
 def clip(x: Column, limit: float) -> Column:
     """x held to plus or minus a limit; null stays null."""
     return F.when(x.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), x)))

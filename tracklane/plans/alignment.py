@@ -210,6 +210,9 @@ r AS (SELECT flight_id, delay, sqrt((de - oe) ** 2 + (dn - o_n) ** 2) AS res FRO
 sc AS (SELECT flight_id, CAST(delay AS DOUBLE) AS delay, count(*) AS n, quantile_disc(res, 0.5) AS score, sqrt(avg(res ** 2)) AS rmse FROM r GROUP BY 1, 2 HAVING count(*) >= 5)""") + judged_sql("rmse", SPARSE_REACH, 1.0, SPARSE_FEW)
 
 
+DELAY_SQL = _delay_sql()
+
+
 def q_merge_order(spark: SparkSession, folder: str) -> DataFrame:
     """One log of messages and flow frames per flight: at one time the messages first, then frames; counted by source and minute."""
     m = messages(spark, folder).select("flight_id", F.col("bag_timestamp_ns").alias("ns"), F.lit(0).alias("class"), F.col("msg_seq").alias("seq"))
@@ -295,7 +298,7 @@ SQL = {
     "q_error_summary": ERROR_SUMMARY_SQL,
     "q_error_by_bin": ERROR_BIN_SQL,
     "q_common_support": SUPPORT_SQL,
-    "q_delay_scan": _delay_sql(),
+    "q_delay_scan": DELAY_SQL,
     "q_merge_order": MERGE_SQL,
     "q_zip_compare": ZIP_SQL,
     "q_equi_one_to_one": EQUI_SQL,

@@ -105,5 +105,5 @@ CLOCK_SQL = with_sql("messages", more="w AS (SELECT *, min(bag_timestamp_ns) OVE
 )
 
 
-QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
+QUERIES = {k: v for k, v in globals().items() if k.startswith("q_") and v.__module__ == __name__}
 SQL = {"q_enu_offset": ENU_OFFSET_SQL, "q_metric_velocity": METRIC_SQL, "q_clock_window": CLOCK_SQL}

@@ -274,7 +274,7 @@ def q_smoother(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("flight_id", "seg", "node", F.round("u", 5).alias("u"), F.round("vu", 5).alias("vu"), F.round("sigma_u", 5).alias("sigma_u"))
 
 
-QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
+QUERIES = {k: v for k, v in globals().items() if k.startswith("q_") and v.__module__ == __name__}
 SQL = {
     "q_iir_exp": IIR_EXP_SQL,
     "q_iir_rational": IIR_RATIONAL_SQL,

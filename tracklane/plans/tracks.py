@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.functions import motion
@@ -13,12 +13,13 @@ from tracklane.operators.align import asof, interpolate
 from tracklane.operators.frames import block_window, exact_percentiles, in_blocks, last_known, owned, running_sum
 from tracklane.operators.joins import join_checked
 from tracklane.operators.recurrence import exponential_gain, low_pass, rational_gain
-from tracklane.plans.alignment import KEY, r6
-from tracklane.plans.calibration import FX, FY
+from tracklane.plans.alignment import DELAY_SQL, KEY, q_delay_scan, r6
+from tracklane.plans.calibration import ENU_OFFSET_SQL, FX, FY, q_enu_offset
 from tracklane.plans.problems import FLOW_FIELDS, TWIST_FIELDS
+from tracklane.plans.statistics import STARLINK_SQL, q_starlink_quality
 from tracklane.plans.validation import BLOCKS, MOTION_SQL, q_motion_start
 from tracklane.session import cut
-from tracklane.sources.sensors import attitude, baro, flow, gps, one_per_key, vision, with_sql
+from tracklane.sources.sensors import attitude, baro, flow, gps, one_per_key, starlink, vision, with_sql
 from tracklane.sources.tables import table
 
 WIN, TAU = 11, 0.8  # rows of the trailing median and mean, seconds of the low-pass
@@ -326,7 +327,76 @@ def q_zero_fields(spark: SparkSession, folder: str) -> DataFrame:
 ZERO_SQL = f"""WITH p AS ({" UNION ALL ".join(f"SELECT '{n}' AS field, {n} AS v FROM decoded_record" for n in ("angular.x", "angular.y", "angular.z", "linear.z"))}), q AS (SELECT *, coalesce(isfinite(v), FALSE) AS ok FROM p)
 SELECT field, count(*) AS n, count(*) FILTER (NOT ok) AS not_finite, count(*) FILTER (ok AND abs(v) > 1e-12) AS beyond, max(abs(v)) FILTER (ok) AS most, count(*) FILTER (NOT ok) = 0 AND count(*) FILTER (ok AND abs(v) > 1e-12) = 0 AS valid FROM q GROUP BY 1"""
 
-QUERIES = {k: v for k, v in globals().items() if k.startswith("q_") and k != "q_motion_start"}
+LIMITS = motion.physical_limits(384, 288, 40.0, 100.0, 60.0, 30.0)
+_BEYOND = (("flow_x_px_s_filt", "flow_x"), ("flow_y_px_s_filt", "flow_y"), ("dx_px_filt_equiv", "dx"), ("dy_px_filt_equiv", "dy"))
+
+
+def q_physical_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Flow frames faster than the camera could see the ground move from 100 m at 60 m/s, per second or per frame; missing numbers are beyond any limit."""
+    f = table(spark, folder, "lk_flow_physical_filtered").groupBy("flight_id", "frame_idx").agg(*(F.min(c).alias(c) for c, _ in _BEYOND))
+    beyond = lambda c, k: F.coalesce(~(F.abs(c) <= LIMITS[k]), F.lit(True))
+    bad = {k: beyond(c, k) for c, k in _BEYOND}
+    out = f.groupBy("flight_id").agg(F.count("*").alias("n"), *(F.count_if(c).alias(f"{k}_bad") for k, c in bad.items()), F.count_if(bad["flow_x"] | bad["flow_y"] | bad["dx"] | bad["dy"]).alias("bad"))
+    return out
+
+
+PHYSICAL_SQL = f"""WITH f AS (SELECT flight_id, frame_idx, {", ".join(f"min({c}) AS {c}" for c, _ in _BEYOND)} FROM lk_flow_physical_filtered GROUP BY 1, 2),
+g AS (SELECT flight_id, {", ".join(f"coalesce(isnan({c}) OR abs({c}) > {LIMITS[k]!r}, TRUE) AS {k}" for c, k in _BEYOND)} FROM f)
+SELECT flight_id, count(*) AS n, {", ".join(f"count(*) FILTER ({k}) AS {k}_bad" for _, k in _BEYOND)}, count(*) FILTER (flow_x OR flow_y OR dx OR dy) AS bad FROM g GROUP BY 1"""
+
+TOPICS = ("/aid/velocity_body", "/aux/velocity_link")
+PAD_NS = 1_000_000_000
+
+
+def q_topic_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Log entries of chosen topics that arrived while a flight's camera ran, a second more on either side: how many, and the first and last arrival, per topic."""
+    span = flow(spark, folder).filter("stamp_ns IS NOT NULL").groupBy("flight_id").agg(F.min("stamp_ns").alias("a"), F.max("stamp_ns").alias("b"))
+    m = table(spark, folder, "decoded_record").filter(F.col("topic").isin(*TOPICS)).select("flight_id", "topic", "bag_timestamp_ns")
+    d = join_checked(m, cut(span), KEY, "inner").filter(F.col("bag_timestamp_ns").between(F.col("a") - PAD_NS, F.col("b") + PAD_NS))
+    return d.groupBy("flight_id", "topic").agg(F.count("*").alias("n"), F.min("bag_timestamp_ns").alias("first_ns"), F.max("bag_timestamp_ns").alias("last_ns"))
+
+
+TOPIC_SQL = with_sql("flow", more="w AS (SELECT flight_id, min(stamp_ns) AS a, max(stamp_ns) AS b FROM flow WHERE stamp_ns IS NOT NULL GROUP BY 1)") + f"""SELECT flight_id, topic, count(*) AS n, min(bag_timestamp_ns) AS first_ns, max(bag_timestamp_ns) AS last_ns
+FROM decoded_record JOIN w USING (flight_id) WHERE topic IN {TOPICS} AND bag_timestamp_ns BETWEEN a - {PAD_NS} AND b + {PAD_NS} GROUP BY 1, 2"""
+
+FIT_SIGMA, HEIGHT_SIGMA = 5.0, 1.5
+EXPORTED, INTERPOLATED = "fused_exported_u", "offline_interp"
+
+
+def q_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    """What a run's results say against it, per flight: a delay in doubt, offsets that fit worse than three sigmas, stale or outlying sparse fixes, heights worse than three sigmas of the barometer, no track; with the figure that tells."""
+    def rule(d: DataFrame, severity: str, code: str, figure: Column) -> DataFrame:
+        return d.select("flight_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.round(figure.cast("double"), 5).alias("figure"))
+
+    quality = q_starlink_quality(spark, folder).groupBy("flight_id").agg(F.count_if(F.col("issue").contains("stale")).alias("stale"), F.count_if(F.col("issue").contains("outlier")).alias("far"))
+    h = table(spark, folder, "fusion_height_aligned_samples").filter(finite(F.col("err_u")) & (F.col("series") == EXPORTED) & (F.col("matching_mode") == INTERPOLATED))
+    h = h.select("flight_id", "tr", "err_u").distinct().groupBy("flight_id").agg(F.sqrt(F.avg(F.col("err_u") ** 2)).alias("rmse"))
+    fixes = starlink(spark, folder).groupBy("flight_id").agg(F.count("*").alias("n"))
+    parts = [
+        rule(q_delay_scan(spark, folder).filter("doubt <> ''"), "warning", "delay_unreliable", F.col("tau")),
+        rule(q_enu_offset(spark, folder).filter(F.col("after") > 3 * FIT_SIGMA), "warning", "offset_fit_against_sigma", F.col("after")),
+        rule(quality.filter("stale > 0"), "warning", "stale_fixes", F.col("stale")),
+        rule(quality.filter("far > 0"), "warning", "outlying_fixes", F.col("far")),
+        rule(h.filter(F.col("rmse") > 3 * HEIGHT_SIGMA), "warning", "height_error_against_sigma", F.col("rmse")),
+        rule(fixes.join(nodes(spark, folder).select("flight_id").distinct(), "flight_id", "left_anti"), "error", "no_track", F.col("n")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+DIAGNOSTICS_SQL = f"""WITH q AS ({STARLINK_SQL}), h AS (SELECT flight_id, sqrt(avg(err_u ** 2)) AS rmse FROM (SELECT DISTINCT flight_id, tr, err_u FROM fusion_height_aligned_samples
+  WHERE isfinite(err_u) AND series = '{EXPORTED}' AND matching_mode = '{INTERPOLATED}') GROUP BY 1), {NODES}, {with_sql("starlink")[5:].rstrip()},
+r AS (SELECT flight_id, 'warning' AS severity, 'delay_unreliable' AS code, CAST(tau AS DOUBLE) AS figure FROM ({DELAY_SQL}) WHERE doubt <> ''
+UNION ALL SELECT flight_id, 'warning', 'offset_fit_against_sigma', after FROM ({ENU_OFFSET_SQL}) WHERE after > {3 * FIT_SIGMA}
+UNION ALL SELECT flight_id, 'warning', 'stale_fixes', count(*) FROM q WHERE contains(issue, 'stale') GROUP BY 1
+UNION ALL SELECT flight_id, 'warning', 'outlying_fixes', count(*) FROM q WHERE contains(issue, 'outlier') GROUP BY 1
+UNION ALL SELECT flight_id, 'warning', 'height_error_against_sigma', rmse FROM h WHERE rmse > {3 * HEIGHT_SIGMA}
+UNION ALL SELECT flight_id, 'error', 'no_track', count(*) FROM starlink WHERE flight_id NOT IN (SELECT flight_id FROM nodes) GROUP BY 1)
+SELECT flight_id, severity, code, round(figure, 5) AS figure FROM r"""
+
+QUERIES = {k: v for k, v in globals().items() if k.startswith("q_") and v.__module__ == __name__}
 SQL = {
     "q_position_errors": POSITION_SQL,
     "q_smooth_export": EXPORT_SQL,
@@ -340,4 +410,7 @@ SQL = {
     "q_iir_by_time": BY_TIME_SQL,
     "q_field_errors": _errors_sql(),
     "q_zero_fields": ZERO_SQL,
+    "q_physical_gate": PHYSICAL_SQL,
+    "q_topic_scan": TOPIC_SQL,
+    "q_diagnostics": DIAGNOSTICS_SQL,
 }

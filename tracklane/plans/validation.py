@@ -311,7 +311,7 @@ LATE_NODES_SQL = with_sql("vision") + (
     "SELECT flight_id, count(*) AS n, count(*) FILTER (tr_arrival > (floor(tr / 0.2) + 1) * 0.2 + 0.057 + 1e-9) AS discarded, round(max(tr_arrival - tr), 5) AS most_lag FROM vision WHERE isfinite(tr_arrival) GROUP BY 1"
 )
 
-QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
+QUERIES = {k: v for k, v in globals().items() if k.startswith("q_") and v.__module__ == __name__}
 SQL = {
     "q_variant_compare": VARIANT_SQL,
     "q_window_decision": DECISION_SQL,
