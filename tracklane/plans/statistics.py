@@ -45,6 +45,25 @@ NODE_SQL = with_sql("vision", more=trim_sql("vision", "CAST(floor(tr / 2) AS BIG
 )
 
 
+NODE_S, FLUSH_S = 2.0, 0.057 + 0.02  # seconds of a node, and how long after its end it waits for rows
+
+
+def q_node_flush(spark: SparkSession, folder: str) -> DataFrame:
+    """Vision velocities averaged robustly at nodes by measurement time, of the rows that had arrived when their node was flushed; nodes of three such rows or more, with how many came too late."""
+    end = (F.floor(F.col("tr") / NODE_S) + 1) * NODE_S
+    v = vision(spark, folder).filter(finite(F.col("tr_arrival"))).withColumn("node", F.floor(F.col("tr") / NODE_S)).withColumn("late", F.col("tr_arrival") > end + FLUSH_S)
+    late = v.groupBy("flight_id", "node").agg(F.count_if("late").alias("late"))
+    out = robust_vector_mean(v.filter("NOT late"), ["flight_id", "node"], ["vx", "vy", "vz"]).filter("n >= 3")
+    return out.join(late, ["flight_id", "node"]).select("flight_id", "node", "n", "kept", "late", *(F.round(c, 6).alias(c) for c in ("vx", "vy", "vz")))
+
+
+_NODE = f"CAST(floor(tr / {NODE_S}) AS BIGINT)"
+FLUSH_SQL = with_sql("vision", more=f"vn AS (SELECT *, {_NODE} AS node, tr_arrival > (floor(tr / {NODE_S}) + 1) * {NODE_S} + {FLUSH_S} AS late FROM vision WHERE isfinite(tr_arrival)), vf AS (SELECT * FROM vn WHERE NOT late), " + trim_sql("vf", _NODE)) + (
+    "SELECT flight_id, k AS node, n, count(*) FILTER (NOT does OR near) AS kept, any_value(l.late) AS late, round(avg(vx) FILTER (NOT does OR near), 6) AS vx, round(avg(vy) FILTER (NOT does OR near), 6) AS vy, "
+    "round(avg(vz) FILTER (NOT does OR near), 6) AS vz FROM tu JOIN (SELECT flight_id, node AS k, count(*) FILTER (late) AS late FROM vn GROUP BY 1, 2) l USING (flight_id, k) WHERE n >= 3 GROUP BY 1, 2, 3"
+)
+
+
 def _height_speed(spark: SparkSession, folder: str) -> DataFrame:
     """Height error with the vision speed before it."""
     v = vision(spark, folder).select("flight_id", "tr", F.hypot("vx", "vy").alias("speed"))
@@ -328,6 +347,7 @@ QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 SQL = {
     "q_robust_sigma": SIGMA_SQL,
     "q_node_bins": NODE_SQL,
+    "q_node_flush": FLUSH_SQL,
     "q_linear_fit": FIT_SQL,
     "q_speed_split": SPLIT_SQL,
     "q_geo_enu": GEO_SQL,

@@ -60,6 +60,16 @@ SCORES = f"""{SAMPLES}, bl AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {o}, {
 sc AS (SELECT win, role, series, matching_mode, series || '/' || matching_mode AS policy, avg(err_u ** 2) AS mse, count(*) AS n FROM a JOIN bl ON tr BETWEEN lo AND lo + duration GROUP BY ALL)"""
 
 
+def q_variant_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every series and mode in every window of the blocked validation: samples and RMSE, and the rank of the RMSE in its window."""
+    d = cut(_block_scores(spark, folder, None))  # windows times policies: 60 rows
+    place = F.rank().over(Window.partitionBy("win").orderBy(F.round("mse", 9)))
+    return d.select("win", "role", "series", "matching_mode", "n", F.round(F.sqrt("mse"), 6).alias("rmse"), place.cast("bigint").alias("place"))
+
+
+WINDOWS_SQL = f"WITH {SCORES} SELECT win, role, series, matching_mode, n, round(sqrt(mse), 6) AS rmse, rank() OVER (PARTITION BY win ORDER BY round(mse, 9)) AS place FROM sc"
+
+
 def q_window_decision(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the candidate beats the base: wins, median and worst improvement and pooled RMSE over the windows, and the verdict of fixed gates over the primary windows of 180 s, provided that both have as many samples in every window of either kind; the stress windows of 40 s are judged beside them, without verdict."""
     s = cut(_block_scores(spark, folder, None))  # windows times policies: 60 rows
@@ -315,6 +325,7 @@ QUERIES = {k: v for k, v in globals().items() if k.startswith("q_") and v.__modu
 SQL = {
     "q_variant_compare": VARIANT_SQL,
     "q_window_decision": DECISION_SQL,
+    "q_variant_windows": WINDOWS_SQL,
     "q_lobo_select": LOBO_SQL,
     "q_sign_permutation": PERMUTATION_SQL,
     "q_motion_start": MOTION_SQL,
