@@ -198,14 +198,14 @@ def _with_error(samples: DataFrame, trace: DataFrame) -> DataFrame:
 
 def q_bias_reverting(spark: SparkSession, folder: str) -> DataFrame:
     """Barometer heights less the error of the mean-reverting filter at their time."""
-    samples = _samples(spark, folder)
+    samples = cut(_samples(spark, folder))
     d = _with_error(samples, _reverting(spark, folder, samples))
     return d.select("flight_id", "sample_id", F.round(F.col("u") - F.col("total"), 5).alias("u"), F.round("total", 5).alias("error"))
 
 
 def q_confidence(spark: SparkSession, folder: str) -> DataFrame:
     """How far the correction is trusted (three of the last five fixes within 2 m), and the capped part of it that is applied."""
-    samples = _samples(spark, folder)
+    samples = cut(_samples(spark, folder))
     trace = cut(_reverting(spark, folder, samples))
     after = asof(samples.select("flight_id", "tr"), trace.select("flight_id", "tr", F.col("tr").alias("te")), KEY, "tr", ["te"]).filter("te IS NOT NULL")
     fresh = F.max(F.when(F.col("age") <= AGE, F.col("tr")))
