@@ -44,7 +44,7 @@ class LeakConfig:
     item_gap: float = 0.5
     slack: int = 40  # words beyond an item's length that its passage may take up
     at_once: int = 64  # alignments
-    block_chars: int = 2_000_000  # of items to one automaton (about 0.2 KB a character); more items are scanned for in several passes
+    block_chars: int = 2_000_000  # of items to one automaton (about 0.1 KB a character); more items are scanned for in several passes
 
 
 # Escapes, terminal codes and tags become blanks of the same length, so offsets stay.
